@@ -167,3 +167,249 @@ ORACLE["corpus_emo"] = with_("corpus_emo") + 'select ord, "Question", "EmotionNa
 ORACLE["top_words"] = with_("top_words") + "select word_len, rank, word, cnt from top_words"
 ORACLE["cloud_words"] = with_("top_words") + """select string_agg(word, ' ' order by word_len, rank) cloud,
   count(*) n_words from top_words"""
+
+# ---------------------------------------------------------------------------
+# single operators on the roles
+# ---------------------------------------------------------------------------
+ORACLE["synonym_replace"] = with_("faq_syn") + 'select ord, "Text" from faq_syn'
+ORACLE["synonym_to_one"] = with_("faq", "syn") + """select ord,
+  list_reduce((select list("Text" order by ord) from syn where "Text" is not null),
+              lambda a, x: replace(a, x, ''), "Text") "Text" from faq"""
+ORACLE["stopword_exclude"] = with_("intent", "stop_list") + 'select ord, ' + STOPX.replace("{c}", '"Text"') + ' "Text" from intent, stop_list'
+ORACLE["strip_punct"] = with_("questions") + f"select qid, regexp_replace(text, '{PUNCT}', '', 'g') text from questions"
+ORACLE["script_convert"] = with_("emo", "script_pairs") + f"""select ord,
+  {SCRIPTX.replace("{c}", '"Question"')} "Question", {SCRIPTX.replace("{c}", '"EmotionName"')} "EmotionName" from emo"""
+ORACLE["length_quantile"] = with_("intent") + """select quantile_cont(length("Text"), 0.8) q80,
+  quantile_cont(length("Text"), 0.5) q50 from intent"""
+ORACLE["length_band"] = with_("intent") + """select ord, length("Text") n_chars from intent
+  where length("Text") between 2 and (select quantile_cont(length("Text"), 0.8) from intent)"""
+ORACLE["rank_filter"] = with_("intent") + 'select ord, "Rank" from intent where "Rank" is distinct from 2'
+ORACLE["dedup_first"] = with_("intent") + """select ord, "IntentionName" from intent
+  qualify row_number() over (partition by "Text" order by ord) = 1"""
+ORACLE["class_sizes"] = with_("emo_clean") + 'select "EmotionName", count(*) n from emo_clean group by 1'
+ORACLE["second_size"] = with_("emo_s") + "select (select s from emo_s) s"
+ORACLE["balance_cap"] = with_("emo_capped") + 'select ord, "EmotionName" from emo_capped'
+ORACLE["balance_topup"] = with_("corpus_emo") + 'select ord, "EmotionName" from corpus_emo'
+ORACLE["holdout_split"] = with_("corpus_intent") + """select ord,
+  case when substr(md5(cast(ord as varchar) || '|42'), 1, 4) < 'cccd' then 'train' else 'test' end split
+  from corpus_intent"""
+
+# ---------------------------------------------------------------------------
+# encoding
+# ---------------------------------------------------------------------------
+
+
+def vocab_block(name: str, corpus: str, col: str) -> None:
+    block(name, [corpus], f"""
+  select ch, id, cnt from (
+    select ch, cnt, row_number() over (order by cnt desc, ch) id
+    from (select ch, count(*) cnt
+          from (select unnest(regexp_extract_all("{col}", '{CHAR}')) ch from {corpus}) group by 1))
+  where id <= 8190""")
+    block(name + "_map", [name], f"""
+  select coalesce(map_from_entries(list((ch, cast(id as integer)))), MAP {{}}) vm, count(*) + 1 oov from {name}""")
+
+
+vocab_block("faq_vocab", "corpus_faq", "Text")
+vocab_block("intent_vocab", "corpus_intent", "Text")
+vocab_block("emo_vocab", "corpus_emo", "Question")
+
+IDS = f"list_transform(regexp_extract_all({{c}}, '{CHAR}'), lambda ch: coalesce(vm[ch], oov))"
+
+ORACLE["label_encode"] = with_("corpus_faq") + """select ord, "FaqSettingId",
+  cast(dense_rank() over (order by "FaqSettingId") - 1 as integer) label_faq from corpus_faq"""
+ORACLE["char_vocab"] = with_("intent_vocab") + "select ch, id, cnt from intent_vocab"
+ORACLE["encode_pad"] = with_("corpus_faq", "faq_vocab_map") + f"""select ord,
+  array_to_string(list_concat(ids, list_transform(range(ml - len(ids)), lambda x: 0)), ' ') ids
+  from (select ord, {IDS.replace("{c}", '"Text"')} ids,
+               (select max(length("Text")) from corpus_faq) ml
+        from corpus_faq, faq_vocab_map)"""
+ORACLE["encode_query"] = with_("corpus_faq", "faq_vocab_map", "questions") + f"""select qid,
+  array_to_string(list_concat(k, list_transform(range(ml - len(k)), lambda x: 0)), ' ') ids
+  from (select qid, ml, ids[greatest(len(ids) - ml + 1, 1):] k from (
+    select qid, {IDS.replace("{c}", "text")} ids, (select max(length("Text")) from corpus_faq) ml
+    from questions, faq_vocab_map))"""
+ORACLE["encode_mask"] = with_("corpus_faq", "faq_vocab_map", "questions") + f"""select qid,
+  array_to_string(list_concat(list_transform(range(ml - len(k)), lambda x: 0), k), ' ') ids,
+  array_to_string(list_concat(list_transform(range(ml - len(k)), lambda x: 0),
+                              list_transform(k, lambda x: 1)), ' ') mask
+  from (select qid, ml, ids[1:ml] k from (
+    select qid, {IDS.replace("{c}", "text")} ids, (select max(length("Text")) from corpus_faq) ml
+    from questions, faq_vocab_map))"""
+
+
+def stats_sql(head: str, corpus: str, col: str, label: str, vocab: str) -> str:
+    return f"""select '{head}' head, count(*) n_rows, (select count(*) + 2 from {vocab}) vocab_size,
+  max(length("{col}")) maxlen, count(distinct "{label}") n_classes,
+  cast(floor(pow(count(*), 1 / exp(1))) as bigint) batch from {corpus}"""
+
+
+ORACLE["corpus_stats"] = (
+    with_("corpus_faq", "faq_vocab", "corpus_intent", "intent_vocab", "corpus_emo", "emo_vocab")
+    + stats_sql("faq", "corpus_faq", "Text", "FaqSettingId", "faq_vocab")
+    + " union all " + stats_sql("intent", "corpus_intent", "Text", "IntentionName", "intent_vocab")
+    + " union all " + stats_sql("emo", "corpus_emo", "Question", "EmotionName", "emo_vocab")
+)
+
+# ---------------------------------------------------------------------------
+# options
+# ---------------------------------------------------------------------------
+block("opt", ["options"], """
+  select max(case when "Key"='SimilarityFAQBot' then try_cast("Value" as double) end) t_faq,
+         max(case when "Key"='SimilarityIntentionBot' then try_cast("Value" as double) end) t_intent,
+         max(case when "Key"='4000Faq' then try_cast("Value" as double) end) f,
+         max(case when "Key"='4000Intention' then try_cast("Value" as double) end) i,
+         max(case when "Key"='4000Emo' then try_cast("Value" as double) end) e
+  from options""")
+block("kinds", ["opt", "bot_model"], """
+  select case when fn is not null and inn is not null and en is not null then fn else 'nb' end faq_kind,
+         case when fn is not null and inn is not null and en is not null then inn else 'nb' end intent_kind,
+         case when fn is not null and inn is not null and en is not null then en else 'logreg' end emo_kind
+  from (select (select min("Name") from bot_model where "Id" = o.f) fn,
+               (select min("Name") from bot_model where "Id" = o.i) inn,
+               (select min("Name") from bot_model where "Id" = o.e) en from opt o)""")
+block("thresholds", ["questions", "opt"], """
+  select qid, coalesce(try_cast(threshold_faq as double), (select t_faq from opt)) t_faq,
+         coalesce(try_cast(threshold_intent as double), (select t_intent from opt)) t_intent
+  from questions""")
+ORACLE["threshold_resolve"] = with_("thresholds") + "select qid, t_faq, t_intent from thresholds"
+ORACLE["refresh_options"] = with_("opt", "kinds", "corpus_faq", "corpus_intent", "corpus_emo") + """select
+  o.t_faq, o.t_intent, k.faq_kind, k.intent_kind, k.emo_kind,
+  (select count(*) from corpus_faq) n_faq, (select count(*) from corpus_intent) n_intent,
+  (select count(*) from corpus_emo) n_emo from opt o, kinds k"""
+
+# ---------------------------------------------------------------------------
+# relational naive Bayes (dense form: every question x every class)
+# ---------------------------------------------------------------------------
+
+
+def nb_blocks(h: str, corpus: str, text: str, label: str) -> None:
+    block(f"{h}_idx", [corpus], f"""
+  select lbl, cast(dense_rank() over (order by lbl) - 1 as integer) cls
+  from (select distinct "{label}" lbl from {corpus})""")
+    block(f"{h}_rows", [corpus, f"{h}_idx"], f"""
+  select "{text}" txt, i.cls from {corpus} c join {h}_idx i on c."{label}" = i.lbl""")
+    block(f"{h}_cnt", [f"{h}_rows"], f"""
+  select tok token, cls, count(*) cnt
+  from (select cls, unnest(regexp_extract_all(lower(txt), '{TOKEN}')) tok from {h}_rows) group by 1, 2""")
+    block(f"{h}_cls", [f"{h}_idx", f"{h}_rows", f"{h}_cnt"], f"""
+  select i.cls, i.lbl "{label}", d.docs, coalesce(n.n_tok, 0) n_tok,
+         ln(d.docs) - ln((select count(*) from {h}_rows)) prior,
+         ln(coalesce(n.n_tok, 0) + (select count(distinct token) from {h}_cnt)) ld
+  from {h}_idx i join (select cls, count(*) docs from {h}_rows group by 1) d using(cls)
+  left join (select cls, sum(cnt) n_tok from {h}_cnt group by 1) n using(cls)""")
+    block(f"{h}_w", [f"{h}_cnt"], f"""
+  select token, cls, ln(cnt + 1) w from {h}_cnt""")
+
+
+def nb_score_blocks(h: str, qs: str, deps: list[str]) -> str:
+    """Dense scores and probabilities of head ``h`` for question set ``qs``."""
+    n = f"{h}_{qs}"
+    block(f"{n}_qt", deps + [qs], f"""
+  select qid, tok token, count(*) tf
+  from (select qid, unnest(regexp_extract_all(lower(text), '{TOKEN}')) tok from {qs}) group by 1, 2""")
+    block(f"{n}_qin", [f"{n}_qt", f"{h}_w"], f"""
+  select * from {n}_qt where token in (select token from {h}_w)""")
+    block(f"{n}_sc", [qs, f"{n}_qin", f"{h}_cls", f"{h}_w"], f"""
+  select q.qid, c.cls, c.prior - coalesce(l.L, 0) * c.ld + coalesce(m.m, 0) s
+  from (select qid from {qs}) q cross join {h}_cls c
+  left join (select qid, sum(tf) L from {n}_qin group by 1) l on l.qid = q.qid
+  left join (select t.qid, w.cls, sum(t.tf * w.w) m from {n}_qin t join {h}_w w using(token) group by 1, 2) m
+    on m.qid = q.qid and m.cls = c.cls""")
+    block(f"{n}_p", [f"{n}_sc"], f"""
+  select qid, cls, s, exp(s - mx) / sum(exp(s - mx)) over (partition by qid) p
+  from (select *, max(s) over (partition by qid) mx from {n}_sc)""")
+    block(f"{n}_rk", [f"{n}_p"], f"""
+  select *, row_number() over (partition by qid order by p desc, cls desc) rank from {n}_p""")
+    return n
+
+
+nb_blocks("hf", "corpus_faq", "Text", "FaqSettingId")
+nb_blocks("hi", "corpus_intent", "Text", "IntentionName")
+nb_blocks("he", "corpus_emo", "Question", "EmotionName")
+
+block("qsyn", ["questions", "syn_pairs"], f"""
+  select qid, {SYNX.replace("{c}", "text")} text, threshold_faq, threshold_intent from questions""")
+block("qemo", ["qsyn"], f"""
+  select qid, regexp_replace(text, '{PUNCT}', '', 'g') text from qsyn""")
+
+HF = nb_score_blocks("hf", "qsyn", [])
+HI = nb_score_blocks("hi", "qsyn", [])
+HE = nb_score_blocks("he", "qemo", [])
+
+
+def cls_sql(h: str, label: str) -> str:
+    return with_(f"{h}_cls") + f"""select cls, "{label}", docs, n_tok, round(prior, 6) prior, round(ld, 6) ld
+  from {h}_cls"""
+
+
+ORACLE["train_faq"] = cls_sql("hf", "FaqSettingId")
+ORACLE["train_intent"] = cls_sql("hi", "IntentionName")
+ORACLE["train_emo"] = cls_sql("he", "EmotionName")
+ORACLE["predict_proba"] = with_(f"{HI}_p") + f"select qid, cls, round(p, 3) p from {HI}_p"
+ORACLE["softmax"] = ORACLE["predict_proba"]
+ORACLE["round_scores"] = ORACLE["predict_proba"]
+ORACLE["softmax_contrast"] = with_(f"{HI}_p") + f"""select qid, cls, round(exp(z - mz) / sum(exp(z - mz)) over (partition by qid), 3) p
+  from (select *, max(z) over (partition by qid) mz from (
+    select qid, cls, p * (max(p) over (partition by qid) - avg(p) over (partition by qid)) z from {HI}_p))"""
+ORACLE["calib_intent"] = with_(f"{HI}_p") + f"""select qid, cls, round(p / sum(sqrt(p)) over (partition by qid), 3) p
+  from {HI}_p"""
+ORACLE["topk_classes"] = with_(f"{HI}_rk") + f"select qid, rank, cls, round(p, 3) p from {HI}_rk where rank <= 2"
+
+block("faq_look", ["corpus_faq", "corpus_intent"], """
+  select f."FaqSettingId", f.demand, f.supply, i.faq_intent
+  from (select "FaqSettingId", arg_min_null("Demand", ord) demand, arg_min_null("Supply", ord) supply
+        from corpus_faq group by 1) f
+  left join (select "FaqSettingId", arg_min_null("IntentionName", ord) faq_intent
+             from corpus_intent group by 1) i using("FaqSettingId")""")
+ORACLE["faq_lookup"] = with_("faq_look") + 'select "FaqSettingId", demand, supply, faq_intent from faq_look'
+
+block("rankfaq", [f"{HF}_rk", "hf_idx", "faq_look"], f"""
+  select r.qid, r.rank, i.lbl faq_id, round(r.p, 3) similarity, l.demand, l.faq_intent, l.supply
+  from {HF}_rk r join hf_idx i using(cls) left join faq_look l on l."FaqSettingId" = i.lbl
+  where r.rank <= 4""")
+ORACLE["rank_faq"] = with_("rankfaq") + "select qid, rank, faq_id, similarity, demand, faq_intent, supply from rankfaq"
+ORACLE["calib_faq"] = with_(f"{HF}_rk") + f"""select qid, rank, round(sqrt(p * 100) / 10, 3) p
+  from {HF}_rk where rank <= 4"""
+
+ORACLE["score_offset"] = with_(f"{HE}_sc", "he_idx") + f"""select qid, lbl emotion from (
+  select qid, cls, row_number() over (partition by qid order by
+           s - case cls when 1 then 5.0 when 3 then -5.0 else 0.0 end desc, cls desc) r
+  from {HE}_sc) x join he_idx using(cls) where r = 1"""
+
+block("emo_pred", [f"{HE}_rk", "he_idx"], f"""
+  select qid, lbl emotion from {HE}_rk join he_idx using(cls) where rank = 1""")
+block("int_pred", [f"{HI}_rk", "hi_idx"], f"""
+  select qid, max(case when rank = 1 then lbl end) pred_intent,
+         max(case when rank = 1 then round(p, 3) end) i1
+  from {HI}_rk join hi_idx using(cls) group by qid""")
+block("ans1", ["rankfaq", "int_pred", "emo_pred", "thresholds"], """
+  select r.qid, r.*, ip.pred_intent, ip.i1, e.emotion, t.t_faq, t.t_intent,
+         (r.s1 < t.t_faq and ip.i1 < t.t_intent) fb
+  from (select qid,
+          max(case when rank=1 then similarity end) s1, max(case when rank=2 then similarity end) s2,
+          max(case when rank=3 then similarity end) s3, max(case when rank=4 then similarity end) s4,
+          max(case when rank=1 then faq_id end) f1, max(case when rank=2 then faq_id end) f2,
+          max(case when rank=3 then faq_id end) f3, max(case when rank=4 then faq_id end) f4,
+          max(case when rank=1 then demand end) d1, max(case when rank=2 then demand end) d2,
+          max(case when rank=3 then demand end) d3, max(case when rank=4 then demand end) d4,
+          max(case when rank=1 then faq_intent end) n1, max(case when rank=2 then faq_intent end) n2,
+          max(case when rank=3 then faq_intent end) n3, max(case when rank=4 then faq_intent end) n4,
+          max(case when rank=1 then supply end) answer
+        from rankfaq group by qid) r
+  join int_pred ip using(qid) left join emo_pred e using(qid) join thresholds t using(qid)""")
+ORACLE["answer_v1"] = with_("ans1") + """select qid,
+  case when fb then 'ChatBot' else 'parlance' end "Bot",
+  case when fb then '聊天小幫手忙碌中' else answer end "Answer",
+  case when fb then null else d1 end "Question",
+  case when fb then 0 else f1 end "Answer_faqsettingid",
+  n2 "Referral_intent_1", n3 "Referral_intent_2", n4 "Referral_intent_3",
+  emotion, case when fb then null else n1 end intent, 1 "type", 1 "end",
+  s1 max_prob, pred_intent, i1 pred_intent_prob,
+  case when fb then null else d2 end "Referral_1", case when fb then null else d3 end "Referral_2",
+  case when fb then null else d4 end "Referral_3",
+  case when fb then null else f2 end "Referral_faqsettingid_1", case when fb then null else f3 end "Referral_faqsettingid_2",
+  case when fb then null else f4 end "Referral_faqsettingid_3",
+  case when fb then null else s1 end "Similarity_1", case when fb then null else s2 end "Similarity_2",
+  case when fb then null else s3 end "Similarity_3", case when fb then null else s4 end "Similarity_4"
+  from ans1"""

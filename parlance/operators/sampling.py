@@ -95,8 +95,10 @@ def balance_topup(capped: DataFrame, label: str, key: str = "ord", s: Column | N
 
 def balance(df: DataFrame, label: str, key: str = "ord") -> DataFrame:
     """Cap then top-up with the same s, computed once on the uncapped sizes."""
+    from parlance.operators.util import materialize
+
     s = second_size(class_sizes(df, label))
-    capped = balance_cap(df, label, key, s)
+    capped = materialize(balance_cap(df, label, key, s))
     return balance_topup(capped, label, key, s)
 
 

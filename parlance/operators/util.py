@@ -17,3 +17,17 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage (reliable checkpoint).
+
+    Used at the points where a result is read by several later steps
+    (corpora, models, scored pairs). The data goes to the shared folder
+    named by ``spark.checkpoint.dir``, so it survives the loss of an
+    executor; a scratch folder is used only when the setting is unset.
+    """
+    from parlance.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.operators import filters as flt
 from parlance.operators import sampling as smp
+from parlance.operators.util import materialize
 from parlance.sources.catalog import Catalog
 
 FAQ_BAND = (2, 0.8)
@@ -26,7 +27,7 @@ def corpus_faq(cat: Catalog, band=FAQ_BAND) -> DataFrame:
     df = tx.replace_synonyms(df, "Text", cat.read("syn"))
     df = tx.exclude_stopwords(df, "Text", cat.read("stop"))
     df = flt.length_band(df, "Text", *band)
-    return flt.dedup_first(df, "Text")
+    return materialize(flt.dedup_first(df, "Text"))
 
 
 def corpus_intent(cat: Catalog, band=INTENT_BAND) -> DataFrame:
@@ -35,7 +36,7 @@ def corpus_intent(cat: Catalog, band=INTENT_BAND) -> DataFrame:
     df = flt.rank_filter(df)
     df = tx.exclude_stopwords(df, "Text", cat.read("stop"))
     df = flt.length_band(df, "Text", *band)
-    return flt.dedup_first(df, "Text")
+    return materialize(flt.dedup_first(df, "Text"))
 
 
 def emo_cleaned(cat: Catalog, band=EMO_BAND) -> DataFrame:
@@ -45,12 +46,12 @@ def emo_cleaned(cat: Catalog, band=EMO_BAND) -> DataFrame:
     df = tx.script_convert(df, ["Question", "EmotionName"], cat.read("script_map"))
     df = flt.length_band(df, "Question", *band)
     df = flt.drop_empty(df, "Question")
-    return flt.dedup_first(df, "Question")
+    return materialize(flt.dedup_first(df, "Question"))
 
 
 def corpus_emo(cat: Catalog, band=EMO_BAND) -> DataFrame:
     """Emotion corpus: cleaned rows, then cap and top-up to min(s, 2n) per class (#51)."""
-    return smp.balance(emo_cleaned(cat, band), "EmotionName")
+    return materialize(smp.balance(emo_cleaned(cat, band), "EmotionName"))
 
 
 def option_values(cat: Catalog) -> DataFrame:
@@ -62,7 +63,7 @@ def option_values(cat: Catalog) -> DataFrame:
     opt = cat.read("options")
     cols = []
     for k in keys:
-        v = F.max(F.when(F.col("Key") == k, F.try_cast(F.col("Value"), "double")))
+        v = F.max(F.when(F.col("Key") == k, F.col("Value").try_cast("double")))
         cols.append(
             F.when(F.count(F.when(F.col("Key") == k, 1)) > 0, v)
             .otherwise(F.raise_error(F.lit(f"option {k} is missing")))

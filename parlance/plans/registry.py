@@ -12,7 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions import text as tx
+from parlance.functions import vectors as vx
+from parlance.operators import bayes
+from parlance.operators import encode as enc
+from parlance.operators import filters as flt
+from parlance.operators import sampling as smp
 from parlance.operators import words as wd
+from parlance.plans import answer as ans
 from parlance.plans import corpus as cp
 from parlance.sources.catalog import Catalog
 
@@ -49,4 +56,287 @@ def top_words(spark, sf_dir):
 def cloud_words(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
     return wd.cloud_words(cp.corpus_emo(cat), "Question", cat.read("stop"))
-FLAGSHIP = "top_words"
+
+
+FLAGSHIP = "answer_v1"
+
+
+def _ids_str(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+# -- cleaning ---------------------------------------------------------------
+@query
+def synonym_replace(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return tx.replace_synonyms(cat.read("faq"), "Text", cat.read("syn")).select("ord", "Text")
+
+
+@query
+def synonym_to_one(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return tx.replace_all_to_one(cat.read("faq"), "Text", cat.read("syn")).select("ord", "Text")
+
+
+@query
+def stopword_exclude(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return tx.exclude_stopwords(cat.read("intent"), "Text", cat.read("stop")).select("ord", "Text")
+
+
+@query
+def strip_punct(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return cat.read("questions").select("qid", tx.strip_punct("text").alias("text"))
+
+
+@query
+def script_convert(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return tx.script_convert(cat.read("emo"), ["Question", "EmotionName"], cat.read("script_map")).select(
+        "ord", "Question", "EmotionName"
+    )
+
+
+# -- filters ----------------------------------------------------------------
+@query
+def length_quantile(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    i = cat.read("intent")
+    return spark.range(1).select(
+        flt.length_quantile(i, "Text", 0.8).alias("q80"), flt.length_quantile(i, "Text", 0.5).alias("q50")
+    )
+
+
+@query
+def length_band(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return flt.length_band(cat.read("intent"), "Text", 2, 0.8).select("ord", F.length("Text").alias("n_chars"))
+
+
+@query
+def rank_filter(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return flt.rank_filter(cat.read("intent")).select("ord", "Rank")
+
+
+@query
+def dedup_first(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return flt.dedup_first(cat.read("intent"), "Text").select("ord", "IntentionName")
+
+
+# -- sizes and sampling -----------------------------------------------------
+@query
+def class_sizes(spark, sf_dir):
+    return smp.class_sizes(cp.emo_cleaned(Catalog(spark, sf_dir)), "EmotionName")
+
+
+@query
+def second_size(spark, sf_dir):
+    sizes = smp.class_sizes(cp.emo_cleaned(Catalog(spark, sf_dir)), "EmotionName")
+    return spark.range(1).select(smp.second_size(sizes).alias("s"))
+
+
+@query
+def balance_cap(spark, sf_dir):
+    return smp.balance_cap(cp.emo_cleaned(Catalog(spark, sf_dir)), "EmotionName").select("ord", "EmotionName")
+
+
+@query
+def balance_topup(spark, sf_dir):
+    return cp.corpus_emo(Catalog(spark, sf_dir)).select("ord", "EmotionName")
+
+
+@query
+def holdout_split(spark, sf_dir):
+    return smp.holdout_split(cp.corpus_intent(Catalog(spark, sf_dir))).select("ord", "split")
+
+
+# -- encoding ---------------------------------------------------------------
+@query
+def label_encode(spark, sf_dir):
+    faq = cp.corpus_faq(Catalog(spark, sf_dir))
+    rows, _ = enc.label_encode(faq, "FaqSettingId", "label_faq")
+    return rows.select("ord", "FaqSettingId", "label_faq")
+
+
+@query
+def char_vocab(spark, sf_dir):
+    return enc.char_vocab(cp.corpus_intent(Catalog(spark, sf_dir)), "Text")
+
+
+@query
+def encode_pad(spark, sf_dir):
+    faq = cp.corpus_faq(Catalog(spark, sf_dir))
+    out = enc.encode_pad(faq, "Text", enc.char_vocab(faq, "Text"))
+    return out.select("ord", _ids_str(F.col("ids")).alias("ids"))
+
+
+@query
+def encode_query(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    faq = cp.corpus_faq(cat)
+    maxlen = faq.select(F.max(F.length("Text"))).scalar()
+    out = enc.encode_query(cat.read("questions"), "text", enc.char_vocab(faq, "Text"), maxlen)
+    return out.select("qid", _ids_str(F.col("ids")).alias("ids"))
+
+
+@query
+def encode_mask(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    faq = cp.corpus_faq(cat)
+    maxlen = faq.select(F.max(F.length("Text"))).scalar()
+    out = enc.encode_mask(cat.read("questions"), "text", enc.char_vocab(faq, "Text"), maxlen)
+    return out.select("qid", _ids_str(F.col("ids")).alias("ids"), _ids_str(F.col("mask")).alias("mask"))
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    parts = []
+    for head, df, col, label in (
+        ("faq", cp.corpus_faq(cat), "Text", "FaqSettingId"),
+        ("intent", cp.corpus_intent(cat), "Text", "IntentionName"),
+        ("emo", cp.corpus_emo(cat), "Question", "EmotionName"),
+    ):
+        parts.append(enc.corpus_stats(df, col, label, enc.char_vocab(df, col)).withColumn("head", F.lit(head)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# -- options ------------------------------------------------------------------
+@query
+def threshold_resolve(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return ans.threshold_resolve(cat, cat.read("questions"))
+
+
+@query
+def refresh_options(spark, sf_dir):
+    """Refresh: rebuild the corpora, resolve options and model kinds (#30, #31, #54)."""
+    cat = Catalog(spark, sf_dir)
+    o = cp.option_values(cat).select(
+        F.col("SimilarityFAQBot").alias("t_faq"), F.col("SimilarityIntentionBot").alias("t_intent")
+    )
+    kinds = cp.model_choice(cat)
+    n = spark.range(1).select(
+        cp.corpus_faq(cat).select(F.count(F.lit(1))).scalar().alias("n_faq"),
+        cp.corpus_intent(cat).select(F.count(F.lit(1))).scalar().alias("n_intent"),
+        cp.corpus_emo(cat).select(F.count(F.lit(1))).scalar().alias("n_emo"),
+    )
+    return _one_row(o, kinds, n)
+
+
+def _one_row(*dfs):
+    out = dfs[0]
+    for d in dfs[1:]:
+        for c in d.columns:
+            out = out.withColumn(c, d.select(c).scalar())
+    return out
+
+
+# -- relational NB heads ------------------------------------------------------
+def _classes(model):
+    return model.classes.select(
+        "cls", model.label, "docs", "n_tok", F.round("prior", 6).alias("prior"), F.round("ld", 6).alias("ld")
+    )
+
+
+@query
+def train_faq(spark, sf_dir):
+    return _classes(bayes.train(cp.corpus_faq(Catalog(spark, sf_dir)), "Text", "FaqSettingId"))
+
+
+@query
+def train_intent(spark, sf_dir):
+    return _classes(bayes.train(cp.corpus_intent(Catalog(spark, sf_dir)), "Text", "IntentionName"))
+
+
+@query
+def train_emo(spark, sf_dir):
+    return _classes(bayes.train(cp.corpus_emo(Catalog(spark, sf_dir)), "Question", "EmotionName"))
+
+
+def _intent_vectors(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    model = bayes.train(cp.corpus_intent(cat), "Text", "IntentionName")
+    return bayes.score_vector(model, ans.prepare_questions(cat), "text")
+
+
+def _long(df, col):
+    return df.select("qid", F.posexplode(col).alias("cls", "p")).select("qid", "cls", F.round("p", 3).alias("p"))
+
+
+@query
+def predict_proba(spark, sf_dir):
+    return _long(_intent_vectors(spark, sf_dir), "proba")
+
+
+@query
+def softmax(spark, sf_dir):
+    return _long(_intent_vectors(spark, sf_dir), vx.softmax(F.col("scores")))
+
+
+@query
+def softmax_contrast(spark, sf_dir):
+    return _long(_intent_vectors(spark, sf_dir), vx.softmax_contrast(F.col("proba")))
+
+
+@query
+def calib_intent(spark, sf_dir):
+    return _long(_intent_vectors(spark, sf_dir), vx.calib_intent(F.col("proba")))
+
+
+@query
+def round_scores(spark, sf_dir):
+    v = _intent_vectors(spark, sf_dir)
+    return v.select("qid", F.posexplode(vx.round_list(F.col("proba"), 3)).alias("cls", "p"))
+
+
+@query
+def topk_classes(spark, sf_dir):
+    v = _intent_vectors(spark, sf_dir)
+    t = v.select("qid", F.posexplode(vx.topk(F.col("proba"), 2)).alias("pos", "e"))
+    return t.select("qid", (F.col("pos") + 1).alias("rank"), F.col("e.idx").alias("cls"), F.round("e.p", 3).alias("p"))
+
+
+@query
+def score_offset(spark, sf_dir):
+    """Emotion with a per-class offset on the raw scores before argmax (#50)."""
+    cat = Catalog(spark, sf_dir)
+    heads = ans.build_heads(cat)
+    return ans.emotion(heads, ans.prepare_questions(cat), balance=[0.0, 5.0, 0.0, -5.0])
+
+
+@query
+def rank_faq(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    heads = ans.build_heads(cat)
+    return ans.rank_faq_long(heads, ans.prepare_questions(cat))
+
+
+@query
+def calib_faq(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    model = bayes.train(cp.corpus_faq(cat), "Text", "FaqSettingId")
+    top = bayes.score_topk(model, ans.prepare_questions(cat), "text", 4)
+    return top.select("qid", "rank", F.round(F.sqrt(F.col("p") * 100) / 10, 3).alias("p"))
+
+
+@query
+def faq_lookup(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return ans.faq_lookup(cp.corpus_faq(cat), cp.corpus_intent(cat))
+
+
+@query
+def answer_v1(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    a = ans.answer_v1(cat, ans.build_heads(cat))
+    flat = [F.col(c) for c in a.columns if c not in ("Referral", "Referral_faqsettingid", "Referral_intent", "Similarity")]
+    for c, n in (("Referral", 3), ("Referral_faqsettingid", 3), ("Referral_intent", 3), ("Similarity", 4)):
+        flat += [F.get(F.col(c), i).alias(f"{c}_{i + 1}") for i in range(n)]
+    return a.select(*flat)
