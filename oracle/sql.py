@@ -413,3 +413,118 @@ ORACLE["answer_v1"] = with_("ans1") + """select qid,
   case when fb then null else s1 end "Similarity_1", case when fb then null else s2 end "Similarity_2",
   case when fb then null else s3 end "Similarity_3", case when fb then null else s4 end "Similarity_4"
   from ans1"""
+
+# ---------------------------------------------------------------------------
+# sources
+# ---------------------------------------------------------------------------
+ORACLE["scan_role"] = with_("intent") + """select ord, "IntentionName" from intent where "IntentionName" = 'en'"""
+ORACLE["questions"] = with_("questions") + "select qid, text, threshold_faq, threshold_intent from questions"
+
+# ---------------------------------------------------------------------------
+# sentiment, emotion features, cache refresh
+# ---------------------------------------------------------------------------
+nb_blocks("hs", "sent", "text", "positive")
+HSQ = nb_score_blocks("hs", "questions", [])
+ORACLE["sentiment"] = with_(f"{HSQ}_p", "hs_idx") + f"""select qid, round(p, 3) sentiment
+  from {HSQ}_p join hs_idx using(cls) where lbl = 1"""
+
+block("emo_q", ["corpus_emo"], """
+  select distinct ord qid, "Question" text from corpus_emo""")
+HEQ = nb_score_blocks("he", "emo_q", [])
+HSE = nb_score_blocks("hs", "emo_q", [])
+block("emo_f", [f"{HEQ}_p", f"{HSE}_p", "hs_idx"], f"""
+  select e.qid ord,
+         round(max(case when e.cls = 0 then e.p end), 3) f0, round(max(case when e.cls = 1 then e.p end), 3) f1,
+         round(max(case when e.cls = 2 then e.p end), 3) f2, round(max(case when e.cls = 3 then e.p end), 3) f3,
+         round(max(s.p), 3) f4
+  from {HEQ}_p e
+  join (select qid, p from {HSE}_p join hs_idx using(cls) where lbl = 1) s using(qid)
+  group by e.qid""")
+ORACLE["emo_features"] = with_("corpus_emo", "he_idx", "emo_f") + """select c.ord, c."EmotionName", i.cls label_emo,
+  f.f0, f.f1, f.f2, f.f3, f.f4
+  from corpus_emo c join he_idx i on i.lbl = c."EmotionName" join emo_f f using(ord)"""
+
+
+def emo_chain(sfx: str, q: float) -> None:
+    block(f"emo_clean{sfx}", ["emo_conv"], f"""
+  select * from (
+    select * from emo_conv
+    where length("Question") between 4 and (select quantile_cont(length("Question"), {q}) from emo_conv)
+      and "Question" <> '')
+  qualify row_number() over (partition by "Question" order by ord) = 1""")
+    block(f"emo_s{sfx}", [f"emo_clean{sfx}"], f"""
+  select n s from (select "EmotionName", count(*) n from emo_clean{sfx} group by 1)
+  order by n desc limit 1 offset 1""")
+    block(f"emo_capped{sfx}", [f"emo_clean{sfx}", f"emo_s{sfx}"], f"""
+  select ord, "Question", "EmotionName" from emo_clean{sfx}
+  qualify row_number() over (partition by "EmotionName"
+                             order by md5(cast(ord as varchar) || '|42')) <= (select s from emo_s{sfx})""")
+    block(f"corpus_emo{sfx}", [f"emo_capped{sfx}", f"emo_s{sfx}"], f"""
+  select * from emo_capped{sfx}
+  union all
+  select ord, "Question", "EmotionName" from (
+    select c.*, row_number() over (partition by "EmotionName"
+                                   order by md5(cast(ord as varchar) || '|43')) r,
+           (select s from emo_s{sfx}) - count(*) over (partition by "EmotionName") lack
+    from emo_capped{sfx} c)
+  where r <= lack""")
+    block(f"emo_keys{sfx}", [f"corpus_emo{sfx}"], f"""
+  select ord, "Question", "EmotionName",
+         cast(dense_rank() over (order by "EmotionName") - 1 as integer) label_emo
+  from corpus_emo{sfx}""")
+
+
+emo_chain("7", 0.7)
+emo_chain("8", 0.8)
+block("f_same", ["emo_keys7", "emo_keys8"], """
+  select o."Question", o."EmotionName", o.label_emo from emo_keys7 o
+  join emo_keys8 c on o."Question" = c."Question" and o."EmotionName" = c."EmotionName" and o.label_emo = c.label_emo""")
+block("f_keep", ["emo_keys7", "f_same"], """
+  select * from emo_keys7 where "Question" in (select "Question" from f_same)""")
+block("f_diff", ["emo_keys8", "f_same"], """
+  select * from emo_keys8 where "Question" not in (select "Question" from f_same)""")
+ORACLE["feature_same"] = with_("f_same") + 'select "EmotionName", label_emo, md5("Question") q from f_same'
+ORACLE["feature_keep"] = with_("f_keep") + 'select ord, "EmotionName", label_emo from f_keep'
+ORACLE["feature_diff"] = with_("f_diff") + 'select ord, "EmotionName", label_emo from f_diff'
+ORACLE["feature_refresh"] = with_("f_keep", "f_diff") + """select ord, "EmotionName", label_emo, 'new' origin from f_diff
+  union all select ord, "EmotionName", label_emo, 'kept' origin from f_keep"""
+
+# ---------------------------------------------------------------------------
+# evaluation of the nb intent head on the hash split
+# ---------------------------------------------------------------------------
+block("intent_split", ["corpus_intent"], """
+  select *, case when substr(md5(cast(ord as varchar) || '|42'), 1, 4) < 'cccd' then 'train' else 'test' end split
+  from corpus_intent""")
+block("intent_train", ["intent_split"], "  select * from intent_split where split = 'train'")
+nb_blocks("ht", "intent_train", "Text", "IntentionName")
+block("eval_q", ["intent_split"], """  select ord qid, "Text" text, "IntentionName", split from intent_split""")
+HTQ = nb_score_blocks("ht", "eval_q", [])
+ORACLE["eval_report"] = with_("eval_q", "ht_idx", f"{HTQ}_rk") + f"""select 'IntentionName' head, 'nb' kind, split,
+  count(*) n, round(avg(case when coalesce(pred = y, false) then 1.0 else 0.0 end), 4) accuracy,
+  round(avg(-ln(greatest(coalesce(pt, 0.0), 1e-15))), 4) log_loss
+  from (select q.qid, q.split, i.cls y,
+               (select r.cls from {HTQ}_rk r where r.qid = q.qid and r.rank = 1) pred,
+               (select r.p from {HTQ}_rk r where r.qid = q.qid and r.cls = i.cls) pt
+        from eval_q q left join ht_idx i on i.lbl = q."IntentionName")
+  group by split"""
+
+# ---------------------------------------------------------------------------
+# answers: v1 tuple, routing, stream
+# ---------------------------------------------------------------------------
+block("int_sims", [f"{HI}_rk"], f"""
+  select qid, max(case when rank = 2 then round(p, 3) end) i2, max(case when rank = 3 then round(p, 3) end) i3
+  from {HI}_rk group by qid""")
+ORACLE["rank_faq_v1"] = with_("ans1", "int_sims") + """select qid, pred_intent, f1 faqid, answer faq_answer,
+  f2 referral_faqid_1, f3 referral_faqid_2, f4 referral_faqid_3,
+  d1 referral_1, d2 referral_2, d3 referral_3, d4 referral_4,
+  n1 referral_intent_1, n2 referral_intent_2, n3 referral_intent_3, n4 referral_intent_4,
+  s1 similarity_faq_1, s2 similarity_faq_2, s3 similarity_faq_3, s4 similarity_faq_4,
+  i1 similarity_intent_1, i2 similarity_intent_2, i3 similarity_intent_3
+  from ans1 join int_sims using(qid)"""
+ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
+  case when fb then 'ChatBot' else 'parlance' end "Bot",
+  case when fb then coalesce(x.answer, '聊天小幫手忙碌中') else a.answer end "Answer",
+  case when fb then 0 else f1 end "Answer_faqsettingid", s1 max_prob, i1 pred_intent_prob
+  from ans1 a left join (select conv_id * 1000 + turn - 1 qid, text answer
+                         from conversations where role = 'assistant') x on x.qid = a.qid"""
+ORACLE["answer_stream"] = ORACLE["answer_v1"]

@@ -335,8 +335,256 @@ def faq_lookup(spark, sf_dir):
 @query
 def answer_v1(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
-    a = ans.answer_v1(cat, ans.build_heads(cat))
+    return _flat_v1(ans.answer_v1(cat, ans.build_heads(cat)))
+
+# -- sources ----------------------------------------------------------------
+@query
+def scan_role(spark, sf_dir):
+    """Role scan with projection and filter; both reach the parquet scan (#1)."""
+    from parlance.sources.catalog import scan_role as scan
+
+    cat = Catalog(spark, sf_dir)
+    return scan(cat, "intent", ["ord", "IntentionName"], F.col("IntentionName") == "en")
+
+
+@query
+def questions(spark, sf_dir):
+    """Question source (#6)."""
+    return Catalog(spark, sf_dir).read("questions")
+
+
+# -- sentiment and emotion features ----------------------------------------
+def _features_parts(spark, sf_dir, band=cp.EMO_BAND):
+    from parlance.operators import features as ft
+    from parlance.operators import models as md
+
+    cat = Catalog(spark, sf_dir)
+    corpus = cp.corpus_emo(cat, band)
+    head = md.fit("nb", corpus, "Question", "EmotionName")
+    sent = ft.train_sentiment(cat.read("sent"))
+    return cat, corpus, head, sent
+
+
+def _flat_f(df, n=5):
+    return [F.round(F.get(F.col("f"), i), 3).alias(f"f{i}") for i in range(n)]
+
+
+@query
+def sentiment(spark, sf_dir):
+    from parlance.operators import features as ft
+
+    cat = Catalog(spark, sf_dir)
+    model = ft.train_sentiment(cat.read("sent"))
+    s = ft.sentiment(model, cat.read("questions"), "qid", "text")
+    return s.select("qid", F.round("sentiment", 3).alias("sentiment"))
+
+
+@query
+def emo_features(spark, sf_dir):
+    from parlance.operators import features as ft
+
+    _cat, corpus, head, sent = _features_parts(spark, sf_dir)
+    f = ft.emo_features(head, sent, corpus)
+    return f.select("ord", "EmotionName", "label_emo", *_flat_f(f))
+
+
+def _cached_and_current(spark, sf_dir):
+    """Cache = the emotion corpus of an earlier refresh (band .7); current = band .8."""
+    from parlance.operators import encode as enc2
+
+    cat = Catalog(spark, sf_dir)
+    old = cp.corpus_emo(cat, (4, 0.7))
+    cur = cp.corpus_emo(cat)
+    o, _ = enc2.label_encode(old, "EmotionName", "label_emo")
+    c, _ = enc2.label_encode(cur, "EmotionName", "label_emo")
+    return o, c
+
+
+@query
+def feature_same(spark, sf_dir):
+    from parlance.operators import features as ft
+
+    o, c = _cached_and_current(spark, sf_dir)
+    return ft.feature_same(o, c).select("EmotionName", "label_emo", F.md5("Question").alias("q"))
+
+
+@query
+def feature_keep(spark, sf_dir):
+    from parlance.operators import features as ft
+
+    o, c = _cached_and_current(spark, sf_dir)
+    return ft.feature_keep(o, ft.feature_same(o, c)).select("ord", "EmotionName", "label_emo")
+
+
+@query
+def feature_diff(spark, sf_dir):
+    from parlance.operators import features as ft
+
+    o, c = _cached_and_current(spark, sf_dir)
+    return ft.feature_diff(c, ft.feature_same(o, c)).select("ord", "EmotionName", "label_emo")
+
+
+@query
+def feature_refresh(spark, sf_dir):
+    """Versioned cache: v1 = features of the earlier corpus, v2 = incremental refresh (#2, #3, #39)."""
+    import uuid
+
+    from parlance.operators import features as ft
+    from parlance.session import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark)}/features-{uuid.uuid4().hex}"
+    _cat, old, old_head, sent = _features_parts(spark, sf_dir, (4, 0.7))
+    ft.write_cache(ft.emo_features(old_head, sent, old), base)
+    _cat, cur, head, _ = _features_parts(spark, sf_dir)
+    cur = cur.join(head.decode.select(F.col("cls").alias("label_emo"), "EmotionName"), "EmotionName")
+    n_classes = head.decode.count()
+    new = ft.refresh(ft.read_cache(spark, base), cur, n_classes, lambda rows: ft.emo_features(head, sent, rows))
+    ft.write_cache(new, base)
+    return ft.read_cache(spark, base).select("ord", "EmotionName", "label_emo", "origin")
+
+
+# -- models ---------------------------------------------------------------------
+@query
+def eval_report(spark, sf_dir):
+    """Intent head (nb) trained on the hash train split; accuracy and log loss per split (#64)."""
+    from parlance.operators import models as md
+
+    split = smp.holdout_split(cp.corpus_intent(Catalog(spark, sf_dir)))
+    train = split.filter(F.col("split") == "train")
+    head = md.fit("nb", train, "Text", "IntentionName")
+    return md.eval_report(head, train, "Text", "train").unionByName(
+        md.eval_report(head, split.filter(F.col("split") == "test"), "Text", "test")
+    )
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """Save, load and re-score each kind on the intent head: equal predictions (#4, #5)."""
+    from parlance.operators import models as md
+    from parlance.plans.jobs import model_path
+
+    cat = Catalog(spark, sf_dir)
+    corpus = cp.corpus_intent(cat)
+    q = ans.prepare_questions(cat)
+    out = None
+    for kind in ("nb", "logreg"):
+        head = md.fit(kind, corpus, "Text", "IntentionName")
+        path = model_path(spark, f"roundtrip-{kind}")
+        md.save(head, path)
+        back = md.load(spark, path, kind, "IntentionName")
+        a = md.predict_proba(head, q).select("qid", F.col("proba").alias("a"))
+        b = md.predict_proba(back, q).select("qid", F.col("proba").alias("b"))
+        r = a.join(b, "qid").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum((vx.argmax(F.col("a")) == vx.argmax(F.col("b"))).cast("int")).alias("n_equal"),
+        ).withColumn("kind", F.lit(kind))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query
+def train_all(spark, sf_dir):
+    """Options choose the kind of each head; train, save, stack (#62, #76)."""
+    from parlance.plans import jobs
+
+    cat = Catalog(spark, sf_dir)
+    return jobs.train_all(cat, jobs.model_path(spark, "train_all")).status
+
+
+@query
+def load_all(spark, sf_dir):
+    from parlance.plans import jobs
+
+    cat = Catalog(spark, sf_dir)
+    path = jobs.model_path(spark, "load_all")
+    jobs.train_all(cat, path)
+    return jobs.load_all(cat, path)
+
+
+@query
+def train_stack(spark, sf_dir):
+    """Stacked emotion booster on [probabilities, sentiment]; in-sample predictions (#67)."""
+    from parlance.operators import features as ft
+    from parlance.operators import models as md
+
+    _cat, corpus, head, sent = _features_parts(spark, sf_dir)
+    f = ft.emo_features(head, sent, corpus)
+    stack = md.train_stack(f)
+    return md.score_stack(stack, f.select(F.col("ord").alias("qid"), "f").distinct(), head.decode)
+
+
+@query
+def score_emotion(spark, sf_dir):
+    """Questions -> punctuation stripped -> features -> stacked model -> emotion (#68)."""
+    from parlance.operators import features as ft
+    from parlance.operators import models as md
+
+    cat, corpus, head, sent = _features_parts(spark, sf_dir)
+    stack = md.train_stack(ft.emo_features(head, sent, corpus))
+    q = ans.prepare_questions(cat).select("qid", tx.strip_punct("text").alias("text"))
+    proba = md.predict_proba(head, q)
+    s = ft.sentiment(sent, q, "qid", "text")
+    feats = proba.join(s, "qid").select("qid", F.concat("proba", F.array("sentiment")).alias("f"))
+    return md.score_stack(stack, feats, head.decode)
+
+
+# -- answers ----------------------------------------------------------------------
+@query
+def rank_faq_v1(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    r = ans.rank_faq_v1(ans.build_heads(cat), ans.prepare_questions(cat))
+    cols = [F.col("qid"), "pred_intent", "faqid", "faq_answer"]
+    cols += [F.get("referral_faqid", i).alias(f"referral_faqid_{i + 1}") for i in range(3)]
+    cols += [F.get("referral", i).alias(f"referral_{i + 1}") for i in range(4)]
+    cols += [F.get("referral_intent", i).alias(f"referral_intent_{i + 1}") for i in range(4)]
+    cols += [F.get("similarity_faq", i).alias(f"similarity_faq_{i + 1}") for i in range(4)]
+    cols += [F.get("similarity_intent", i).alias(f"similarity_intent_{i + 1}") for i in range(3)]
+    return r.select(*cols)
+
+
+def _external_answers(cat):
+    """Answers of the other service, as a table: the next assistant turn of the conversation."""
+    conv = cat.table("conversations")
+    nxt = conv.filter(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("qid"), F.col("text").alias("answer")
+    )
+    return nxt
+
+
+@query
+def route_fallback(spark, sf_dir):
+    """Threshold routing to the fallback bot with answers from a table (#22, #73)."""
+    cat = Catalog(spark, sf_dir)
+    a = ans.answer_v1(cat, ans.build_heads(cat), external=_external_answers(cat))
+    return a.select("qid", "Bot", "Answer", "Answer_faqsettingid", "max_prob", "pred_intent_prob")
+
+
+@query
+def answer_v2(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return ans.answer_v2(cat, ans.build_heads(cat))
+
+
+@query
+def answers_json(spark, sf_dir):
+    cat = Catalog(spark, sf_dir)
+    return ans.answers_json(ans.answer_v2(cat, ans.build_heads(cat)))
+
+
+def _flat_v1(a):
     flat = [F.col(c) for c in a.columns if c not in ("Referral", "Referral_faqsettingid", "Referral_intent", "Similarity")]
     for c, n in (("Referral", 3), ("Referral_faqsettingid", 3), ("Referral_intent", 3), ("Similarity", 4)):
         flat += [F.get(F.col(c), i).alias(f"{c}_{i + 1}") for i in range(n)]
     return a.select(*flat)
+
+
+@query
+def answer_stream(spark, sf_dir):
+    """Stream of user turns answered per micro-batch; equals the batch answers (#75)."""
+    from parlance.streaming import answers as st
+
+    cat = Catalog(spark, sf_dir)
+    heads = ans.build_heads(cat)
+    out, state = st.stream_folders(spark)
+    st.answer_stream(cat, heads, out, state, shape=_flat_v1)
+    return spark.read.parquet(out).drop("batch_id")
