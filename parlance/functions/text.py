@@ -9,6 +9,8 @@ result.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ PUNCT = r"[!-/:-@\[-`{-~]"
 
 # Size bound for a dictionary that travels with every row as one value.
 MAX_INLINE_PAIRS = 20000
-MAX_INLINE_STOPWORDS = 50000
+MAX_INLINE_STOPWORDS = 5000
 
 
 def segment(text: Column | str) -> Column:
@@ -184,18 +186,20 @@ def replace_all_to_one(df: DataFrame, col: str, syn: DataFrame, target: str = ""
 def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, key: str = "ord") -> DataFrame:
     """Drop segments equal to a stop word; concatenate the rest with no separator.
 
-    A stop list of bounded size is one set value shared by all rows. A
-    larger list is applied as an anti join on (row, position, segment) and
-    the kept segments are re-joined in position order.
+    A stop list of bounded size becomes one compiled pattern: a word made
+    of letters/digits is removed where it is a whole letter/digit run, a
+    word made of separators where it is a whole separator run; a mixed word
+    can never equal a segment and is left out. That is exactly the segment
+    filter, evaluated as one regex replace per row. A larger list is
+    applied as an anti join on (row, position, segment) and the kept
+    segments are re-joined in position order.
     """
-    n = stop.count()
-    if n <= MAX_INLINE_STOPWORDS:
-        stop_set = stop.select(
-            F.coalesce(F.collect_set("Text"), F.array().cast("array<string>"))
-        ).scalar()
-        df = with_value(df, "_stop", stop_set)
-        kept = F.filter(segment(F.col(col)), lambda s: ~F.array_contains(F.col("_stop"), s))
-        return df.withColumn(col, F.when(F.col(col).isNotNull(), F.array_join(kept, ""))).drop("_stop")
+    words = [r[0] for r in stop.filter(F.col("Text").isNotNull()).distinct().limit(MAX_INLINE_STOPWORDS + 1).collect()]
+    if len(words) <= MAX_INLINE_STOPWORDS:
+        pattern = stopword_pattern(words)
+        if pattern is None:
+            return df
+        return df.withColumn(col, F.regexp_replace(F.col(col), pattern, ""))
     segs = df.select(key, F.posexplode(segment(F.col(col))).alias("_pos", "_seg"))
     kept = segs.join(stop.select(F.col("Text").alias("_seg")), "_seg", "left_anti")
     joined = kept.groupBy(key).agg(
@@ -210,6 +214,30 @@ def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, key: str = "ord"
     )
 
 
+def stopword_pattern(words: list[str]) -> str | None:
+    """Java regex removing whole segments equal to one of ``words``."""
+    alnum = sorted({w for w in words if w and all(_is_alnum(c) for c in w)}, key=lambda w: (-len(w), w))
+    seps = sorted({w for w in words if w and not any(_is_alnum(c) for c in w)}, key=lambda w: (-len(w), w))
+    parts = []
+    if alnum:
+        parts.append(r"(?<![\p{L}\p{N}])(?:" + "|".join(_jquote(w) for w in alnum) + r")(?![\p{L}\p{N}])")
+    if seps:
+        parts.append(r"(?<![^\p{L}\p{N}])(?:" + "|".join(_jquote(w) for w in seps) + r")(?![^\p{L}\p{N}])")
+    return "|".join(parts) if parts else None
+
+
+def _is_alnum(c: str) -> bool:
+    cat = unicodedata.category(c)
+    return cat[0] in ("L", "N")
+
+
+def _jquote(w: str) -> str:
+    return "".join("\\" + c if c in _JAVA_SPECIAL else c for c in w)
+
+
+_JAVA_SPECIAL = set("\\.[]{}()<>*+-=!?^$|&/#~@%:,;'\"` ")
+
+
 # ---------------------------------------------------------------------------
 # Script / dialect conversion (#14)
 # ---------------------------------------------------------------------------

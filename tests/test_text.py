@@ -70,3 +70,11 @@ def test_segment_is_lossless_and_tokens(spark):
     assert r.j == "瀏覽器打不開, OK 42x"
     assert r.k == ["瀏", "覽", "器", "打", "不", "開", "ok", "42", "x"]
     assert len(r.c) == 14
+
+
+def test_stopword_pattern_separator_words(spark):
+    stop = spark.createDataFrame([("the",), (", ",), ("a.b",)], "Text string")
+    df = spark.createDataFrame([(1, "the, cat, the,dog a.b"), (2, "there, ,  x")], "ord long, t string")
+    got = {r.ord: r.t for r in tx.exclude_stopwords(df, "t", stop).collect()}
+    # segments: the|, |cat|, |the|,|dog| |a|.|b  -> drop "the" and ", " only
+    assert got == {1: "cat,dog a.b", 2: "there, ,  x"}
