@@ -528,3 +528,10 @@ ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
   from ans1 a left join (select conv_id * 1000 + turn - 1 qid, text answer
                          from conversations where role = 'assistant') x on x.qid = a.qid"""
 ORACLE["answer_stream"] = ORACLE["answer_v1"]
+
+ORACLE["synonym_canon"] = with_("faq", "syn") + """select s."SynonymId", s."Text" term, c.first_word, count(*) n_rows
+  from syn s join (select "SynonymId", min_by("Text", ord) first_word from syn where "Text" is not null group by 1) c
+    using("SynonymId")
+  join faq f on contains(f."Text", s."Text")
+  where s."Text" is not null
+  group by 1, 2, 3"""

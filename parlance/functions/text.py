@@ -253,3 +253,24 @@ def script_convert(df: DataFrame, cols: list[str], mapping: DataFrame) -> DataFr
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def synonym_usage(df: DataFrame, col: str, syn: DataFrame) -> DataFrame:
+    """(SynonymId, term, first_word, n_rows): rows of ``df`` containing each term (#8 report).
+
+    The bounded pair array travels as one value; each row keeps the pairs
+    whose term it contains, so no join with the dictionary is needed.
+    """
+    pairs = synonym_canon(syn).filter(F.col("Text").isNotNull() & F.col("first_word").isNotNull())
+    arr = pairs.select(
+        F.coalesce(
+            F.collect_list(F.struct("SynonymId", F.col("Text").alias("term"), "first_word")),
+            F.array().cast("array<struct<SynonymId:bigint,term:string,first_word:string>>"),
+        )
+    ).scalar()
+    hits = with_value(df.select(col), "_p", arr).select(
+        F.explode(F.filter("_p", lambda p: F.contains(F.col(col), p["term"]))).alias("h")
+    )
+    return hits.groupBy(
+        F.col("h.SynonymId").alias("SynonymId"), F.col("h.term").alias("term"), F.col("h.first_word").alias("first_word")
+    ).agg(F.count(F.lit(1)).alias("n_rows"))

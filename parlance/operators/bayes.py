@@ -72,22 +72,25 @@ def doc_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def train(corpus: DataFrame, text: str, label: str) -> NBModel:
-    """Fit on ``corpus``; duplicate rows (balancing copies) count as separate documents."""
-    index = dense_index(corpus, label, "cls")
-    rows = corpus.select(text, label).join(index, label).select(text, "cls")
-    counts = (
+    """Fit on ``corpus``; duplicate rows (balancing copies) count as separate documents.
+
+    Token counts per (token, class) are combined map-side and written once;
+    class statistics and the vocabulary size are read from that table.
+    """
+    index = materialize(dense_index(corpus, label, "cls"))
+    rows = corpus.select(text, label).join(broadcast_if_bounded(index), label).select(text, "cls")
+    counts = materialize(
         rows.select("cls", F.explode(tokens(F.col(text))).alias("token"))
         .groupBy("token", "cls")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    n_docs = rows.select(F.count(F.lit(1))).scalar()
+    docs = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("docs"))
+    per_class = docs.join(counts.groupBy("cls").agg(F.sum("cnt").alias("n_tok")), "cls", "left").fillna(0, ["n_tok"])
+    per_class = materialize(per_class.join(index, "cls"))
+    n_docs = per_class.select(F.sum("docs")).scalar()
     v = counts.select(F.count_distinct("token")).scalar()
-    per_class = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("docs")).join(
-        counts.groupBy("cls").agg(F.sum("cnt").alias("n_tok")), "cls", "left"
-    ).fillna(0, ["n_tok"])
-    classes = (
-        per_class.join(index, "cls")
-        .withColumn("_N", n_docs)
+    classes = materialize(
+        per_class.withColumn("_N", n_docs)
         .withColumn("_V", v)
         .select(
             "cls",
@@ -98,7 +101,6 @@ def train(corpus: DataFrame, text: str, label: str) -> NBModel:
             F.log((F.col("n_tok") + F.col("_V")).cast("double")).alias("ld"),
         )
     )
-    classes = materialize(classes)
     weights = materialize(
         counts.join(broadcast_if_bounded(classes.select("cls", "prior", "ld")), "cls")
         .select("token", "cls", F.log((F.col("cnt") + 1).cast("double")).alias("w"), "prior", "ld")
@@ -110,13 +112,13 @@ def train(corpus: DataFrame, text: str, label: str) -> NBModel:
 # scoring
 # ---------------------------------------------------------------------------
 def _question_terms(model: NBModel, questions: DataFrame, text: str):
-    qt = doc_tokens(questions, "qid", text)
+    qt = materialize(doc_tokens(questions, "qid", text))
     lengths = (
         qt.join(model.vocab, "token", "left_semi")
         .groupBy("qid")
         .agg(F.sum("tf").alias("L"))
     )
-    q = questions.select("qid").join(lengths, "qid", "left").fillna(0, ["L"])
+    q = materialize(questions.select("qid").join(lengths, "qid", "left").fillna(0, ["L"]))
     matched = (
         qt.join(model.weights, "token")
         .select("qid", "cls", (F.col("tf") * F.col("w")).alias("c"), "prior", "ld")
@@ -184,12 +186,14 @@ def score_topk(model: NBModel, questions: DataFrame, text: str, k: int) -> DataF
         .withColumn("s", F.col("b") + F.col("m"))
     )
     w = Window.partitionBy("qid")
-    m = materialize(m.withColumn("ms", F.max("s").over(w)).withColumn("M", F.greatest("ms", "logB")))
+    m = materialize(
+        m.withColumn("M", F.greatest(F.max("s").over(w), F.col("logB"))).select("qid", "cls", "s", "b", "M")
+    )
     stats = m.groupBy("qid").agg(
         F.first("M").alias("M"),
         F.sum(F.exp(F.col("s") - F.col("M")) - F.exp(F.col("b") - F.col("M"))).alias("extra"),
     )
-    qs = (
+    qs = materialize(
         qinfo.join(stats, "qid", "left")
         .withColumn("M", F.coalesce("M", "logB"))
         .withColumn("Zp", F.exp(F.col("logB") - F.col("M")) + F.coalesce("extra", F.lit(0.0)))

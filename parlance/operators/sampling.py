@@ -97,7 +97,7 @@ def balance(df: DataFrame, label: str, key: str = "ord") -> DataFrame:
     """Cap then top-up with the same s, computed once on the uncapped sizes."""
     from parlance.operators.util import materialize
 
-    s = second_size(class_sizes(df, label))
+    s = F.coalesce(second_size(class_sizes(df, label)), F.raise_error(F.lit("balancing needs at least two classes")))
     capped = materialize(balance_cap(df, label, key, s))
     return balance_topup(capped, label, key, s)
 

@@ -66,6 +66,13 @@ def _ids_str(c):
 
 
 # -- cleaning ---------------------------------------------------------------
+@query
+def synonym_canon(spark, sf_dir):
+    """Canonical word of each synonym term and how many FAQ phrases contain the term (#8, #23)."""
+    cat = Catalog(spark, sf_dir)
+    return tx.synonym_usage(cat.read("faq"), "Text", cat.read("syn"))
+
+
 @query
 def synonym_replace(spark, sf_dir):
     cat = Catalog(spark, sf_dir)

@@ -69,3 +69,11 @@ def test_holdout_split_about_80(spark):
     df = spark.range(5000).withColumnRenamed("id", "ord")
     share = smp.holdout_split(df).select(F.avg((F.col("split") == "train").cast("double"))).first()[0]
     assert 0.77 < share < 0.83
+
+
+def test_balance_needs_two_classes(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "ord long, EmotionName string")
+    with pytest.raises(Exception, match="at least two classes"):
+        smp.balance(df, "EmotionName").collect()
