@@ -8,7 +8,7 @@ questions -> synonyms -> FAQ head top-k (sparse, exact) + intent head vector
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,27 +27,35 @@ K_FAQ = 4
 K_INTENT = 4
 
 
-@dataclass
 class Heads:
-    faq: bayes.NBModel
-    intent: bayes.NBModel
-    emo: bayes.NBModel
-    corpus_faq: DataFrame
-    corpus_intent: DataFrame
+    """Corpora and the three relational NB heads, each built on first use."""
+
+    def __init__(self, cat: Catalog):
+        self.cat = cat
+
+    @cached_property
+    def corpus_faq(self) -> DataFrame:
+        return cp.corpus_faq(self.cat)
+
+    @cached_property
+    def corpus_intent(self) -> DataFrame:
+        return cp.corpus_intent(self.cat)
+
+    @cached_property
+    def faq(self) -> bayes.NBModel:
+        return bayes.train(self.corpus_faq, "Text", "FaqSettingId")
+
+    @cached_property
+    def intent(self) -> bayes.NBModel:
+        return bayes.train(self.corpus_intent, "Text", "IntentionName")
+
+    @cached_property
+    def emo(self) -> bayes.NBModel:
+        return bayes.train(cp.corpus_emo(self.cat), "Question", "EmotionName")
 
 
 def build_heads(cat: Catalog) -> Heads:
-    """Corpora and the three relational NB heads."""
-    faq = cp.corpus_faq(cat)
-    intent = cp.corpus_intent(cat)
-    emo = cp.corpus_emo(cat)
-    return Heads(
-        faq=bayes.train(faq, "Text", "FaqSettingId"),
-        intent=bayes.train(intent, "Text", "IntentionName"),
-        emo=bayes.train(emo, "Question", "EmotionName"),
-        corpus_faq=faq,
-        corpus_intent=intent,
-    )
+    return Heads(cat)
 
 
 def prepare_questions(cat: Catalog, questions: DataFrame | None = None) -> DataFrame:
