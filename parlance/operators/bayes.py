@@ -38,6 +38,8 @@ MAX_DENSE_CLASSES = 1024
 # Class groups per chunk of the per-length base table.
 CHUNK = 2048
 MAX_LENGTHS_BROADCAST = 200_000
+# (token, class) weights under which the model is broadcast to the question partitions.
+MAX_MODEL_BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
@@ -50,6 +52,13 @@ class NBModel:
     def vocab(self) -> DataFrame:
         return self.weights.select("token").distinct()
 
+    def by_token(self) -> DataFrame:
+        """(token, e: array<struct<cls, w, prior, ld>>): the model as one row per token."""
+        return self.weights.groupBy("token").agg(F.collect_list(F.struct("cls", "w", "prior", "ld")).alias("e"))
+
+    def broadcastable(self) -> bool:
+        return self.weights.limit(MAX_MODEL_BROADCAST_ROWS + 1).count() <= MAX_MODEL_BROADCAST_ROWS
+
     def decode(self) -> DataFrame:
         return self.classes.select("cls", self.label)
 
@@ -112,20 +121,40 @@ def train(corpus: DataFrame, text: str, label: str) -> NBModel:
 # scoring
 # ---------------------------------------------------------------------------
 def _question_terms(model: NBModel, questions: DataFrame, text: str):
-    qt = materialize(doc_tokens(questions, "qid", text))
-    lengths = (
-        qt.join(model.vocab, "token", "left_semi")
-        .groupBy("qid")
-        .agg(F.sum("tf").alias("L"))
-    )
+    """(q: qid, L) for every question and (matched: qid, cls, m, prior, ld).
+
+    Broadcast path (model size checked): question tokens are partitioned by
+    qid once; the per-token class lists join map-side, and L (the first
+    entry of each matched token's list carries its tf) and the class sums
+    are aggregated inside those partitions, with no further shuffle.
+    Otherwise the token table and the weights meet in a shuffle join on
+    token and the pairs are regrouped by qid.
+    """
+    toks = questions.select("qid", F.explode(tokens(F.col(text))).alias("token"))
+    if model.broadcastable():
+        qt = toks.repartition("qid").groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf"))
+        j = qt.join(F.broadcast(model.by_token()), "token").select("qid", "tf", F.posexplode("e").alias("pos", "x"))
+        matched = materialize(
+            j.groupBy("qid", F.col("x.cls").alias("cls")).agg(
+                F.sum(F.col("tf") * F.col("x.w")).alias("m"),
+                F.first("x.prior").alias("prior"),
+                F.first("x.ld").alias("ld"),
+                F.sum(F.when(F.col("pos") == 0, F.col("tf")).otherwise(0)).alias("_l"),
+            )
+        )
+        lengths = matched.groupBy("qid").agg(F.sum("_l").alias("L"))
+        matched = matched.drop("_l")
+    else:
+        qt = materialize(toks.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf")))
+        lengths = qt.join(model.vocab, "token", "left_semi").groupBy("qid").agg(F.sum("tf").alias("L"))
+        matched = (
+            qt.join(model.weights, "token")
+            .select("qid", "cls", (F.col("tf") * F.col("w")).alias("c"), "prior", "ld")
+            .repartition("qid")
+            .groupBy("qid", "cls")
+            .agg(F.sum("c").alias("m"), F.first("prior").alias("prior"), F.first("ld").alias("ld"))
+        )
     q = materialize(questions.select("qid").join(lengths, "qid", "left").fillna(0, ["L"]))
-    matched = (
-        qt.join(model.weights, "token")
-        .select("qid", "cls", (F.col("tf") * F.col("w")).alias("c"), "prior", "ld")
-        .repartition("qid")
-        .groupBy("qid", "cls")
-        .agg(F.sum("c").alias("m"), F.first("prior").alias("prior"), F.first("ld").alias("ld"))
-    )
     return q, matched
 
 

@@ -79,3 +79,11 @@ def test_no_cartesian_in_topk_plan(toy):
     model, q, _ = toy
     plan = bayes.score_topk(model, q, "text", 4)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_shuffle_path_equals_broadcast_path(toy, monkeypatch):
+    model, q, want = toy
+    a = sorted((r.qid, r.rank, r.cls, round(r.p, 12)) for r in bayes.score_topk(model, q, "text", 3).collect())
+    monkeypatch.setattr(bayes, "MAX_MODEL_BROADCAST_ROWS", 0)
+    b = sorted((r.qid, r.rank, r.cls, round(r.p, 12)) for r in bayes.score_topk(model, q, "text", 3).collect())
+    assert a == b
