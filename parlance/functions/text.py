@@ -183,9 +183,13 @@ def replace_all_to_one(df: DataFrame, col: str, syn: DataFrame, target: str = ""
 # ---------------------------------------------------------------------------
 # Stop words (#11)
 # ---------------------------------------------------------------------------
-def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, key: str = "ord") -> DataFrame:
+def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, key: str = "ord", segmenter=None) -> DataFrame:
     """Drop segments equal to a stop word; concatenate the rest with no separator.
 
+    ``segmenter`` (Column -> array<string> Column, e.g. a user's pandas UDF
+    for unspaced scripts) replaces the default lossless segmentation; it is
+    applied with the anti-join path.
+
     A stop list of bounded size becomes one compiled pattern: a word made
     of letters/digits is removed where it is a whole letter/digit run, a
     word made of separators where it is a whole separator run; a mixed word
@@ -195,12 +199,13 @@ def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, key: str = "ord"
     segments are re-joined in position order.
     """
     words = [r[0] for r in stop.filter(F.col("Text").isNotNull()).distinct().limit(MAX_INLINE_STOPWORDS + 1).collect()]
-    if len(words) <= MAX_INLINE_STOPWORDS:
+    if segmenter is None and len(words) <= MAX_INLINE_STOPWORDS:
         pattern = stopword_pattern(words)
         if pattern is None:
             return df
         return df.withColumn(col, F.regexp_replace(F.col(col), pattern, ""))
-    segs = df.select(key, F.posexplode(segment(F.col(col))).alias("_pos", "_seg"))
+    seg = segmenter or segment
+    segs = df.select(key, F.posexplode(seg(F.col(col))).alias("_pos", "_seg"))
     kept = segs.join(stop.select(F.col("Text").alias("_seg")), "_seg", "left_anti")
     joined = kept.groupBy(key).agg(
         F.array_join(

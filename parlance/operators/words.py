@@ -15,9 +15,14 @@ from parlance.functions.text import words
 from parlance.operators.util import broadcast_if_bounded
 
 
-def word_counts(df: DataFrame, col: str, stop: DataFrame, lengths: list[int]) -> DataFrame:
+def word_counts(df: DataFrame, col: str, stop: DataFrame, lengths: list[int], segmenter=None) -> DataFrame:
+    """(word_len, word, cnt) over words of the given lengths, stop words removed.
+
+    ``segmenter`` (Column -> array<string>) replaces the default word split.
+    """
+    seg = segmenter or words
     w = (
-        df.select(F.explode(words(F.col(col))).alias("word"))
+        df.select(F.explode(seg(F.col(col))).alias("word"))
         .withColumn("word_len", F.length("word"))
         .filter(F.col("word_len").isin(lengths))
     )
@@ -26,12 +31,12 @@ def word_counts(df: DataFrame, col: str, stop: DataFrame, lengths: list[int]) ->
     return w.groupBy("word_len", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def top_words(df: DataFrame, col: str, stop: DataFrame, lengths: list[int], k: int = 10) -> DataFrame:
+def top_words(df: DataFrame, col: str, stop: DataFrame, lengths: list[int], k: int = 10, segmenter=None) -> DataFrame:
     """Top ``k`` words of each length, by count desc then word asc (#34).
 
     Output: word_len, rank, word, cnt.
     """
-    counts = word_counts(df, col, stop, lengths)
+    counts = word_counts(df, col, stop, lengths, segmenter)
     w = Window.partitionBy("word_len").orderBy(F.col("cnt").desc(), F.col("word"))
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         "word_len", "rank", "word", "cnt"

@@ -236,6 +236,16 @@ def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
     )
 
 
+def answer(cat: Catalog, heads: Heads, version: str = "1", q: DataFrame | None = None,
+           external: DataFrame | None = None) -> DataFrame:
+    """Answer records of a version; any version other than '1' or '2' is rejected."""
+    if version == "1":
+        return answer_v1(cat, heads, q, external)
+    if version == "2":
+        return answer_v2(cat, heads, q, external)
+    raise ValueError(f"unknown answer version {version!r}; expected '1' or '2'")
+
+
 def _with_external(d: DataFrame, external: DataFrame | None) -> DataFrame:
     """Optional answers from another service, as a table (qid, answer)."""
     if external is None:

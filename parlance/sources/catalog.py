@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -172,8 +171,3 @@ def scan_role(cat: Catalog, role: str, columns: list[str] | None = None, where:
         df = df.select(*columns)
     return df
 
-
-EMPTY_ANSWERS_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()),
-    T.StructField("answer", T.StringType()),
-])

@@ -78,3 +78,16 @@ def test_stopword_pattern_separator_words(spark):
     got = {r.ord: r.t for r in tx.exclude_stopwords(df, "t", stop).collect()}
     # segments: the|, |cat|, |the|,|dog| |a|.|b  -> drop "the" and ", " only
     assert got == {1: "cat,dog a.b", 2: "there, ,  x"}
+
+
+def test_custom_segmenter_char_bigrams(spark):
+    from pyspark.sql import functions as F
+
+    stop = spark.createDataFrame([("不開",)], "Text string")
+    df = spark.createDataFrame([(1, "瀏覽器打不開")], "ord long, t string")
+
+    def pairs(c):  # non-overlapping two-character segments
+        return F.regexp_extract_all(c, F.lit("(?s).{1,2}"), 0)
+
+    out = tx.exclude_stopwords(df, "t", stop, segmenter=pairs).first().t
+    assert out == "瀏覽器打"
