@@ -398,20 +398,12 @@ block("ans1", ["rankfaq", "int_pred", "emo_pred", "thresholds"], """
           max(case when rank=1 then supply end) answer
         from rankfaq group by qid) r
   join int_pred ip using(qid) left join emo_pred e using(qid) join thresholds t using(qid)""")
-ORACLE["answer_v1"] = with_("ans1") + """select qid,
-  case when fb then 'ChatBot' else 'parlance' end "Bot",
-  case when fb then '聊天小幫手忙碌中' else answer end "Answer",
-  case when fb then null else d1 end "Question",
-  case when fb then 0 else f1 end "Answer_faqsettingid",
-  n2 "Referral_intent_1", n3 "Referral_intent_2", n4 "Referral_intent_3",
-  emotion, case when fb then null else n1 end intent, 1 "type", 1 "end",
-  s1 max_prob, pred_intent, i1 pred_intent_prob,
-  case when fb then null else d2 end "Referral_1", case when fb then null else d3 end "Referral_2",
-  case when fb then null else d4 end "Referral_3",
-  case when fb then null else f2 end "Referral_faqsettingid_1", case when fb then null else f3 end "Referral_faqsettingid_2",
-  case when fb then null else f4 end "Referral_faqsettingid_3",
-  case when fb then null else s1 end "Similarity_1", case when fb then null else s2 end "Similarity_2",
-  case when fb then null else s3 end "Similarity_3", case when fb then null else s4 end "Similarity_4"
+ORACLE["answer_v1"] = with_("ans1") + """select qid, 'parlance' "Bot", answer "Answer", d1 "Question",
+  f1 "Answer_faqsettingid", n2 "Referral_intent_1", n3 "Referral_intent_2", n4 "Referral_intent_3",
+  emotion, n1 intent, 1 "type", 1 "end", s1 max_prob, pred_intent, i1 pred_intent_prob,
+  d2 "Referral_1", d3 "Referral_2", d4 "Referral_3",
+  f2 "Referral_faqsettingid_1", f3 "Referral_faqsettingid_2", f4 "Referral_faqsettingid_3",
+  s1 "Similarity_1", s2 "Similarity_2", s3 "Similarity_3", s4 "Similarity_4"
   from ans1"""
 
 # ---------------------------------------------------------------------------
@@ -522,11 +514,16 @@ ORACLE["rank_faq_v1"] = with_("ans1", "int_sims") + """select qid, pred_intent,
   i1 similarity_intent_1, i2 similarity_intent_2, i3 similarity_intent_3
   from ans1 join int_sims using(qid)"""
 ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
-  case when fb then 'ChatBot' else 'parlance' end "Bot",
-  case when fb then coalesce(x.answer, '聊天小幫手忙碌中') else a.answer end "Answer",
-  case when fb then 0 else f1 end "Answer_faqsettingid", s1 max_prob, i1 pred_intent_prob
+  case when fb then 'ChatBot' else 'parlance' end bot,
+  case when fb then coalesce(x.answer, '聊天小幫手忙碌中') else a.answer end answer,
+  case when fb then 0 else f1 end faq_id, s1 similarity,
+  case when fb then null else d1 end demand_text,
+  case when fb then 0 else f2 end referral_faq_id_1,
+  case when fb then 0.0 else s2 end referral_similarity_1,
+  i1 "predIntentProb"
   from ans1 a left join (select conv_id * 1000 + turn - 1 qid, text answer
-                         from conversations where role = 'assistant') x on x.qid = a.qid"""
+                         from conversations where role = 'assistant') x on x.qid = a.qid
+"""
 ORACLE["answer_stream"] = ORACLE["answer_v1"]
 
 ORACLE["synonym_canon"] = with_("faq", "syn") + """select s."SynonymId", s."Text" term, c.first_word, count(*) n_rows

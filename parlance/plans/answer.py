@@ -174,27 +174,27 @@ def unanswerable(sim_faq: F.Column, sim_intent: F.Column, t_faq: F.Column, t_int
 
 
 def answer_v1(cat: Catalog, heads: Heads, q: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
-    """v1 record per question (#71), with the fallback of #73 applied."""
+    """v1 record per question (#71).
+
+    The v1 path never routes to the fallback bot (the reference has that
+    branch disabled); ``external`` is accepted for a uniform signature.
+    """
     q = prepare_questions(cat, q)
     r = rank_faq(heads, q)
     e = emotion(heads, q)
-    t = threshold_resolve(cat, q)
-    d = r.join(e, "qid", "left").join(t, "qid")
-    d = _with_external(d, external)
-    fb = unanswerable(F.col("faq_sims")[0], F.col("intent_sims")[0], F.col("t_faq"), F.col("t_intent"))
-    zero_i = F.lit(0).cast("long")
+    d = r.join(e, "qid", "left")
     return d.select(
         "qid",
-        F.when(fb, F.lit(FALLBACK_BOT)).otherwise(F.lit(BOT_NAME)).alias("Bot"),
-        F.when(fb, F.coalesce("_ext", F.lit(BUSY_TEXT))).otherwise(F.col("answer")).alias("Answer"),
-        F.when(fb, F.lit(None).cast("string")).otherwise(F.col("demands")[0]).alias("Question"),
-        F.when(fb, zero_i).otherwise(F.col("faq_ids")[0]).alias("Answer_faqsettingid"),
-        F.when(fb, F.array().cast("array<string>")).otherwise(F.slice("demands", 2, 3)).alias("Referral"),
-        F.when(fb, F.array().cast("array<bigint>")).otherwise(F.slice("faq_ids", 2, 3)).alias("Referral_faqsettingid"),
+        F.lit(BOT_NAME).alias("Bot"),
+        F.col("answer").alias("Answer"),
+        F.col("demands")[0].alias("Question"),
+        F.col("faq_ids")[0].alias("Answer_faqsettingid"),
+        F.slice("demands", 2, 3).alias("Referral"),
+        F.slice("faq_ids", 2, 3).alias("Referral_faqsettingid"),
         F.slice("faq_intents", 2, 3).alias("Referral_intent"),
-        F.when(fb, F.array().cast("array<double>")).otherwise(F.col("faq_sims")).alias("Similarity"),
+        F.col("faq_sims").alias("Similarity"),
         "emotion",
-        F.when(fb, F.lit(None).cast("string")).otherwise(F.col("faq_intents")[0]).alias("intent"),
+        F.col("faq_intents")[0].alias("intent"),
         F.lit(1).alias("type"),
         F.lit(1).alias("end"),
         F.col("faq_sims")[0].alias("max_prob"),
@@ -204,7 +204,13 @@ def answer_v1(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
 
 
 def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
-    """v2 record per question: nested demand and referral[3] (#72, #73)."""
+    """v2 record per question: nested demand and referral[3], with fallback routing (#72, #73).
+
+    When both best similarities are under their thresholds (#22, #74) the
+    bot is the fallback bot, the answer comes from ``external`` (qid,
+    answer) or is the fixed busy text, and FAQ ids, texts and referral
+    similarities are zeroed; the best similarity and the intents stay.
+    """
     q = prepare_questions(cat, q)
     r = rank_faq(heads, q)
     e = emotion(heads, q)

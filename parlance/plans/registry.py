@@ -7,6 +7,7 @@ at the edge so that the SQL oracle can compare values.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -495,7 +496,7 @@ def train_all(spark, sf_dir):
     from parlance.plans import jobs
 
     cat = Catalog(spark, sf_dir)
-    return jobs.train_all(cat, jobs.model_path(spark, "train_all")).status
+    return jobs.train_all(cat, jobs.model_path(spark, "train_all-" + hashlib.md5(sf_dir.encode()).hexdigest()[:12])).status
 
 
 @query
@@ -503,9 +504,12 @@ def load_all(spark, sf_dir):
     from parlance.plans import jobs
 
     cat = Catalog(spark, sf_dir)
-    path = jobs.model_path(spark, "load_all")
-    jobs.train_all(cat, path)
-    return jobs.load_all(cat, path)
+    path = jobs.model_path(spark, "train_all-" + hashlib.md5(sf_dir.encode()).hexdigest()[:12])
+    status = jobs.load_all(cat, path)
+    if status.filter("status != 'loaded'").count():
+        jobs.train_all(cat, path)
+        status = jobs.load_all(cat, path)
+    return status
 
 
 @query
@@ -560,10 +564,17 @@ def _external_answers(cat):
 
 @query
 def route_fallback(spark, sf_dir):
-    """Threshold routing to the fallback bot with answers from a table (#22, #73)."""
-    cat = Catalog(spark, sf_dir)
-    a = ans.answer_v1(cat, ans.build_heads(cat), external=_external_answers(cat))
-    return a.select("qid", "Bot", "Answer", "Answer_faqsettingid", "max_prob", "pred_intent_prob")
+    """Threshold routing to the fallback bot with answers from a table (#22, #73, #74)."""
+    cat = Catalog(spark, sf_dir)
+    a = ans.answer_v2(cat, ans.build_heads(cat), external=_external_answers(cat))
+    return a.select(
+        "qid", "bot", "answer",
+        F.col("demand.faqId").alias("faq_id"), F.col("demand.similarity").alias("similarity"),
+        F.col("demand.text").alias("demand_text"),
+        F.col("referral")[0]["faqId"].alias("referral_faq_id_1"),
+        F.col("referral")[0]["similarity"].alias("referral_similarity_1"),
+        "predIntentProb",
+    )
 
 
 @query
