@@ -49,7 +49,7 @@ def label_encode(df: DataFrame, label: str, out: str) -> tuple[DataFrame, DataFr
     sort as numbers, string labels as strings.
     """
     table = dense_index(df, label, out)
-    return df.join(table, label), table.select(out, label)
+    return df.join(broadcast_if_bounded(table), label), table.select(out, label)
 
 
 def char_vocab(df: DataFrame, col: str, target: int = VOCAB_TARGET) -> DataFrame:
@@ -64,12 +64,17 @@ def char_vocab(df: DataFrame, col: str, target: int = VOCAB_TARGET) -> DataFrame
 
 
 def vocab_map(vocab: DataFrame) -> Column:
-    """The bounded vocabulary as one map value (scalar subquery)."""
+    """The bounded vocabulary as one map value (scalar subquery).
+
+    Entries are in id order (most frequent first): map lookups scan keys
+    in order, so common characters are found after a few comparisons.
+    """
+    entries = F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "ch"))),
+        lambda s: F.struct(s["ch"], s["id"]),
+    )
     return vocab.select(
-        F.coalesce(
-            F.map_from_entries(F.collect_list(F.struct("ch", F.col("id").cast("int")))),
-            F.create_map().cast("map<string,int>"),
-        )
+        F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,int>"))
     ).scalar()
 
 

@@ -56,7 +56,9 @@ def emo_features(emo_head, sent_model: bayes.NBModel, rows: DataFrame) -> DataFr
     proba = models.predict_proba(emo_head, q, "text").select(F.col("qid").alias("ord"), "proba")
     sent = sentiment(sent_model, uniq, "ord", "Question")
     f = proba.join(sent, "ord").select("ord", F.concat("proba", F.array("sentiment")).alias("f"))
-    return rows.join(label, "EmotionName").join(f, "ord").select("ord", "Question", "EmotionName", "label_emo", "f")
+    from parlance.operators.util import broadcast_if_bounded
+
+    return rows.join(broadcast_if_bounded(label), "EmotionName").join(f, "ord").select("ord", "Question", "EmotionName", "label_emo", "f")
 
 
 # ---------------------------------------------------------------------------

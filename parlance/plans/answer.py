@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions import vectors as vx
 from parlance.operators import bayes
+from parlance.operators.util import broadcast_if_bounded
 from parlance.plans import corpus as cp
 from parlance.sources.catalog import Catalog
 
@@ -81,11 +82,11 @@ def rank_faq_long(heads: Heads, q: DataFrame, k: int = K_FAQ) -> DataFrame:
     Similarities are probabilities rounded to 3 places.
     """
     top = bayes.score_topk(heads.faq, q, "text", k)
-    top = top.join(heads.faq.decode(), "cls").select(
+    top = top.join(broadcast_if_bounded(heads.faq.decode()), "cls").select(
         "qid", "rank", F.col("FaqSettingId").alias("faq_id"), "p"
     )
     look = faq_lookup(heads.corpus_faq, heads.corpus_intent).withColumnRenamed("FaqSettingId", "faq_id")
-    return top.join(look, "faq_id", "left").select(
+    return top.join(broadcast_if_bounded(look), "faq_id", "left").select(
         "qid", "rank", "faq_id", F.round("p", 3).alias("similarity"), "demand", "faq_intent", "supply"
     )
 
