@@ -179,8 +179,8 @@ ORACLE["stopword_exclude"] = with_("intent", "stop_list") + 'select ord, ' + STO
 ORACLE["strip_punct"] = with_("questions") + f"select qid, regexp_replace(text, '{PUNCT}', '', 'g') text from questions"
 ORACLE["script_convert"] = with_("emo", "script_pairs") + f"""select ord,
   {SCRIPTX.replace("{c}", '"Question"')} "Question", {SCRIPTX.replace("{c}", '"EmotionName"')} "EmotionName" from emo"""
-ORACLE["length_quantile"] = with_("intent") + """select quantile_cont(length("Text"), 0.8) q80,
-  quantile_cont(length("Text"), 0.5) q50 from intent"""
+ORACLE["length_quantile"] = with_("intent") + """select round(quantile_cont(length("Text"), 0.8), 6) q80,
+  round(quantile_cont(length("Text"), 0.5), 6) q50 from intent"""
 ORACLE["length_band"] = with_("intent") + """select ord, length("Text") n_chars from intent
   where length("Text") between 2 and (select quantile_cont(length("Text"), 0.8) from intent)"""
 ORACLE["rank_filter"] = with_("intent") + 'select ord, "Rank" from intent where "Rank" is distinct from 2'

@@ -50,9 +50,28 @@ class Heads:
     def intent(self) -> bayes.NBModel:
         return bayes.train(self.corpus_intent, "Text", "IntentionName")
 
+    @cached_property
+    def corpus_emo(self) -> DataFrame:
+        return cp.corpus_emo(self.cat)
+
     @cached_property
     def emo(self) -> bayes.NBModel:
-        return bayes.train(cp.corpus_emo(self.cat), "Question", "EmotionName")
+        return bayes.train(self.corpus_emo, "Question", "EmotionName")
+
+    @cached_property
+    def sentiment(self) -> bayes.NBModel:
+        from parlance.operators import features as ft
+
+        return ft.train_sentiment(self.cat.read("sent"))
+
+    @cached_property
+    def stack(self):
+        """Booster on [emotion probabilities, sentiment] of the emotion corpus (#67)."""
+        from parlance.operators import features as ft
+        from parlance.operators import models as md
+
+        head = md.HeadModel("nb", "EmotionName", self.emo.decode(), nb=self.emo)
+        return md.train_stack(ft.emo_features(head, self.sentiment, self.corpus_emo))
 
 
 def build_heads(cat: Catalog) -> Heads:
@@ -121,6 +140,19 @@ def emotion(heads: Heads, q: DataFrame, balance: list[float] | None = None) -> D
     return v.withColumn("_n", names).select("qid", F.element_at("_n", vx.argmax(raw) + 1).alias("emotion"))
 
 
+def emotion_stacked(heads: Heads, q: DataFrame, balance: list[float] | None = None) -> DataFrame:
+    """(qid, emotion) through the stacked model: punctuation stripped, emotion
+    probabilities + sentiment, booster raw scores, optional offset, argmax (#68)."""
+    from parlance.operators import features as ft
+    from parlance.operators import models as md
+
+    qq = q.select("qid", tx.strip_punct("text").alias("text"))
+    proba = bayes.score_vector(heads.emo, qq, "text").select("qid", "proba")
+    sent = ft.sentiment(heads.sentiment, qq, "qid", "text")
+    feats = proba.join(sent, "qid").select("qid", F.concat("proba", F.array("sentiment")).alias("f"))
+    return md.score_stack(heads.stack, feats, heads.emo.decode(), balance)
+
+
 def rank_faq(heads: Heads, q: DataFrame) -> DataFrame:
     """v2 tuple per question: ids[4], sims[4], demand[4], faq_intent[4], answer,
     pred_intent, intent_sims[4] (#69)."""
@@ -174,15 +206,18 @@ def unanswerable(sim_faq: F.Column, sim_intent: F.Column, t_faq: F.Column, t_int
     return (sim_faq < t_faq) & (sim_intent < t_intent)
 
 
-def answer_v1(cat: Catalog, heads: Heads, q: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+def answer_v1(cat: Catalog, heads: Heads, q: DataFrame | None = None, external: DataFrame | None = None,
+              stacked: bool = False) -> DataFrame:
     """v1 record per question (#71).
 
     The v1 path never routes to the fallback bot (the reference has that
     branch disabled); ``external`` is accepted for a uniform signature.
+    ``stacked`` takes the emotion from the stacked model instead of the
+    emotion head's argmax.
     """
     q = prepare_questions(cat, q)
     r = rank_faq(heads, q)
-    e = emotion(heads, q)
+    e = emotion_stacked(heads, q) if stacked else emotion(heads, q)
     d = r.join(e, "qid", "left")
     return d.select(
         "qid",
@@ -204,7 +239,8 @@ def answer_v1(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
     )
 
 
-def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external: DataFrame | None = None,
+              stacked: bool = False) -> DataFrame:
     """v2 record per question: nested demand and referral[3], with fallback routing (#72, #73).
 
     When both best similarities are under their thresholds (#22, #74) the
@@ -214,7 +250,7 @@ def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
     """
     q = prepare_questions(cat, q)
     r = rank_faq(heads, q)
-    e = emotion(heads, q)
+    e = emotion_stacked(heads, q) if stacked else emotion(heads, q)
     t = threshold_resolve(cat, q)
     d = _with_external(r.join(e, "qid", "left").join(t, "qid"), external)
     fb = unanswerable(F.col("faq_sims")[0], F.col("intent_sims")[0], F.col("t_faq"), F.col("t_intent"))
@@ -244,12 +280,12 @@ def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
 
 
 def answer(cat: Catalog, heads: Heads, version: str = "1", q: DataFrame | None = None,
-           external: DataFrame | None = None) -> DataFrame:
+           external: DataFrame | None = None, stacked: bool = False) -> DataFrame:
     """Answer records of a version; any version other than '1' or '2' is rejected."""
     if version == "1":
-        return answer_v1(cat, heads, q, external)
+        return answer_v1(cat, heads, q, external, stacked)
     if version == "2":
-        return answer_v2(cat, heads, q, external)
+        return answer_v2(cat, heads, q, external, stacked)
     raise ValueError(f"unknown answer version {version!r}; expected '1' or '2'")
 
 

@@ -87,3 +87,16 @@ def test_shuffle_path_equals_broadcast_path(toy, monkeypatch):
     monkeypatch.setattr(bayes, "MAX_MODEL_BROADCAST_ROWS", 0)
     b = sorted((r.qid, r.rank, r.cls, round(r.p, 12)) for r in bayes.score_topk(model, q, "text", 3).collect())
     assert a == b
+
+
+def test_exact_ties_go_to_higher_class_index(spark, monkeypatch):
+    train = [("x y", "a"), ("z w", "b"), ("p q", "c"), ("p q r s", "d")]
+    model = bayes.train(spark.createDataFrame(train, "Text string, label string"), "Text", "label")
+    q = spark.createDataFrame([(1, "nothing known"), (2, "x")], "qid long, text string")
+    monkeypatch.setattr(bayes, "CHUNK", 1)
+    got = {}
+    for r in bayes.score_topk(model, q, "text", 3).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.cls))
+    # with no known token the score is the prior alone: all four tie, higher index first
+    assert [c for _, c in sorted(got[1])] == [3, 2, 1]
+    assert sorted(got[2])[0][1] == 0  # "x" only seen in class a
