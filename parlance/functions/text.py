@@ -115,8 +115,13 @@ def pair_chunks(pairs: DataFrame, order: list[Column]) -> list[Column]:
                 )
             ).scalar()
         ]
-    ranked = pairs.select(
-        "term", "canon", F.row_number().over(_global_order(order)).alias("_i")
+    # Large dictionary: number the pairs in order without a one-task sort
+    # (range-partitioned dense index over the sort key).
+    from parlance.operators.encode import dense_index
+
+    keyed = pairs.select(F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)]).alias("_key"), "term", "canon")
+    ranked = keyed.join(dense_index(keyed, "_key", "_i0"), "_key").select(
+        "term", "canon", (F.col("_i0") + 1).alias("_i")
     )
     chunks = []
     for lo in range(0, max(n, 1), MAX_INLINE_PAIRS):
@@ -135,12 +140,6 @@ def pair_chunks(pairs: DataFrame, order: list[Column]) -> list[Column]:
     return chunks
 
 
-def _global_order(order: list[Column]):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
-
-
 def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Attach a scalar-subquery value as a column.
 
