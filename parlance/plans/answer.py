@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions import vectors as vx
 from parlance.operators import bayes
-from parlance.operators.util import broadcast_if_bounded
+from parlance.operators.util import broadcast_if_bounded, materialize
 from parlance.plans import corpus as cp
 from parlance.sources.catalog import Catalog
 
@@ -215,7 +215,7 @@ def answer_v1(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
     ``stacked`` takes the emotion from the stacked model instead of the
     emotion head's argmax.
     """
-    q = prepare_questions(cat, q)
+    q = materialize(prepare_questions(cat, q))
     r = rank_faq(heads, q)
     e = emotion_stacked(heads, q) if stacked else emotion(heads, q)
     d = r.join(e, "qid", "left")
@@ -248,7 +248,7 @@ def answer_v2(cat: Catalog, heads: Heads, q: DataFrame | None = None, external:
     answer) or is the fixed busy text, and FAQ ids, texts and referral
     similarities are zeroed; the best similarity and the intents stay.
     """
-    q = prepare_questions(cat, q)
+    q = materialize(prepare_questions(cat, q))
     r = rank_faq(heads, q)
     e = emotion_stacked(heads, q) if stacked else emotion(heads, q)
     t = threshold_resolve(cat, q)
