@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators.util import broadcast_if_bounded
-
 # Fixed seeds (text appended to the key before hashing).
 CAP_SEED = "|42"
 TOPUP_SEED = "|43"
@@ -65,7 +63,8 @@ def first_k_per_group(df: DataFrame, group: str, order_hex: str, k: str) -> Data
     hist = hist.filter(F.col("_before") < F.col("_k")).select(
         group, "_b", "_before", (F.col("_incl") <= F.col("_k")).alias("_whole")
     )
-    tagged = keyed.join(broadcast_if_bounded(hist), [group, "_b"])
+    # hist is one row per (group, bucket); AQE broadcasts it from its measured size.
+    tagged = keyed.join(hist, [group, "_b"])
     whole = tagged.filter("_whole")
     cut = tagged.filter(~F.col("_whole"))
     wr = Window.partitionBy(group, "_b").orderBy(order_hex)
@@ -90,7 +89,7 @@ def balance_topup(capped: DataFrame, label: str, key: str = "ord", s: Column | N
     if s is None:
         s = second_size(sizes)
     lack = sizes.select(label, (s - F.col("n")).alias("_k")).filter(F.col("_k") > 0)
-    extra = capped.join(broadcast_if_bounded(lack), label).withColumn("_h", hash_key(key, TOPUP_SEED))
+    extra = capped.join(lack, label).withColumn("_h", hash_key(key, TOPUP_SEED))
     extra = first_k_per_group(extra, label, "_h", "_k").drop("_h", "_k")
     return capped.unionByName(extra)
 

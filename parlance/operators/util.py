@@ -12,8 +12,11 @@ BROADCAST_MAX_ROWS = 1_000_000
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint ``df`` for broadcast only after counting it under ``max_rows``.
 
-    Beyond the bound the join is left to the planner (sort-merge, or a
-    broadcast chosen by AQE from runtime sizes).
+    Used for small sides that are already materialized (counting them is a
+    cheap scan). Small sides that come out of an aggregation are left to
+    AQE, which measures the shuffle stage and switches to a broadcast join
+    (reading the large side locally, so a hot key is not gathered in one
+    task). Beyond the bound the planner decides.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
