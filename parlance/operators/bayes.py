@@ -34,7 +34,7 @@ from parlance.functions.text import tokens
 from parlance.operators.encode import dense_index
 from parlance.operators.util import broadcast_if_bounded, materialize
 
-MAX_DENSE_CLASSES = 1024
+MAX_DENSE_CLASSES = 256
 # Class groups per chunk of the per-length base table.
 CHUNK = 2048
 MAX_LENGTHS_BROADCAST = 200_000
