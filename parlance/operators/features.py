@@ -115,8 +115,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions (folders with a _SUCCESS marker) under ``base``."""
+def versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]:
+    """Versions under ``base``; by default only complete ones (with a _SUCCESS marker).
+
+    A write that failed part way leaves a folder without the marker: it is
+    never read, and the next write takes a higher number.
+    """
     fs, p, jvm = _fs(spark, base)
     if not fs.exists(p):
         return []
@@ -124,7 +128,7 @@ def versions(spark: SparkSession, base: str) -> list[int]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if name.startswith("v") and name[1:].isdigit():
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            if not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 out.append(int(name[1:]))
     return sorted(out)
 
@@ -138,7 +142,7 @@ def read_cache(spark: SparkSession, base: str) -> DataFrame | None:
 def write_cache(df: DataFrame, base: str) -> str:
     """Write a new version next to the current one (#3); returns its path."""
     spark = df.sparkSession
-    v = versions(spark, base)
+    v = versions(spark, base, complete=False)
     path = f"{base}/v{(v[-1] + 1 if v else 1):06d}"
     df.write.mode("error").parquet(path)
     return path

@@ -54,3 +54,15 @@ def test_unknown_kind_raises(spark):
     cat = Catalog(spark, SF_SMALL)
     with pytest.raises(ValueError):
         md.fit("gpt2", cp.corpus_intent(cat), "Text", "IntentionName")
+
+
+def test_cache_versions_skip_incomplete(spark, tmp_path):
+    base = str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, [0.5, 0.5])], "ord long, f array<double>")
+    assert ft.read_cache(spark, base) is None
+    ft.write_cache(df, base)
+    (tmp_path / "cache" / "v000002").mkdir()  # a write that died before committing
+    p3 = ft.write_cache(df.withColumn("ord", F.lit(3).cast("long")), base)
+    assert p3.endswith("v000003")
+    assert ft.read_cache(spark, base).first().ord == 3
+    assert ft.versions(spark, base) == [1, 3]
