@@ -100,3 +100,15 @@ def test_exact_ties_go_to_higher_class_index(spark, monkeypatch):
     # with no known token the score is the prior alone: all four tie, higher index first
     assert [c for _, c in sorted(got[1])] == [3, 2, 1]
     assert sorted(got[2])[0][1] == 0  # "x" only seen in class a
+
+
+def test_sparse_topk_agrees_with_vector_topk(toy):
+    from parlance.functions import vectors as vx
+
+    model, q, _ = toy
+    sparse = {(r.qid, r.rank): (r.cls, round(r.p, 12)) for r in bayes.score_topk(model, q, "text", 3).collect()}
+    vec = bayes.score_vector(model, q, "text").select("qid", vx.topk(F.col("proba"), 3).alias("t")).collect()
+    dense = {(r.qid, i + 1): (e.idx, round(e.p, 12)) for r in vec for i, e in enumerate(r.t)}
+    assert sparse.keys() == dense.keys()
+    for key, (c, p) in dense.items():
+        assert sparse[key][0] == c and abs(sparse[key][1] - p) < 1e-9
