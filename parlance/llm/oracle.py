@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-# Weights, share and cut as in mixing.py. A source's level is the smallest
+# Weights, share and cut as in mixing.py. A source's level is the first
 # one at which the sources cut by it and the weights of the others use up the
 # goal; sources are cut in the order of their cap per weight.
 OP8 = r"""
@@ -16,11 +16,11 @@ w AS (
   SELECT *, CASE (row_number() OVER (ORDER BY s = '', s) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
          1.5::DOUBLE * (SELECT sum(source_size) FROM src)::DOUBLE AS goal FROM src),
 o AS (
-  SELECT *, coalesce(sum(cap) OVER before, 0) AS cap_before, sum(weight) OVER after AS weight_after
+  SELECT *, coalesce(sum(cap) OVER before, 0) AS cap_before, sum(weight) OVER after AS weight_after, row_number() OVER (ORDER BY cap / weight, s) AS i
   FROM w WINDOW before AS (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                 after AS (ORDER BY cap / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 l AS (
-  SELECT min((goal - cap_before) / weight_after) AS level FROM o WHERE (goal - cap_before) / weight_after <= cap / weight),
+  SELECT arg_min((goal - cap_before) / weight_after, i) AS level FROM o WHERE (goal - cap_before) / weight_after <= cap / weight),
 t AS (
   SELECT s, source_size, least(cap, weight * coalesce((SELECT level FROM l), 0)) AS target,
          ('0x' || substr(md5('mix-1' || s), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM w),
