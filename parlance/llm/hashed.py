@@ -81,8 +81,8 @@ class Machine:
         return z
 
 
-def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors: int, epochs: int = 6, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, least: int = 3, screen: float = 4.0, weight: np.ndarray | None = None, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss; the rarer class weighs as much as the
+def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors: int, updates: int = 1200, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, least: int = 3, screen: float = 4.0, weight: np.ndarray | None = None, seed: int = 7) -> Machine:
+    """Adagrad on the logistic loss, three epochs or ``updates`` steps at least; the rarer class weighs as much as the
     other. Terms in fewer than ``least`` documents, and terms whose share of
     documents does not differ between the classes by ``screen`` standard
     errors, are left out. The result depends on the order of the rows only
@@ -107,7 +107,7 @@ def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors:
     pos = max(float(y.sum()), 1.0)
     cost = np.where(y > 0, max(1.0, (n - pos) / pos), max(1.0, pos / max(n - pos, 1.0)))
     cost = cost * (weight if weight is not None else 1.0)
-    for _ in range(epochs):
+    for _ in range(max(3, -(-updates * batch // n))):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             rows = order[lo : lo + batch]

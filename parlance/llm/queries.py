@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, mixing, prefix_counts
+from parlance.llm import bpe, cotraining, mixing, prefix_counts, toxicity
 from parlance.llm.common import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,10 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     return mixing.mix(written(docs, "sizes"), size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -32,7 +40,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_bpe": op5_bpe,
+    "op7_cotraining": op7_cotraining,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
 }
