@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, cotraining, mixing, prefix_counts, toxicity
+from parlance.llm import bpe, cotraining, int8_join, mixing, prefix_counts, toxicity, vp_search
 from parlance.llm.common import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_int8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return int8_join.link(table(spark, sf_dir, "embeddings"))
+
+
+def op3_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -41,6 +49,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_int8_neardup": op2_int8_neardup,
+    "op3_vp_search": op3_vp_search,
     "op5_bpe": op5_bpe,
     "op7_cotraining": op7_cotraining,
     "op8_mixing": op8_mixing,
