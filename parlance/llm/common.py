@@ -202,10 +202,10 @@ def shingles(h: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(roll[a : b - n + 1]))
         elif b > a:
-            v = U64(b - a)
+            v = np.full(1, b - a, np.uint64)
             for j in range(a, b):
-                v = mix64(np.array([v * U64(3) + h[j]], np.uint64))[0]
-            out.append(np.array([v], np.uint64))
+                v = mix64(v * U64(3) + h[j : j + 1])
+            out.append(v)
         else:
             out.append(np.empty(0, np.uint64))
     return out

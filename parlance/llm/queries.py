@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, cotraining, int8_join, mixing, prefix_counts, toxicity, vp_search
+from parlance.llm import bpe, cotraining, int8_join, mixing, ngram_join, prefix_counts, toxicity, vp_search
 from parlance.llm.common import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_int8_neardup": op2_int8_neardup,
     "op3_vp_search": op3_vp_search,
     "op5_bpe": op5_bpe,
+    "op6_ngram_join": op6_ngram_join,
     "op7_cotraining": op7_cotraining,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
