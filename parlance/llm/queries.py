@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, cotraining, int8_join, mixing, ngram_join, prefix_counts, toxicity, vp_search
+from parlance.llm import bpe, cotraining, int8_join, mixing, ngram_join, prefix_counts, run_index, toxicity, vp_search
 from parlance.llm.common import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op4_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.removals(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_int8_neardup": op2_int8_neardup,
     "op3_vp_search": op3_vp_search,
+    "op4_run_index": op4_run_index,
     "op5_bpe": op5_bpe,
     "op6_ngram_join": op6_ngram_join,
     "op7_cotraining": op7_cotraining,
