@@ -145,25 +145,31 @@ def pieces_of(path: str) -> Pieces:
     return _pieces[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``ids`` (array of ints) of its whole text.
+def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = False) -> DataFrame:
+    """Every row of ``docs``, without its text, with ``ids`` (array of ints) of
+    the whole text; with ``check`` also ``round_trip``, whether the ids decode
+    to that text again.
 
     Special strings in a text get their own id, none is added, nothing is cut
     or padded. Null and empty texts have no ids; very long words take as many
     rounds as they need; repeated rows are encoded each; an empty table gives
-    an empty result; a column named ``ids`` gives way to the result.
+    an empty result; columns named as a result give way to it.
     """
-    keep = without(docs, ["ids"])
+    more = ["ids", *["round_trip"] * check]
+    keep = without(docs, [*more, text_col])
     rows = docs.select(*[quoted(c) for c in keep], F.coalesce(quoted(text_col), F.lit("")).alias("__text"))
-    schema = rows.select(*[quoted(c) for c in keep], F.array(F.lit(0)).alias("ids")).schema
+    schema = rows.select(*[quoted(c) for c in keep], F.array(F.lit(0)).alias("ids"), *[F.lit(True).alias("round_trip")] * check).schema
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces_of(path)
+        v, table = load(path), pieces_of(path)
         for part, data, offs in text_chunks(batches, "__text"):
             ids, ends = table.encode(data, offs)
-            cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], cells], names=[*part.schema.names[:-1], "ids"])
+            cells = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))]
+            if check:
+                same = [t == u for t, u in zip(decode_texts(v, ids, ends), part.column(part.num_columns - 1).to_pylist())]
+                cells.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cells], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

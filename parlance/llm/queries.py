@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, cotraining, int8_join, mixing, ngram_join, prefix_counts, run_index, toxicity, vp_search
-from parlance.llm.common import written
+import corpus_pipeline
+from parlance.llm import bpe, cotraining, hmm, int8_join, mixing, ngram_join, prefix_counts, run_index, toxicity, vp_search
+from parlance.llm.common import crc_mod5, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,6 +56,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), crc_mod5("doc_id") == 1)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_int8_neardup": op2_int8_neardup,
@@ -65,4 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_cotraining": op7_cotraining,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_hmm": op10_hmm,
+    "pipeline": pipeline,
 }

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import crc_mod5, quoted, ship, text_chunks
+from parlance.llm.common import crc_mod5, quoted, ship, text_chunks, without
 from parlance.llm.hashed import Machine, doc_terms, fit, platt, sigmoid
 
 BITS = 18
@@ -78,24 +78,25 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return pickle.loads(got.model)
 
 
-def score(docs: DataFrame, model: tuple[Machine, tuple[float, float]], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(id, score) of every whole text: the probability of label 1.
+def score(docs: DataFrame, model: tuple[Machine, tuple[float, float]], text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """Every row of ``docs`` with ``score``: the probability of label 1 of its
+    whole text.
 
     Only the text is an input. Null and empty texts have no terms and get the
-    bias alone; repeated rows get equal scores, one row each; other columns
-    are left out; an empty table gives an empty result.
+    bias alone; repeated rows get equal scores, one row each; a column named
+    ``score`` gives way to the result; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # 2**bits x (factors + 1) floats, whatever the data
-    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-    schema = rows.select(quoted("id").alias(id_col), F.lit(0.0).alias("score")).schema
+    rows = docs.select(*[quoted(c) for c in without(docs, ["score"])])
+    schema = rows.withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (a, b) = sent.value
-        for part, data, offs in text_chunks(batches):
+        for part, data, offs in text_chunks(batches, text_col):
             p = sigmoid(a * m.logits(*doc_terms(data, offs, bits)) + b)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -107,5 +108,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     A null id belongs to no fold: ``held_out`` is false.
     """
     model = train(docs, labels.where(crc_mod5(id_col) != 0), label_col, id_col)
-    out = score(docs, model, id_col)
+    out = score(docs.select(quoted(id_col), F.col("text").alias("text")), model)
     return out.select(quoted(id_col), F.coalesce(crc_mod5(id_col) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
