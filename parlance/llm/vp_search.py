@@ -185,7 +185,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                 n = np.array([len(t.ids[r]) for r in b], np.int64)
                 got = pd.DataFrame({"query_id": np.repeat(ids[a], n), "vec_id": np.concatenate([t.ids[r] for r in b] or [np.zeros(0, np.int64)]), "score": np.repeat(s, n)})
                 got = got[got.query_id != got.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                out.append(got.groupby("query_id").head(k))
+                out.append(got.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k))
         return pd.concat(out)
 
     found = both.groupBy("shard", "block").applyInPandas(answer, "query_id long, vec_id long, score double")
