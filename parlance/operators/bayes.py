@@ -6,25 +6,22 @@ Model (Laplace smoothing, in-vocabulary tokens only):
                 = b_c(L_q) + sum_{t in q, cnt(t,c) > 0} tf(q,t) * ln(cnt(t,c) + 1)
     b_c(L)      = prior_c - L * ln(n_c + V),   L_q = sum of tf over q's vocabulary tokens
 
-Scoring never forms the question x class product. Only (question, class)
-pairs that share a token come out of the token join; the rest of the
-classes enter through b_c(L), which depends on the question only through
-its length L. For every distinct L, a table of bounded chunks of class
-groups gives log(sum_c exp b_c(L)) and the top-k classes by b_c(L):
+Scoring never stores (question, class) pairs. Questions are dealt by qid
+once; tokens are counted, joined to the weights and summed per class inside
+those partitions. Classes that share no token with a question enter through
+b_c(L), which depends on the question only through its length L. Per
+question only its k best matched classes and two numbers leave the stage:
 
     Z_q  = exp(logB(L_q)) + sum_{c matched} (exp(s_qc) - exp(b_c(L_q)))
     topk(q) is inside  topk(matched) U topk_base(L_q)
 
 (a matched class always scores above its own base, so an unmatched class
-outside topk_base(L_q) has k classes ahead of it).
-
-Heads with few classes (checked against ``MAX_DENSE_CLASSES``) can ask for
-the full probability vector instead.
+outside topk_base(L_q) has k classes ahead of it). logB(L) and topk_base(L)
+come from a table with one entry per distinct L.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,9 +31,6 @@ from parlance.functions.text import tokens
 from parlance.operators.encode import dense_index
 from parlance.operators.util import broadcast_if_bounded, materialize
 
-MAX_DENSE_CLASSES = 256
-# Class groups per chunk of the per-length base table.
-CHUNK = 2048
 MAX_LENGTHS_BROADCAST = 200_000
 # (token, class) weights under which the model is broadcast to the question partitions.
 MAX_MODEL_BROADCAST_ROWS = 2_000_000
@@ -45,7 +39,7 @@ MAX_MODEL_BROADCAST_ROWS = 2_000_000
 @dataclass
 class NBModel:
     classes: DataFrame  # cls, label, docs, n_tok, prior, ld
-    weights: DataFrame  # token, cls, w, prior, ld
+    weights: DataFrame  # token, cls, w
     label: str
 
     @property
@@ -53,8 +47,8 @@ class NBModel:
         return self.weights.select("token").distinct()
 
     def by_token(self) -> DataFrame:
-        """(token, e: array<struct<cls, w, prior, ld>>): the model as one row per token."""
-        return self.weights.groupBy("token").agg(F.collect_list(F.struct("cls", "w", "prior", "ld")).alias("e"))
+        """(token, e: array<struct<cls, w>>): the model as one row per token."""
+        return self.weights.groupBy("token").agg(F.collect_list(F.struct("cls", "w")).alias("e"))
 
     def broadcastable(self) -> bool:
         return self.weights.limit(MAX_MODEL_BROADCAST_ROWS + 1).count() <= MAX_MODEL_BROADCAST_ROWS
@@ -62,6 +56,11 @@ class NBModel:
     def decode(self) -> DataFrame:
         return self.classes.select("cls", self.label)
 
+    def shifted(self, balance: list[float]) -> "NBModel":
+        """The model whose score of class i is lower by ``balance[i]`` (#50)."""
+        b = F.get(F.array(*[F.lit(float(x)) for x in balance]), F.col("cls"))
+        return NBModel(self.classes.withColumn("prior", F.col("prior") - F.coalesce(b, F.lit(0.0))), self.weights, self.label)
+
     def save(self, path: str) -> None:
         self.classes.write.mode("overwrite").parquet(f"{path}/classes")
         self.weights.write.mode("overwrite").parquet(f"{path}/weights")
@@ -110,52 +109,64 @@ def train(corpus: DataFrame, text: str, label: str) -> NBModel:
             F.log((F.col("n_tok") + F.col("_V")).cast("double")).alias("ld"),
         )
     )
-    weights = materialize(
-        counts.join(broadcast_if_bounded(classes.select("cls", "prior", "ld")), "cls")
-        .select("token", "cls", F.log((F.col("cnt") + 1).cast("double")).alias("w"), "prior", "ld")
-    )
+    weights = counts.select("token", "cls", F.log((F.col("cnt") + 1).cast("double")).alias("w"))
     return NBModel(classes, weights, label)
 
 
 # ---------------------------------------------------------------------------
 # scoring
 # ---------------------------------------------------------------------------
-def _question_terms(model: NBModel, questions: DataFrame, text: str):
-    """(q: qid, L) for every question and (matched: qid, cls, m, prior, ld).
-
-    Broadcast path (model size checked): question tokens are partitioned by
-    qid once; the per-token class lists join map-side, and L (the first
-    entry of each matched token's list carries its tf) and the class sums
-    are aggregated inside those partitions, with no further shuffle.
-    Otherwise the token table and the weights meet in a shuffle join on
-    token and the pairs are regrouped by qid.
+def _pairs(model: NBModel, questions: DataFrame, text: str, carry: list[str] = []) -> DataFrame:
+    """(qid, carry..., L, cls, m, b): matched (question, class) pairs, by qid.
+
+    A plan, not a table: with a broadcastable model it is part of the one
+    stage that begins with the exchange of the questions by qid. Larger
+    models meet the tokens in a shuffle join on token, which AQE splits
+    where a token is hot; the pairs are combined before they go back to qid.
     """
-    toks = questions.select("qid", F.explode(tokens(F.col(text))).alias("token"))
+    dealt = questions.select("qid", *carry, F.col(text).alias("_t")).repartition("qid")
+    qt = dealt.select("qid", *carry, F.explode(tokens(F.col("_t"))).alias("token"))
+    qt = qt.groupBy("qid", *carry, "token").agg(F.count(F.lit(1)).alias("tf"))
+    classes = model.classes.select("cls", "prior", "ld")
     if model.broadcastable():
-        qt = toks.repartition("qid").groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf"))
-        j = qt.join(F.broadcast(model.by_token()), "token").select("qid", "tf", F.posexplode("e").alias("pos", "x"))
-        matched = materialize(
-            j.groupBy("qid", F.col("x.cls").alias("cls")).agg(
-                F.sum(F.col("tf") * F.col("x.w")).alias("m"),
-                F.first("x.prior").alias("prior"),
-                F.first("x.ld").alias("ld"),
-                F.sum(F.when(F.col("pos") == 0, F.col("tf")).otherwise(0)).alias("_l"),
-            )
-        )
-        lengths = matched.groupBy("qid").agg(F.sum("_l").alias("L"))
-        matched = matched.drop("_l")
+        j = qt.join(F.broadcast(model.by_token()), "token")
+        j = j.withColumn("L", F.sum("tf").over(Window.partitionBy("qid")))
+        j = j.select("qid", *carry, "L", "tf", F.inline("e"))
+        m = j.groupBy("qid", *carry, "cls").agg(F.sum(F.col("tf") * F.col("w")).alias("m"), F.first("L").alias("L"))
     else:
-        qt = materialize(toks.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf")))
-        lengths = qt.join(model.vocab, "token", "left_semi").groupBy("qid").agg(F.sum("tf").alias("L"))
-        matched = (
-            qt.join(model.weights, "token")
-            .select("qid", "cls", (F.col("tf") * F.col("w")).alias("c"), "prior", "ld")
-            .repartition("qid")
-            .groupBy("qid", "cls")
-            .agg(F.sum("c").alias("m"), F.first("prior").alias("prior"), F.first("ld").alias("ld"))
+        # one entry per token carries its tf into L
+        w = model.weights.join(model.weights.groupBy("token").agg(F.min("cls").alias("_low")), "token")
+        j = qt.join(w, "token")
+        m = j.groupBy("qid", *carry, "cls").agg(
+            F.sum(F.col("tf") * F.col("w")).alias("m"), F.sum(F.when(F.col("cls") == F.col("_low"), F.col("tf"))).alias("_l")
         )
-    q = materialize(questions.select("qid").join(lengths, "qid", "left").fillna(0, ["L"]))
-    return q, matched
+        m = m.repartition("qid").withColumn("L", F.sum("_l").over(Window.partitionBy("qid"))).drop("_l")
+    b = F.col("prior") - F.col("L") * F.col("ld")
+    return m.join(broadcast_if_bounded(classes), "cls").select("qid", *carry, "L", "cls", "m", b.alias("b"))
+
+
+def _per_question(model: NBModel, questions: DataFrame, text: str, k: int, true: str | None = None) -> DataFrame:
+    """(qid, L, hi, extra, top[, true, m_true]), one row per question, written once.
+
+    ``top``: the k best matched classes; hi: the best matched score; extra:
+    sum of exp(s - hi) - exp(b - hi) over matched classes. ``true`` names a
+    column with a class index whose matched sum is wanted.
+    """
+    carry = [true] if true else []
+    by_score = Window.partitionBy("qid").orderBy(F.col("s").desc(), F.col("cls").desc())
+    s = _pairs(model, questions, text, carry).withColumn("s", F.col("b") + F.col("m"))
+    s = s.withColumn("r", F.row_number().over(by_score)).withColumn("hi", F.first("s").over(by_score))
+    aggs = [
+        F.first("L").alias("L"),
+        F.first("hi").alias("hi"),
+        F.sum(F.exp(F.col("s") - F.col("hi")) - F.exp(F.col("b") - F.col("hi"))).alias("extra"),
+        F.collect_list(F.when(F.col("r") <= k, F.struct("s", "cls"))).alias("top"),
+    ]
+    if true:
+        aggs.append(F.max(F.when(F.col("cls") == F.col(true), F.col("m"))).alias("m_true"))
+    per_q = s.groupBy("qid").agg(*aggs)
+    out = questions.select("qid", *carry).join(per_q, "qid", "left").fillna(0, ["L"])
+    return materialize(out.withColumn("top", F.coalesce("top", F.array().cast("array<struct<s:double,cls:int>>"))))
 
 
 def base_terms(model: NBModel, lengths: DataFrame, k: int) -> DataFrame:
@@ -163,109 +174,85 @@ def base_terms(model: NBModel, lengths: DataFrame, k: int) -> DataFrame:
 
     Classes with equal (prior, ld) are one group (their base scores are
     equal); a group keeps its k highest class indices for the tie rule.
-    Groups travel in chunks of at most ``CHUNK`` entries; each (L, chunk)
-    row is reduced with array functions and the chunks are merged per L.
+    Every group meets every distinct length in its own task, and the sums
+    per length are combined there before the exchange on L.
     """
-    sizes = model.classes.groupBy("prior", "ld").agg(F.count(F.lit(1)).alias("cnt"))
-    wk = Window.partitionBy("prior", "ld").orderBy(F.col("cls").desc())
-    tops = (
-        model.classes.withColumn("_r", F.row_number().over(wk))
-        .filter(F.col("_r") <= k)
-        .groupBy("prior", "ld")
-        .agg(F.sort_array(F.collect_list("cls"), asc=False).alias("top"))
-    )
-    grp = sizes.join(tops, ["prior", "ld"])
-    n_groups = grp.count()
-    n_chunks = max(1, math.ceil(n_groups / CHUNK))
-    chunks = grp.withColumn("chunk", F.pmod(F.xxhash64("prior", "ld"), F.lit(n_chunks))).groupBy("chunk").agg(
-        F.collect_list(F.struct("prior", "ld", "cnt", "top")).alias("g")
-    )
-    ls = lengths.select("L").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    rows = ls.join(chunks, "chunk")
-    b = lambda g: g["prior"] - F.col("L") * g["ld"]
-    rows = rows.withColumn("bs", F.transform("g", lambda g: F.struct(b(g).alias("b"), g["cnt"].alias("cnt"), g["top"].alias("top"))))
-    rows = rows.withColumn("mx", F.array_max(F.transform("bs", lambda e: e["b"])))
-    rows = rows.withColumn(
-        "sm", F.aggregate("bs", F.lit(0.0), lambda a, e: a + e["cnt"] * F.exp(e["b"] - F.col("mx")))
+    w = Window.partitionBy("prior", "ld").orderBy(F.col("cls").desc())
+    groups = model.classes.select("cls", "prior", "ld").withColumn("_r", F.row_number().over(w))
+    groups = groups.withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("prior", "ld"))).where(F.col("_r") <= k)
+    # one value with the distinct lengths of the questions
+    ls = lengths.select(F.array_sort(F.collect_set("L"))).scalar()
+    at = groups.withColumn("_ls", ls).select("cls", "_r", "cnt", "prior", "ld", F.explode("_ls").alias("L"))
+    at = at.withColumn("b", F.col("prior") - F.col("L") * F.col("ld"))
+    first = at.where("_r = 1")
+    top = first.groupBy("L").agg(F.max("b").alias("_M"))
+    log_b = first.join(broadcast_if_bounded(top, MAX_LENGTHS_BROADCAST), "L").groupBy("L").agg(
+        (F.first("_M") + F.log(F.sum(F.col("cnt") * F.exp(F.col("b") - F.col("_M"))))).alias("logB")
     )
-    cands = F.flatten(F.transform("bs", lambda e: F.transform(e["top"], lambda c: F.struct((-e["b"]).alias("nb"), (-c).alias("nc")))))
-    rows = rows.withColumn("loc", F.slice(F.array_sort(cands), 1, k))
-    per_l = rows.groupBy("L").agg(
-        F.max("mx").alias("_M"),
-        F.collect_list(F.struct("mx", "sm")).alias("_parts"),
-        F.flatten(F.collect_list("loc")).alias("_loc"),
-    )
-    log_b = F.col("_M") + F.log(F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["sm"] * F.exp(p["mx"] - F.col("_M"))))
-    top = F.transform(F.slice(F.array_sort("_loc"), 1, k), lambda s: F.struct((-s["nc"]).alias("cls"), (-s["nb"]).alias("b")))
-    return per_l.select("L", log_b.alias("logB"), top.alias("base_top"))
+    wl = Window.partitionBy("L").orderBy(F.col("b").desc(), F.col("cls").desc())
+    best = at.withColumn("_k", F.row_number().over(wl)).where(F.col("_k") <= k)
+    best = best.groupBy("L").agg(F.collect_list(F.struct(F.col("b").alias("s"), "cls")).alias("base_top"))
+    return log_b.join(best, "L")
+
+
+def _with_base(model: NBModel, per_q: DataFrame, k: int) -> DataFrame:
+    """Adds base_top, hi2 and Zp = Z / exp(hi2)."""
+    base = base_terms(model, per_q, k)
+    d = per_q.join(broadcast_if_bounded(base, MAX_LENGTHS_BROADCAST), "L")
+    d = d.withColumn("hi2", F.greatest("hi", "logB"))
+    rest = F.coalesce(F.col("extra") * F.exp(F.col("hi") - F.col("hi2")), F.lit(0.0))
+    return d.withColumn("Zp", F.exp(F.col("logB") - F.col("hi2")) + rest)
 
 
-def score_topk(model: NBModel, questions: DataFrame, text: str, k: int) -> DataFrame:
+def score_topk(model: NBModel, questions: DataFrame, text: str, k: int, carry: list[str] = []) -> DataFrame:
     """(qid, rank, cls, p): the k most probable classes per question, exactly.
 
-    Tie rule: p desc, then class index desc.
+    Tie rule: p desc, then class index desc. The last steps are array
+    expressions on one row per question.
     """
-    q, matched = _question_terms(model, questions, text)
-    per_l = base_terms(model, q, k)
-    qinfo = q.join(broadcast_if_bounded(per_l, MAX_LENGTHS_BROADCAST), "L")
-    qinfo = materialize(qinfo)
-    m = (
-        matched.join(qinfo.select("qid", "L", "logB"), "qid")
-        .withColumn("b", F.col("prior") - F.col("L") * F.col("ld"))
-        .withColumn("s", F.col("b") + F.col("m"))
-    )
-    w = Window.partitionBy("qid")
-    m = materialize(
-        m.withColumn("M", F.greatest(F.max("s").over(w), F.col("logB"))).select("qid", "cls", "s", "b", "M")
-    )
-    stats = m.groupBy("qid").agg(
-        F.first("M").alias("M"),
-        F.sum(F.exp(F.col("s") - F.col("M")) - F.exp(F.col("b") - F.col("M"))).alias("extra"),
+    d = _with_base(model, _per_question(model, questions, text, k), k)
+    mine = F.transform("top", lambda t: t["cls"])
+    rest = F.filter("base_top", lambda t: ~F.array_contains(mine, t["cls"]))
+    ranked = F.slice(F.reverse(F.array_sort(F.concat("top", rest))), 1, k)
+    out = d.select("qid", "hi2", "Zp", F.posexplode(ranked).alias("pos", "t"))
+    return out.select("qid", (F.col("pos") + 1).alias("rank"), F.col("t.cls").alias("cls"), (F.exp(F.col("t.s") - F.col("hi2")) / F.col("Zp")).alias("p"))
+
+
+def score_true(model: NBModel, questions: DataFrame, text: str, true: str) -> DataFrame:
+    """(qid, true, cls, p_true): the best class, and the probability of the
+    class in column ``true`` (null if there is none), for evaluation (#64)."""
+    d = _with_base(model, _per_question(model, questions, text, 1, true), 1)
+    c = model.classes.select(F.col("cls").alias(true), "prior", "ld")
+    d = d.join(broadcast_if_bounded(c), true, "left")
+    s = F.col("prior") - F.col("L") * F.col("ld") + F.coalesce("m_true", F.lit(0.0))
+    best = F.when(F.size("top") == 0, F.get("base_top", F.lit(0))).otherwise(
+        F.greatest(F.get("top", F.lit(0)), F.get("base_top", F.lit(0)))
     )
-    qs = materialize(
-        qinfo.join(stats, "qid", "left")
-        .withColumn("M", F.coalesce("M", "logB"))
-        .withColumn("Zp", F.exp(F.col("logB") - F.col("M")) + F.coalesce("extra", F.lit(0.0)))
-    )
-    wk = Window.partitionBy("qid").orderBy(F.col("s").desc(), F.col("cls").desc())
-    top_m = m.withColumn("_r", F.row_number().over(wk)).filter(F.col("_r") <= k)
-    cand_m = top_m.join(qs.select("qid", F.col("M").alias("M2"), "Zp"), "qid").select(
-        "qid", "cls", (F.exp(F.col("s") - F.col("M2")) / F.col("Zp")).alias("p")
-    )
-    cand_b = qs.select("qid", "M", "Zp", F.explode("base_top").alias("e")).select(
-        "qid", F.col("e.cls").alias("cls"), (F.exp(F.col("e.b") - F.col("M")) / F.col("Zp")).alias("p")
-    )
-    cands = cand_m.unionByName(cand_b).groupBy("qid", "cls").agg(F.max("p").alias("p"))
-    wr = Window.partitionBy("qid").orderBy(F.col("p").desc(), F.col("cls").desc())
-    return cands.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k).select("qid", "rank", "cls", "p")
+    return d.select("qid", true, best["cls"].alias("cls"), (F.exp(s - F.col("hi2")) / F.col("Zp")).alias("p_true"))
 
 
 def score_vector(model: NBModel, questions: DataFrame, text: str) -> DataFrame:
     """(qid, scores, proba): log scores and probabilities over all classes, by class index.
 
-    Only for heads whose class count is within ``MAX_DENSE_CLASSES``
-    (checked); the class table then travels as one array value.
+    The output holds one number per (question, class), so the base scores
+    of all classes are laid beside each question's matched sums and added
+    up inside the question's partition. Ask for it only where the whole
+    vector is the result; rankings use ``score_topk``.
     """
-    n = model.classes.count()
-    if n > MAX_DENSE_CLASSES:
-        raise ValueError(f"{n} classes: use score_topk for heads with more than {MAX_DENSE_CLASSES} classes")
     from parlance.functions.vectors import softmax
 
-    carr = model.classes.select(
-        F.array_sort(F.collect_list(F.struct("cls", "prior", "ld")))
-    ).scalar()
-    q, matched = _question_terms(model, questions, text)
-    per_q = matched.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("cls", "m"))).alias("mm"))
-    out = q.join(per_q, "qid", "left").withColumn("_c", carr)
-    scores = F.transform(
-        "_c",
-        lambda c: c["prior"] - F.col("L") * c["ld"] + F.coalesce(F.try_element_at(F.col("mm"), c["cls"]), F.lit(0.0)),
-    )
-    out = out.withColumn("scores", scores)
-    return out.select("qid", "scores", softmax(F.col("scores")).alias("proba"))
+    matched = _pairs(model, questions, text)
+    # one value as long as one output vector
+    carr = model.classes.select(F.array_sort(F.collect_list(F.struct("cls", "prior", "ld")))).scalar()
+    lens = matched.groupBy("qid").agg(F.first("L").alias("L"))
+    q = questions.select("qid").repartition("qid").join(lens, "qid", "left").fillna(0, ["L"]).withColumn("_c", carr)
+    base = q.select("qid", "L", F.inline("_c")).select("qid", "cls", (F.col("prior") - F.col("L") * F.col("ld")).alias("s"))
+    both = base.unionByName(matched.select("qid", "cls", F.col("m").alias("s")))
+    s = both.groupBy("qid", "cls").agg(F.sum("s").alias("s"))
+    v = s.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "s"))), lambda e: e["s"]).alias("scores"))
+    return v.select("qid", "scores", softmax(F.col("scores")).alias("proba"))
 
 
 def predict(model: NBModel, questions: DataFrame, text: str) -> DataFrame:
     """(qid, cls, p): the most probable class (top-1)."""
     return score_topk(model, questions, text, 1).select("qid", "cls", "p")
-

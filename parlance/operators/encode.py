@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import chars
-from parlance.operators.util import broadcast_if_bounded
+from parlance.operators.util import broadcast_if_bounded, materialize
 
 # Vocabulary target size (ids 0..8191), id 0 pads, the last
 # used id is the unknown-character id.
@@ -26,10 +26,10 @@ def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
 
     Range-partitioned sort, row numbers inside each range, then each range
     is offset by the sizes of the ranges before it (a table with one row per
-    partition). No step holds more than one range.
+    partition). No step holds more than one range. The ranges are written
+    once: a second evaluation of the sort could draw other borders.
     """
-    d = df.select(col).distinct().orderBy(col)
-    d = d.withColumn("_pid", F.spark_partition_id())
+    d = materialize(df.select(col).distinct().orderBy(col).withColumn("_pid", F.spark_partition_id()))
     d = d.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
     sizes = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select(

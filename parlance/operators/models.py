@@ -85,7 +85,7 @@ def fit(kind: str, corpus: DataFrame, text: str, label: str) -> HeadModel:
 
 
 def predict_proba(head: HeadModel, q: DataFrame, text: str = "text") -> DataFrame:
-    """(qid, proba): class probabilities by class index (#63). ``nb`` needs a bounded class count."""
+    """(qid, proba): class probabilities by class index (#63)."""
     if head.nb is not None:
         return bayes.score_vector(head.nb, q, text).select("qid", "proba")
     out = head.ml.transform(q.select("qid", F.col(text).alias(_text_col(head))))
@@ -109,17 +109,26 @@ def _text_col(head: HeadModel) -> str:
 # evaluation (#64)
 # ---------------------------------------------------------------------------
 def eval_report(head: HeadModel, rows: DataFrame, text: str, split_name: str) -> DataFrame:
-    """One row: head label, kind, split, n, accuracy, log_loss (mean -ln p(true class))."""
-    q = rows.select(F.col("ord").alias("qid"), F.col(text).alias("text"), head.label)
-    truth = q.join(head.decode, head.label, "left").select("qid", F.col("cls").alias("y"))
-    proba = predict_proba(head, q.select("qid", "text"))
-    j = truth.join(proba, "qid")
-    p_true = F.coalesce(F.get(F.col("proba"), F.col("y")), F.lit(0.0))
-    pred = vx.argmax(F.col("proba"))
+    """One row: head label, kind, split, n, accuracy, log_loss (mean -ln p(true class)).
+
+    Balanced corpora repeat rows: every distinct ``ord`` is scored once and
+    counts as often as it occurs. A label the head does not know has
+    probability 0 and is never right.
+    """
+    times = rows.groupBy("ord", text, head.label).agg(F.count(F.lit(1)).alias("_w"))
+    q = times.select(F.col("ord").alias("qid"), F.col(text).alias("text"), head.label, "_w")
+    q = materialize(q.join(head.decode.withColumnRenamed("cls", "y"), head.label, "left").select("qid", "text", "y", "_w"))
+    if head.nb is not None:
+        got = bayes.score_true(head.nb, q, "text", "y").select("qid", "cls", F.col("p_true").alias("p"))
+    else:
+        proba = predict_proba(head, q.select("qid", "text")).join(q.select("qid", "y"), "qid")
+        got = proba.select("qid", vx.argmax(F.col("proba")).alias("cls"), F.get(F.col("proba"), F.col("y")).alias("p"))
+    j = q.select("qid", "y", "_w").join(got, "qid")
+    n = F.sum("_w")
     return j.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.coalesce(pred == F.col("y"), F.lit(False)).cast("double")).alias("accuracy"),
-        F.avg(-F.log(F.greatest(p_true, F.lit(1e-15)))).alias("log_loss"),
+        n.alias("n"),
+        (F.sum(F.col("_w") * F.coalesce(F.col("cls") == F.col("y"), F.lit(False)).cast("double")) / n).alias("accuracy"),
+        (F.sum(F.col("_w") * -F.log(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-15)))) / n).alias("log_loss"),
     ).select(
         F.lit(head.label).alias("head"), F.lit(head.kind).alias("kind"), F.lit(split_name).alias("split"),
         "n", F.round("accuracy", 4).alias("accuracy"), F.round("log_loss", 4).alias("log_loss"),

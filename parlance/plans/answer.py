@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.functions import vectors as vx
 from parlance.operators import bayes
 from parlance.operators.util import broadcast_if_bounded, materialize
 from parlance.plans import corpus as cp
@@ -111,33 +110,21 @@ def rank_faq_long(heads: Heads, q: DataFrame, k: int = K_FAQ) -> DataFrame:
 
 
 def intent_scores(heads: Heads, q: DataFrame, k: int = K_INTENT) -> DataFrame:
-    """(qid, pred_intent, intent_sims[k]) from the intent head's full vector."""
-    v = bayes.score_vector(heads.intent, q, "text")
-    names = heads.intent.classes.select(
-        F.transform(F.array_sort(F.collect_list(F.struct("cls", "IntentionName"))), lambda s: s["IntentionName"])
-    ).scalar()
-    top = vx.topk(F.col("proba"), k)
-    return (
-        v.withColumn("_n", names)
-        .select(
-            "qid",
-            F.element_at("_n", vx.argmax(F.col("proba")) + 1).alias("pred_intent"),
-            vx.round_list(F.transform(top, lambda s: s["p"])).alias("intent_sims"),
-        )
+    """(qid, pred_intent, intent_sims[k]): the intent head's k best classes."""
+    top = bayes.score_topk(heads.intent, q, "text", k)
+    top = top.join(broadcast_if_bounded(heads.intent.decode()), "cls")
+    return top.groupBy("qid").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("IntentionName"))).alias("pred_intent"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.round("p", 3).alias("p")))), lambda s: s["p"]).alias("intent_sims"),
     )
 
 
 def emotion(heads: Heads, q: DataFrame, balance: list[float] | None = None) -> DataFrame:
     """(qid, emotion): punctuation stripped, emotion head, optional offset, argmax, decode."""
     qq = q.withColumn("text", tx.strip_punct("text"))
-    v = bayes.score_vector(heads.emo, qq, "text")
-    names = heads.emo.classes.select(
-        F.transform(F.array_sort(F.collect_list(F.struct("cls", "EmotionName"))), lambda s: s["EmotionName"])
-    ).scalar()
-    raw = F.col("scores")
-    if balance is not None:
-        raw = vx.offset(raw, F.array(*[F.lit(float(b)) for b in balance]))
-    return v.withColumn("_n", names).select("qid", F.element_at("_n", vx.argmax(raw) + 1).alias("emotion"))
+    head = heads.emo.shifted(balance) if balance is not None else heads.emo
+    top = bayes.predict(head, qq, "text")
+    return top.join(broadcast_if_bounded(heads.emo.decode()), "cls").select("qid", F.col("EmotionName").alias("emotion"))
 
 
 def emotion_stacked(heads: Heads, q: DataFrame, balance: list[float] | None = None) -> DataFrame:

@@ -61,9 +61,8 @@ def test_vector_matches_brute_force(toy):
 
 
 @pytest.mark.parametrize("k", [1, 2, 4])
-def test_sparse_topk_matches_brute_force(toy, k, monkeypatch):
+def test_sparse_topk_matches_brute_force(toy, k):
     model, q, want = toy
-    monkeypatch.setattr(bayes, "CHUNK", 1)  # one class group per chunk: exercises the merge
     got = {}
     for r in bayes.score_topk(model, q, "text", k).collect():
         got.setdefault(r.qid, []).append((r.rank, r.cls, r.p))
@@ -89,11 +88,10 @@ def test_shuffle_path_equals_broadcast_path(toy, monkeypatch):
     assert a == b
 
 
-def test_exact_ties_go_to_higher_class_index(spark, monkeypatch):
+def test_exact_ties_go_to_higher_class_index(spark):
     train = [("x y", "a"), ("z w", "b"), ("p q", "c"), ("p q r s", "d")]
     model = bayes.train(spark.createDataFrame(train, "Text string, label string"), "Text", "label")
     q = spark.createDataFrame([(1, "nothing known"), (2, "x")], "qid long, text string")
-    monkeypatch.setattr(bayes, "CHUNK", 1)
     got = {}
     for r in bayes.score_topk(model, q, "text", 3).collect():
         got.setdefault(r.qid, []).append((r.rank, r.cls))
@@ -112,3 +110,47 @@ def test_sparse_topk_agrees_with_vector_topk(toy):
     assert sparse.keys() == dense.keys()
     for key, (c, p) in dense.items():
         assert sparse[key][0] == c and abs(sparse[key][1] - p) < 1e-9
+
+
+def test_heads_with_many_classes(spark):
+    """1,000 classes: rankings, full vectors and evaluation, with at most k
+    classes per question written."""
+    from parlance.operators import models as md
+
+    rows = [(i, f"w{i % 250} v{i % 40} common", f"c{i:04d}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "ord long, Text string, label string")
+    model = bayes.train(df, "Text", "label")
+    q = df.where("ord % 50 = 0").select(F.col("ord").alias("qid"), F.col("Text").alias("text"))
+    want = _dense([(t, y) for _, t, y in rows], [(i, t) for i, t, _ in rows if i % 50 == 0])
+    got = {}
+    for r in bayes.score_topk(model, q, "text", 4).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.cls, r.p))
+    for qid, p in want.items():
+        order = sorted(range(1000), key=lambda c: (-round(p[c], 12), -c))[:4]
+        assert [c for _, c, _ in sorted(got[qid])] == order
+    vec = bayes.score_vector(model, q, "text").collect()
+    assert len(vec) == 20 and all(len(r.proba) == 1000 and abs(sum(r.proba) - 1) < 1e-9 for r in vec)
+    per_q = bayes._per_question(model, q, "text", 4)
+    assert per_q.count() == 20 and per_q.select(F.max(F.size("top"))).first()[0] <= 4
+    head = md.HeadModel("nb", "label", model.decode(), nb=model)
+    r = md.eval_report(head, df.where("ord % 50 = 0").union(df.where("ord = 0")), "Text", "x").first()
+    loss = [-math.log(want[i][i]) for i in want]
+    right = [max(range(1000), key=lambda c: (round(want[i][c], 12), c)) == i for i in want]
+    assert r.n == 21 and abs(r.log_loss - (sum(loss) + loss[0]) / 21) < 1e-3 and abs(r.accuracy - (sum(right) + right[0]) / 21) < 1e-3
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_label_index_is_dense_under_any_setting(spark, reuse, aqe):
+    from parlance.operators.encode import dense_index
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        df = spark.range(30000).select((F.col("id") * 7919 % 20011).alias("x"))
+        got = [r.idx for r in dense_index(df, "x").orderBy("x").collect()]
+        assert got == list(range(20011))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
