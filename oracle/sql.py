@@ -47,10 +47,10 @@ ROLES = {
     "stop": """stop AS (
   select * from (values ('the'),('and'),('of'),('de'),('la'),('der'),('to'),('in')) t("Text"))""",
     "options": """options AS (
-  select * from (values ('SimilarityFAQBot','0.6'),('SimilarityIntentionBot','0.8'),('ChatBotKind','1'),
-       ('4000Faq','1'),('4000Intention','2'),('4000Emo','4')) t("Key", "Value"))""",
+  select * from (values (1,'SimilarityFAQBot','0.6'),(2,'SimilarityIntentionBot','0.8'),(3,'ChatBotKind','1'),
+       (4,'4000Faq','1'),(5,'4000Intention','2'),(6,'4000Emo','4'),(7,'SimilarityFAQBot','0.9')) t(ord, "Key", "Value"))""",
     "bot_model": """bot_model AS (
-  select * from (values (1,'nb'),(2,'logreg'),(3,'mlp'),(4,'rf')) t("Id", "Name"))""",
+  select * from (values (1,1,'nb'),(2,2,'logreg'),(3,3,'mlp'),(4,4,'rf'),(5,2,'a later name')) t(ord, "Id", "Name"))""",
     "script_map": """script_map AS (
   select * from (values (1,'straße','strasse'),(2,'ß','ss'),(3,'é','e'),(4,'ç','c')) t(ord, src, dst))""",
 }
@@ -255,19 +255,19 @@ ORACLE["corpus_stats"] = (
 # options
 # ---------------------------------------------------------------------------
 block("opt", ["options"], """
-  select max(case when "Key"='SimilarityFAQBot' then try_cast("Value" as double) end) t_faq,
-         max(case when "Key"='SimilarityIntentionBot' then try_cast("Value" as double) end) t_intent,
-         max(case when "Key"='4000Faq' then try_cast("Value" as double) end) f,
-         max(case when "Key"='4000Intention' then try_cast("Value" as double) end) i,
-         max(case when "Key"='4000Emo' then try_cast("Value" as double) end) e
+  select cast(arg_min_null("Value", ord) filter ("Key"='SimilarityFAQBot') as double) t_faq,
+         cast(arg_min_null("Value", ord) filter ("Key"='SimilarityIntentionBot') as double) t_intent,
+         cast(arg_min_null("Value", ord) filter ("Key"='4000Faq') as double) f,
+         cast(arg_min_null("Value", ord) filter ("Key"='4000Intention') as double) i,
+         cast(arg_min_null("Value", ord) filter ("Key"='4000Emo') as double) e
   from options""")
 block("kinds", ["opt", "bot_model"], """
   select case when fn is not null and inn is not null and en is not null then fn else 'nb' end faq_kind,
          case when fn is not null and inn is not null and en is not null then inn else 'nb' end intent_kind,
          case when fn is not null and inn is not null and en is not null then en else 'logreg' end emo_kind
-  from (select (select min("Name") from bot_model where "Id" = o.f) fn,
-               (select min("Name") from bot_model where "Id" = o.i) inn,
-               (select min("Name") from bot_model where "Id" = o.e) en from opt o)""")
+  from (select (select arg_min_null("Name", ord) from bot_model where "Id" = o.f) fn,
+               (select arg_min_null("Name", ord) from bot_model where "Id" = o.i) inn,
+               (select arg_min_null("Name", ord) from bot_model where "Id" = o.e) en from opt o)""")
 block("thresholds", ["questions", "opt"], """
   select qid, coalesce(try_cast(threshold_faq as double), (select t_faq from opt)) t_faq,
          coalesce(try_cast(threshold_intent as double), (select t_intent from opt)) t_intent
@@ -347,8 +347,9 @@ ORACLE["train_faq"] = cls_sql("hf", "FaqSettingId")
 ORACLE["train_intent"] = cls_sql("hi", "IntentionName")
 ORACLE["train_emo"] = cls_sql("he", "EmotionName")
 ORACLE["predict_proba"] = with_(f"{HI}_p") + f"select qid, cls, round(p, 3) p from {HI}_p"
-ORACLE["softmax"] = ORACLE["predict_proba"]
-ORACLE["round_scores"] = ORACLE["predict_proba"]
+ORACLE["softmax"] = with_(f"{HI}_sc") + f"""select qid, cls, round(exp(z - mz) / sum(exp(z - mz)) over (partition by qid), 3) p
+  from (select *, max(z) over (partition by qid) mz from (select qid, cls, s / 10 z from {HI}_sc))"""
+ORACLE["round_scores"] = with_(f"{HI}_p") + f"select qid, cls, round(p, 1) p from {HI}_p"
 ORACLE["softmax_contrast"] = with_(f"{HI}_p") + f"""select qid, cls, round(exp(z - mz) / sum(exp(z - mz)) over (partition by qid), 3) p
   from (select *, max(z) over (partition by qid) mz from (
     select qid, cls, p * (max(p) over (partition by qid) - avg(p) over (partition by qid)) z from {HI}_p))"""
@@ -506,21 +507,24 @@ ORACLE["eval_report"] = with_("eval_q", "ht_idx", f"{HTQ}_rk") + f"""select 'Int
 block("int_sims", [f"{HI}_rk"], f"""
   select qid, max(case when rank = 2 then round(p, 3) end) i2, max(case when rank = 3 then round(p, 3) end) i3
   from {HI}_rk group by qid""")
-ORACLE["rank_faq_v1"] = with_("ans1", "int_sims") + """select qid, pred_intent, f1 faqid, answer faq_answer,
-  f2 referral_faqid_1, f3 referral_faqid_2, f4 referral_faqid_3,
-  d1 referral_1, d2 referral_2, d3 referral_3, d4 referral_4,
-  n1 referral_intent_1, n2 referral_intent_2, n3 referral_intent_3, n4 referral_intent_4,
-  s1 similarity_faq_1, s2 similarity_faq_2, s3 similarity_faq_3, s4 similarity_faq_4,
-  i1 similarity_intent_1, i2 similarity_intent_2, i3 similarity_intent_3
+ORACLE["rank_faq_v1"] = with_("ans1", "int_sims") + """select qid, pred_intent, f1 best_id, answer,
+  f2 next_id_1, f3 next_id_2, f4 next_id_3,
+  d1 demand_1, d2 demand_2, d3 demand_3, d4 demand_4,
+  n1 intent_1, n2 intent_2, n3 intent_3, n4 intent_4,
+  s1 faq_p_1, s2 faq_p_2, s3 faq_p_3, s4 faq_p_4,
+  i1 intent_p_1, i2 intent_p_2, i3 intent_p_3
   from ans1 join int_sims using(qid)"""
 ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
   case when fb then 'ChatBot' else 'parlance' end bot,
   case when fb then coalesce(x.answer, '聊天小幫手忙碌中') else a.answer end answer,
   case when fb then 0 else f1 end faq_id, s1 similarity,
   case when fb then null else d1 end demand_text,
-  case when fb then 0 else f2 end referral_faq_id_1,
-  case when fb then 0.0 else s2 end referral_similarity_1,
-  i1 "predIntentProb"
+  case when fb then 0 else f2 end referral_faq_id_1, case when fb then 0 else f3 end referral_faq_id_2,
+  case when fb then 0 else f4 end referral_faq_id_3,
+  case when fb then 0.0 else s2 end referral_similarity_1, case when fb then 0.0 else s3 end referral_similarity_2,
+  case when fb then 0.0 else s4 end referral_similarity_3,
+  n1 intent, n2 referral_intent_1, n3 referral_intent_2, n4 referral_intent_3,
+  emotion, pred_intent "predIntent", i1 "predIntentProb"
   from ans1 a left join (select conv_id * 1000 + turn - 1 qid, text answer
                          from conversations where role = 'assistant') x on x.qid = a.qid
 """
@@ -532,3 +536,14 @@ ORACLE["synonym_canon"] = with_("faq", "syn") + """select s."SynonymId", s."Text
   join faq f on contains(f."Text", s."Text")
   where s."Text" is not null
   group by 1, 2, 3"""
+
+# ---------------------------------------------------------------------------
+# model life cycle: which kinds, and that a saved model scores as before
+# ---------------------------------------------------------------------------
+for _q, _done in (("train_all", "trained"), ("load_all", "loaded")):
+    ORACLE[_q] = with_("kinds") + f"""select 'faq' head, faq_kind kind, '{_done}' status from kinds
+  union all select 'intent', intent_kind, '{_done}' from kinds
+  union all select 'emo', emo_kind, '{_done}' from kinds
+  union all select 'stack', 'gbt', '{_done}'"""
+ORACLE["model_roundtrip"] = with_("questions") + """select count(*) n, count(*) n_equal, k kind
+  from questions cross join (values ('nb'), ('logreg')) t(k) group by k"""

@@ -48,11 +48,6 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN), 0)
 
 
-def text_length(text: Column | str) -> Column:
-    """Length in code points (#12)."""
-    return F.length(_c(text))
-
-
 def strip_punct(text: Column | str) -> Column:
     """Remove ASCII punctuation (#13)."""
     return F.regexp_replace(_c(text), PUNCT, "")

@@ -49,10 +49,6 @@ def offset(x: Column, b: Column) -> Column:
     return F.zip_with(x, b, lambda u, v: u - v)
 
 
-def offset_scalar(x: Column, b: Column) -> Column:
-    return F.transform(x, lambda u: u - b)
-
-
 def topk(x: Column, k: int) -> Column:
     """First ``k`` (idx, value) pairs by value desc, then index desc (#37).
 

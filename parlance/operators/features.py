@@ -115,6 +115,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
+
+
 def versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]:
     """Versions under ``base``; by default only complete ones (with a _SUCCESS marker).
 

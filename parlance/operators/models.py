@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     OneVsRest,
     OneVsRestModel,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -92,11 +93,15 @@ def predict_proba(head: HeadModel, q: DataFrame, text: str = "text") -> DataFram
     return out.select("qid", vector_to_array("probability").alias("proba"))
 
 
-def predict_topk(head: HeadModel, q: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """(qid, rank, cls, p). ``nb`` uses the exact sparse top-k; ML kinds rank their vector."""
+def predict_topk(head: HeadModel, q: DataFrame, k: int, text: str = "text", balance: list[float] | None = None) -> DataFrame:
+    """(qid, rank, cls, p). ``nb`` uses the exact sparse top-k; ML kinds rank
+    their vector. ``balance`` is taken off the classes' log scores first (#50)."""
     if head.nb is not None:
-        return bayes.score_topk(head.nb, q, text, k)
+        return bayes.score_topk(head.nb.shifted(balance) if balance else head.nb, q, text, k)
     v = predict_proba(head, q, text)
+    if balance:
+        logs = F.transform("proba", lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+        v = v.select("qid", vx.softmax(vx.offset(logs, F.array(*[F.lit(float(b)) for b in balance]))).alias("proba"))
     t = v.select("qid", F.posexplode(vx.topk(F.col("proba"), k)).alias("pos", "e"))
     return t.select("qid", (F.col("pos") + 1).alias("rank"), F.col("e.idx").alias("cls"), F.col("e.p").alias("p"))
 
@@ -174,6 +179,11 @@ def train_stack(features: DataFrame, kind: str = "gbt") -> OneVsRestModel | Pipe
     raise ValueError(f"unknown stack kind {kind!r}")
 
 
+def load_stack(path: str, kind: str = "gbt"):
+    """A stacked model saved by ``stack.write()`` (#5)."""
+    return OneVsRestModel.load(path) if kind == "gbt" else RandomForestClassificationModel.load(path)
+
+
 def score_stack(stack, features: DataFrame, decode: DataFrame, balance: list[float] | None = None, raw: bool = False) -> DataFrame:
     """Raw class scores -> optional offset -> argmax -> label (#68).
 

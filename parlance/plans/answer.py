@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators import bayes
+from parlance.operators import features as ft
+from parlance.operators import models as md
 from parlance.operators.util import broadcast_if_bounded, materialize
 from parlance.plans import corpus as cp
 from parlance.sources.catalog import Catalog
@@ -28,10 +30,16 @@ K_INTENT = 4
 
 
 class Heads:
-    """Corpora and the three relational NB heads, each built on first use."""
+    """Corpora and the three heads, each built on first use.
 
-    def __init__(self, cat: Catalog):
+    Without ``trained`` the heads are relational naive Bayes; ``trained``
+    (of ``jobs.train_all`` or ``jobs.load_all``) brings heads of any kind and
+    the stacked emotion model.
+    """
+
+    def __init__(self, cat: Catalog, trained=None):
         self.cat = cat
+        self.trained = trained
 
     @cached_property
     def corpus_faq(self) -> DataFrame:
@@ -42,35 +50,41 @@ class Heads:
         return cp.corpus_intent(self.cat)
 
     @cached_property
-    def faq(self) -> bayes.NBModel:
-        return bayes.train(self.corpus_faq, "Text", "FaqSettingId")
+    def corpus_emo(self) -> DataFrame:
+        return cp.corpus_emo(self.cat)
+
+    def _head(self, name: str, corpus: str, text: str, label: str) -> md.HeadModel:
+        if self.trained is not None:
+            return self.trained.heads[name]
+        return md.fit("nb", getattr(self, corpus), text, label)
 
     @cached_property
-    def intent(self) -> bayes.NBModel:
-        return bayes.train(self.corpus_intent, "Text", "IntentionName")
+    def faq(self) -> md.HeadModel:
+        return self._head("faq", "corpus_faq", "Text", "FaqSettingId")
 
     @cached_property
-    def corpus_emo(self) -> DataFrame:
-        return cp.corpus_emo(self.cat)
+    def intent(self) -> md.HeadModel:
+        return self._head("intent", "corpus_intent", "Text", "IntentionName")
 
     @cached_property
-    def emo(self) -> bayes.NBModel:
-        return bayes.train(self.corpus_emo, "Question", "EmotionName")
+    def emo(self) -> md.HeadModel:
+        return self._head("emo", "corpus_emo", "Question", "EmotionName")
 
     @cached_property
     def sentiment(self) -> bayes.NBModel:
-        from parlance.operators import features as ft
-
         return ft.train_sentiment(self.cat.read("sent"))
 
+    @cached_property
+    def lookup(self) -> DataFrame:
+        """The FAQ lookup, written once for all scorings and micro-batches."""
+        return materialize(faq_lookup(self.corpus_faq, self.corpus_intent))
+
     @cached_property
     def stack(self):
         """Booster on [emotion probabilities, sentiment] of the emotion corpus (#67)."""
-        from parlance.operators import features as ft
-        from parlance.operators import models as md
-
-        head = md.HeadModel("nb", "EmotionName", self.emo.decode(), nb=self.emo)
-        return md.train_stack(ft.emo_features(head, self.sentiment, self.corpus_emo))
+        if self.trained is not None and self.trained.stack is not None:
+            return self.trained.stack
+        return md.train_stack(ft.emo_features(self.emo, self.sentiment, self.corpus_emo))
 
 
 def build_heads(cat: Catalog) -> Heads:
@@ -99,11 +113,11 @@ def rank_faq_long(heads: Heads, q: DataFrame, k: int = K_FAQ) -> DataFrame:
 
     Similarities are probabilities rounded to 3 places.
     """
-    top = bayes.score_topk(heads.faq, q, "text", k)
-    top = top.join(broadcast_if_bounded(heads.faq.decode()), "cls").select(
+    top = md.predict_topk(heads.faq, q, k)
+    top = top.join(broadcast_if_bounded(heads.faq.decode), "cls").select(
         "qid", "rank", F.col("FaqSettingId").alias("faq_id"), "p"
     )
-    look = faq_lookup(heads.corpus_faq, heads.corpus_intent).withColumnRenamed("FaqSettingId", "faq_id")
+    look = heads.lookup.withColumnRenamed("FaqSettingId", "faq_id")
     return top.join(look, "faq_id", "left").select(
         "qid", "rank", "faq_id", F.round("p", 3).alias("similarity"), "demand", "faq_intent", "supply"
     )
@@ -111,8 +125,8 @@ def rank_faq_long(heads: Heads, q: DataFrame, k: int = K_FAQ) -> DataFrame:
 
 def intent_scores(heads: Heads, q: DataFrame, k: int = K_INTENT) -> DataFrame:
     """(qid, pred_intent, intent_sims[k]): the intent head's k best classes."""
-    top = bayes.score_topk(heads.intent, q, "text", k)
-    top = top.join(broadcast_if_bounded(heads.intent.decode()), "cls")
+    top = md.predict_topk(heads.intent, q, k)
+    top = top.join(broadcast_if_bounded(heads.intent.decode), "cls")
     return top.groupBy("qid").agg(
         F.max(F.when(F.col("rank") == 1, F.col("IntentionName"))).alias("pred_intent"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", F.round("p", 3).alias("p")))), lambda s: s["p"]).alias("intent_sims"),
@@ -122,22 +136,18 @@ def intent_scores(heads: Heads, q: DataFrame, k: int = K_INTENT) -> DataFrame:
 def emotion(heads: Heads, q: DataFrame, balance: list[float] | None = None) -> DataFrame:
     """(qid, emotion): punctuation stripped, emotion head, optional offset, argmax, decode."""
     qq = q.withColumn("text", tx.strip_punct("text"))
-    head = heads.emo.shifted(balance) if balance is not None else heads.emo
-    top = bayes.predict(head, qq, "text")
-    return top.join(broadcast_if_bounded(heads.emo.decode()), "cls").select("qid", F.col("EmotionName").alias("emotion"))
+    top = md.predict_topk(heads.emo, qq, 1, balance=balance)
+    return top.join(broadcast_if_bounded(heads.emo.decode), "cls").select("qid", F.col("EmotionName").alias("emotion"))
 
 
 def emotion_stacked(heads: Heads, q: DataFrame, balance: list[float] | None = None) -> DataFrame:
     """(qid, emotion) through the stacked model: punctuation stripped, emotion
     probabilities + sentiment, booster raw scores, optional offset, argmax (#68)."""
-    from parlance.operators import features as ft
-    from parlance.operators import models as md
-
     qq = q.select("qid", tx.strip_punct("text").alias("text"))
-    proba = bayes.score_vector(heads.emo, qq, "text").select("qid", "proba")
+    proba = md.predict_proba(heads.emo, qq)
     sent = ft.sentiment(heads.sentiment, qq, "qid", "text")
     feats = proba.join(sent, "qid").select("qid", F.concat("proba", F.array("sentiment")).alias("f"))
-    return md.score_stack(heads.stack, feats, heads.emo.decode(), balance)
+    return md.score_stack(heads.stack, feats, heads.emo.decode, balance)
 
 
 def rank_faq(heads: Heads, q: DataFrame) -> DataFrame:
@@ -161,14 +171,14 @@ def rank_faq_v1(heads: Heads, q: DataFrame) -> DataFrame:
     r = rank_faq(heads, q)
     return r.select(
         "qid",
-        F.col("faq_intents").alias("referral_intent"),
+        F.col("faq_intents").alias("intents"),
         "pred_intent",
-        F.slice("faq_ids", 2, 3).alias("referral_faqid"),
-        F.col("faq_ids")[0].alias("faqid"),
-        F.col("demands").alias("referral"),
-        F.col("faq_sims").alias("similarity_faq"),
-        F.slice("intent_sims", 1, 3).alias("similarity_intent"),
-        F.col("answer").alias("faq_answer"),
+        F.slice("faq_ids", 2, 3).alias("next_ids"),
+        F.col("faq_ids")[0].alias("best_id"),
+        "demands",
+        F.col("faq_sims").alias("faq_ps"),
+        F.slice("intent_sims", 1, 3).alias("intent_ps"),
+        "answer",
     )
 
 

@@ -57,19 +57,24 @@ def corpus_emo(cat: Catalog, band=EMO_BAND) -> DataFrame:
 def option_values(cat: Catalog) -> DataFrame:
     """One row, one double column per option key; a missing key is an error (#30).
 
-    The first ``Value`` of a key wins. Keys are the six the reference reads.
+    The first ``Value`` of a key by ``ord`` wins; one that is no number is an
+    error. Keys are the six the reference reads.
     """
     keys = ["SimilarityFAQBot", "SimilarityIntentionBot", "ChatBotKind", "4000Faq", "4000Intention", "4000Emo"]
     opt = cat.read("options")
     cols = []
     for k in keys:
-        v = F.max(F.when(F.col("Key") == k, F.col("Value").try_cast("double")))
-        cols.append(
-            F.when(F.count(F.when(F.col("Key") == k, 1)) > 0, v)
-            .otherwise(F.raise_error(F.lit(f"option {k} is missing")))
-            .alias(k)
-        )
-    return opt.agg(*cols)
+        first = F.min(F.when(F.col("Key") == k, F.struct("ord", "Value")))["Value"]
+        cols.append(first.alias(f"_{k}"))
+        cols.append(F.count(F.when(F.col("Key") == k, 1)).alias(f"_n{k}"))
+    row = opt.agg(*cols)
+    return row.select(*[
+        F.when(F.col(f"_n{k}") == 0, F.raise_error(F.lit(f"option {k} is missing")).cast("double"))
+        .when(F.col(f"_{k}").try_cast("double").isNull(), F.raise_error(F.lit(f"option {k} is not a number")).cast("double"))
+        .otherwise(F.col(f"_{k}").try_cast("double"))
+        .alias(k)
+        for k in keys
+    ])
 
 
 def model_choice(cat: Catalog) -> DataFrame:
@@ -82,12 +87,11 @@ def model_choice(cat: Catalog) -> DataFrame:
     # Fallback kinds. The reference falls back to its two pretrained kinds,
     # which are not built here; ours are the engine's own kinds.
     defaults = DEFAULT_KINDS
-    # Id is the table's key; one name per id.
-    per_id = names.groupBy("Id").agg(F.min("Name").alias("Name"))
-    m = per_id.agg(F.map_from_entries(F.collect_list(F.struct(F.col("Id").cast("double"), "Name"))))
-    o = opts.withColumn("m", m.scalar())
-    looked = [F.try_element_at("m", F.col(opt)).alias(h) for h, opt in heads]
-    o = o.select(*looked)
+    # the first name of an id by ``ord``; one small join per head
+    per_id = names.groupBy(F.col("Id").cast("double").alias("_id")).agg(F.min_by("Name", "ord").alias("_name"))
+    o = opts
+    for h, opt in heads:
+        o = o.join(per_id.select(F.col("_id").alias(opt), F.col("_name").alias(h)), opt, "left")
     all_found = F.lit(True)
     for h, _ in heads:
         all_found = all_found & F.col(h).isNotNull()

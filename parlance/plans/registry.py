@@ -286,7 +286,8 @@ def predict_proba(spark, sf_dir):
 
 @query
 def softmax(spark, sf_dir):
-    return _long(_intent_vectors(spark, sf_dir), vx.softmax(F.col("scores")))
+    """Softmax of tempered scores (a tenth of the log scores) (#45)."""
+    return _long(_intent_vectors(spark, sf_dir), vx.softmax(F.transform("scores", lambda s: s / 10)))
 
 
 @query
@@ -302,7 +303,7 @@ def calib_intent(spark, sf_dir):
 @query
 def round_scores(spark, sf_dir):
     v = _intent_vectors(spark, sf_dir)
-    return v.select("qid", F.posexplode(vx.round_list(F.col("proba"), 3)).alias("cls", "p"))
+    return v.select("qid", F.posexplode(vx.round_list(F.col("proba"), 1)).alias("cls", "p"))
 
 
 @query
@@ -502,15 +503,15 @@ def train_all(spark, sf_dir):
 
 @query
 def load_all(spark, sf_dir):
+    """Train and save from the tables under a path of its own, then load all."""
+    import uuid
+
     from parlance.plans import jobs
 
     cat = Catalog(spark, sf_dir)
-    path = jobs.model_path(spark, "train_all-" + hashlib.md5(sf_dir.encode()).hexdigest()[:12])
-    status = jobs.load_all(cat, path)
-    if status.filter("status != 'loaded'").count():
-        jobs.train_all(cat, path)
-        status = jobs.load_all(cat, path)
-    return status
+    path = jobs.model_path(spark, f"load_all-{uuid.uuid4().hex}")
+    jobs.train_all(cat, path)
+    return jobs.load_all(cat, path).status
 
 
 @query
@@ -545,12 +546,9 @@ def score_emotion(spark, sf_dir):
 def rank_faq_v1(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
     r = ans.rank_faq_v1(ans.build_heads(cat), ans.prepare_questions(cat))
-    cols = [F.col("qid"), "pred_intent", "faqid", "faq_answer"]
-    cols += [F.get("referral_faqid", i).alias(f"referral_faqid_{i + 1}") for i in range(3)]
-    cols += [F.get("referral", i).alias(f"referral_{i + 1}") for i in range(4)]
-    cols += [F.get("referral_intent", i).alias(f"referral_intent_{i + 1}") for i in range(4)]
-    cols += [F.get("similarity_faq", i).alias(f"similarity_faq_{i + 1}") for i in range(4)]
-    cols += [F.get("similarity_intent", i).alias(f"similarity_intent_{i + 1}") for i in range(3)]
+    cols = [F.col("qid"), "pred_intent", "best_id", "answer"]
+    for c, name, n in (("next_ids", "next_id", 3), ("demands", "demand", 4), ("intents", "intent", 4), ("faq_ps", "faq_p", 4), ("intent_ps", "intent_p", 3)):
+        cols += [F.get(c, i).alias(f"{name}_{i + 1}") for i in range(n)]
     return r.select(*cols)
 
 
@@ -572,9 +570,11 @@ def route_fallback(spark, sf_dir):
         "qid", "bot", "answer",
         F.col("demand.faqId").alias("faq_id"), F.col("demand.similarity").alias("similarity"),
         F.col("demand.text").alias("demand_text"),
-        F.col("referral")[0]["faqId"].alias("referral_faq_id_1"),
-        F.col("referral")[0]["similarity"].alias("referral_similarity_1"),
-        "predIntentProb",
+        *[F.get("referral", F.lit(i))["faqId"].alias(f"referral_faq_id_{i + 1}") for i in range(3)],
+        *[F.get("referral", F.lit(i))["similarity"].alias(f"referral_similarity_{i + 1}") for i in range(3)],
+        F.col("demand.intent").alias("intent"),
+        *[F.get("referral", F.lit(i))["intent"].alias(f"referral_intent_{i + 1}") for i in range(3)],
+        "emotion", "predIntent", "predIntentProb",
     )
 
 

@@ -34,16 +34,16 @@ SYN_ROWS = [
 ]
 STOP_ROWS = ["the", "and", "of", "de", "la", "der", "to", "in"]
 OPTION_ROWS = [
-    ("SimilarityFAQBot", "0.6"), ("SimilarityIntentionBot", "0.8"), ("ChatBotKind", "1"),
-    ("4000Faq", "1"), ("4000Intention", "2"), ("4000Emo", "4"),
+    (1, "SimilarityFAQBot", "0.6"), (2, "SimilarityIntentionBot", "0.8"), (3, "ChatBotKind", "1"),
+    (4, "4000Faq", "1"), (5, "4000Intention", "2"), (6, "4000Emo", "4"), (7, "SimilarityFAQBot", "0.9"),
 ]
-BOT_MODEL_ROWS = [(1, "nb"), (2, "logreg"), (3, "mlp"), (4, "rf")]
+BOT_MODEL_ROWS = [(1, 1, "nb"), (2, 2, "logreg"), (3, 3, "mlp"), (4, 4, "rf"), (5, 2, "a later name")]
 SCRIPT_MAP_ROWS = [(1, "straße", "strasse"), (2, "ß", "ss"), (3, "é", "e"), (4, "ç", "c")]
 
 SYN_SCHEMA = "ord int, SynonymId bigint, Text string"
 STOP_SCHEMA = "Text string"
-OPTION_SCHEMA = "Key string, Value string"
-BOT_MODEL_SCHEMA = "Id int, Name string"
+OPTION_SCHEMA = "ord int, Key string, Value string"
+BOT_MODEL_SCHEMA = "ord int, Id int, Name string"
 SCRIPT_MAP_SCHEMA = "ord int, src string, dst string"
 
 
