@@ -9,8 +9,6 @@ result.
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +25,7 @@ PUNCT = r"[!-/:-@\[-`{-~]"
 
 # Size bound for a dictionary that travels with every row as one value.
 MAX_INLINE_PAIRS = 20000
-MAX_INLINE_STOPWORDS = 5000
+MAX_INLINE_STOPWORDS = 10000
 
 
 def segment(text: Column | str) -> Column:
@@ -177,66 +175,42 @@ def replace_all_to_one(df: DataFrame, col: str, syn: DataFrame, target: str = ""
 # ---------------------------------------------------------------------------
 # Stop words (#11)
 # ---------------------------------------------------------------------------
-def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, key: str = "ord", segmenter=None) -> DataFrame:
+def exclude_stopwords(df: DataFrame, col: str, stop: DataFrame, segmenter=None) -> DataFrame:
     """Drop segments equal to a stop word; concatenate the rest with no separator.
 
     ``segmenter`` (Column -> array<string> Column, e.g. a user's pandas UDF
-    for unspaced scripts) replaces the default lossless segmentation; it is
-    applied with the anti-join path.
-
-    A stop list of bounded size becomes one compiled pattern: a word made
-    of letters/digits is removed where it is a whole letter/digit run, a
-    word made of separators where it is a whole separator run; a mixed word
-    can never equal a segment and is left out. That is exactly the segment
-    filter, evaluated as one regex replace per row. A larger list is
-    applied as an anti join on (row, position, segment) and the kept
-    segments are re-joined in position order.
+    for unspaced scripts) replaces the default lossless segmentation.
+
+    Each segment is looked up in a hash set of the stop words, inside the
+    row's own projection, whatever the length of the list. A list too long
+    to travel with the plan takes an anti join on (row, position, segment)
+    with the same result; rows are told apart by a written number, never by
+    a column of theirs.
     """
-    words = [r[0] for r in stop.filter(F.col("Text").isNotNull()).distinct().limit(MAX_INLINE_STOPWORDS + 1).collect()]
-    if segmenter is None and len(words) <= MAX_INLINE_STOPWORDS:
-        pattern = stopword_pattern(words)
-        if pattern is None:
-            return df
-        return df.withColumn(col, F.regexp_replace(F.col(col), pattern, ""))
     seg = segmenter or segment
-    segs = df.select(key, F.posexplode(seg(F.col(col))).alias("_pos", "_seg"))
+    words = sorted(r[0] for r in stop.filter(F.col("Text").isNotNull()).distinct().limit(MAX_INLINE_STOPWORDS + 1).collect())
+    if not words:
+        return df
+    if len(words) <= MAX_INLINE_STOPWORDS:
+        kept = F.filter(seg(F.col(col)), lambda s: ~s.isin(words))
+        return df.withColumn(col, F.when(F.col(col).isNotNull(), F.array_join(kept, "")))
+    from parlance.operators.util import materialize
+
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    segs = rows.select("_row", F.posexplode(seg(F.col(col))).alias("_pos", "_seg"))
     kept = segs.join(stop.select(F.col("Text").alias("_seg")), "_seg", "left_anti")
-    joined = kept.groupBy(key).agg(
+    joined = kept.groupBy("_row").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_seg"))), lambda s: s["_seg"]), ""
         ).alias("_txt")
     )
     return (
-        df.join(joined, key, "left")
+        rows.join(joined, "_row", "left")
         .withColumn(col, F.when(F.col(col).isNotNull(), F.coalesce("_txt", F.lit(""))))
-        .drop("_txt")
+        .drop("_txt", "_row")
     )
 
 
-def stopword_pattern(words: list[str]) -> str | None:
-    """Java regex removing whole segments equal to one of ``words``."""
-    alnum = sorted({w for w in words if w and all(_is_alnum(c) for c in w)}, key=lambda w: (-len(w), w))
-    seps = sorted({w for w in words if w and not any(_is_alnum(c) for c in w)}, key=lambda w: (-len(w), w))
-    parts = []
-    if alnum:
-        parts.append(r"(?<![\p{L}\p{N}])(?:" + "|".join(_jquote(w) for w in alnum) + r")(?![\p{L}\p{N}])")
-    if seps:
-        parts.append(r"(?<![^\p{L}\p{N}])(?:" + "|".join(_jquote(w) for w in seps) + r")(?![^\p{L}\p{N}])")
-    return "|".join(parts) if parts else None
-
-
-def _is_alnum(c: str) -> bool:
-    cat = unicodedata.category(c)
-    return cat[0] in ("L", "N")
-
-
-def _jquote(w: str) -> str:
-    return "".join("\\" + c if c in _JAVA_SPECIAL else c for c in w)
-
-
-_JAVA_SPECIAL = set("\\.[]{}()<>*+-=!?^$|&/#~@%:,;'\"` ")
-
-
 # ---------------------------------------------------------------------------
 # Script / dialect conversion (#14)
 # ---------------------------------------------------------------------------

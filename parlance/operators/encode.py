@@ -1,7 +1,7 @@
 """Label encoding, character vocabulary and fixed-length encodings (#40, #41, #55-#58).
 
 The vocabulary is bounded (``VOCAB_TARGET`` entries), so it travels to
-every row as one map value and encoding is a narrow projection: no
+every row as one value of id pages and encoding is a narrow projection: no
 explode / join / re-collect of the corpus.
 """
 
@@ -63,24 +63,29 @@ def char_vocab(df: DataFrame, col: str, target: int = VOCAB_TARGET) -> DataFrame
     return counts.withColumn("id", F.row_number().over(w)).filter(F.col("id") <= target - 2).select("ch", "id", "cnt")
 
 
-def vocab_map(vocab: DataFrame) -> Column:
-    """The bounded vocabulary as one map value (scalar subquery).
+def vocab_pages(vocab: DataFrame) -> Column:
+    """The bounded vocabulary as one value: ids in pages of 256 code points,
+    and the number of entries. A lookup is two array accesses, however many
+    characters the vocabulary holds."""
+    cp = F.ascii("ch")
+    entry = F.struct(cp.bitwiseAND(F.lit(255)).alias("low"), F.col("id").cast("int").alias("id"))
+    page = vocab.groupBy(F.shiftright(cp, 8).alias("page")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.count(F.lit(1)).alias("k"))
+    page = page.select("page", "k", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.try_element_at("m", i)).alias("ids"))
+    whole = page.agg(F.map_from_entries(F.collect_list(F.struct("page", "ids"))).alias("p"), F.max("page").alias("top"), F.sum("k").cast("int").alias("n"))
+    pages = F.transform(F.sequence(F.lit(0), F.col("top")), lambda i: F.try_element_at("p", i))
+    empty = F.array().cast("array<array<int>>")
+    return whole.select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.when(F.col("top").isNotNull(), pages), empty).alias("pages"))).scalar()
 
-    Entries are in id order (most frequent first): map lookups scan keys
-    in order, so common characters are found after a few comparisons.
-    """
-    entries = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "ch"))),
-        lambda s: F.struct(s["ch"], s["id"]),
-    )
-    return vocab.select(
-        F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,int>"))
-    ).scalar()
 
+def _ids(text: Column, v: Column) -> Column:
+    """Ids of the characters; all characters outside the vocabulary share the
+    one id after its last (the reference spells them out in bytes)."""
+
+    def one(c: Column) -> Column:
+        cp = F.ascii(c)
+        return F.coalesce(F.get(F.get(v["pages"], F.shiftright(cp, 8)), cp.bitwiseAND(F.lit(255))), v["n"] + 1)
 
-def _ids(text: Column, vmap: Column) -> Column:
-    oov = F.size(vmap) + 1
-    return F.transform(chars(text), lambda c: F.coalesce(F.try_element_at(vmap, c), oov))
+    return F.transform(chars(text), one)
 
 
 def pad_post(ids: Column, maxlen: Column) -> Column:
@@ -90,13 +95,13 @@ def pad_post(ids: Column, maxlen: Column) -> Column:
 def encode_pad(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """ids per text, zero-padded at the end to the corpus' longest text (#56)."""
     maxlen = df.select(F.max(F.length(col))).scalar()
-    df = df.withColumn("_v", vocab_map(vocab)).withColumn("_m", maxlen)
+    df = df.withColumn("_v", vocab_pages(vocab)).withColumn("_m", maxlen)
     return df.withColumn(out, pad_post(_ids(F.col(col), F.col("_v")), F.col("_m"))).drop("_v", "_m")
 
 
 def encode_query(df: DataFrame, col: str, vocab: DataFrame, maxlen: Column, out: str = "ids") -> DataFrame:
     """Encode at scoring time: over-long input loses its front, then pad at the end (#57)."""
-    df = df.withColumn("_v", vocab_map(vocab)).withColumn("_m", maxlen)
+    df = df.withColumn("_v", vocab_pages(vocab)).withColumn("_m", maxlen)
     ids = _ids(F.col(col), F.col("_v"))
     kept = F.slice(ids, F.greatest(F.size(ids) - F.col("_m") + 1, F.lit(1)), F.col("_m"))
     return df.withColumn(out, pad_post(kept, F.col("_m"))).drop("_v", "_m")
@@ -107,7 +112,7 @@ def encode_mask(df: DataFrame, col: str, vocab: DataFrame, max_length: Column, o
 
     Adds ``out`` and ``mask`` (1 for a real id, 0 for padding).
     """
-    df = df.withColumn("_v", vocab_map(vocab)).withColumn("_m", max_length)
+    df = df.withColumn("_v", vocab_pages(vocab)).withColumn("_m", max_length)
     kept = F.slice(_ids(F.col(col), F.col("_v")), 1, F.col("_m"))
     df = df.withColumn("_k", kept)
     n_pad = F.greatest(F.col("_m") - F.size("_k"), F.lit(0))

@@ -66,3 +66,43 @@ def test_cache_versions_skip_incomplete(spark, tmp_path):
     assert p3.endswith("v000003")
     assert ft.read_cache(spark, base).first().ord == 3
     assert ft.versions(spark, base) == [1, 3]
+
+
+def test_options_by_first_row(spark):
+    import pytest
+
+    from parlance.sources.catalog import OPTION_ROWS, OPTION_SCHEMA
+
+    def options(rows):
+        return Catalog(spark, SF_SMALL, {"options": spark.createDataFrame(rows, OPTION_SCHEMA)})
+
+    assert cp.option_values(options(OPTION_ROWS)).first().SimilarityFAQBot == 0.6  # a later row says 0.9
+    with pytest.raises(Exception, match="is missing"):
+        cp.option_values(options(OPTION_ROWS[1:6])).collect()
+    with pytest.raises(Exception, match="not a number"):
+        cp.option_values(options([(0, "4000Faq", "many"), *OPTION_ROWS])).collect()
+
+
+def test_unknown_model_id_falls_back_for_all_three(spark):
+    from parlance.sources.catalog import OPTION_ROWS, OPTION_SCHEMA
+
+    rows = [(0, "4000Emo", "99"), *OPTION_ROWS]
+    cat = Catalog(spark, SF_SMALL, {"options": spark.createDataFrame(rows, OPTION_SCHEMA)})
+    assert cp.model_choice(cat).first().asDict() == cp.DEFAULT_KINDS
+    assert cp.model_choice(Catalog(spark, SF_SMALL)).first().asDict() == {"faq_kind": "nb", "intent_kind": "logreg", "emo_kind": "rf"}
+
+
+def test_options_choose_the_heads_that_answer_and_loading_changes_nothing(spark, tmp_path):
+    from parlance.plans import jobs
+
+    cat = Catalog(spark, SF_SMALL)
+    kinds = {"faq_kind": "nb", "intent_kind": "logreg", "emo_kind": "nb"}
+    assert {r.status for r in jobs.load_all(cat, str(tmp_path), kinds).status.collect()} == {"not trained"}
+    done = jobs.train_all(cat, str(tmp_path), kinds, stack_kind="rf")
+    back = jobs.load_all(cat, str(tmp_path), kinds, stack_kind="rf")
+    assert [r.status for r in back.status.collect()] == ["loaded"] * 4 and back.heads["intent"].kind == "logreg"
+    cols = ["qid", "pred_intent", "emotion", "Answer_faqsettingid", "pred_intent_prob"]
+    read = lambda t: sorted(map(tuple, ans.answer_v1(cat, ans.Heads(cat, t), stacked=True).select(*cols).collect()))
+    a = read(done)
+    assert a == read(back) and len(a) > 0
+    assert a != sorted(map(tuple, ans.answer_v1(cat, ans.Heads(cat)).select(*cols).collect()))
