@@ -479,8 +479,9 @@ block("f_diff", ["emo_keys8", "f_same"], """
 ORACLE["feature_same"] = with_("f_same") + 'select "EmotionName", label_emo, md5("Question") q from f_same'
 ORACLE["feature_keep"] = with_("f_keep") + 'select ord, "EmotionName", label_emo from f_keep'
 ORACLE["feature_diff"] = with_("f_diff") + 'select ord, "EmotionName", label_emo from f_diff'
-ORACLE["feature_refresh"] = with_("f_keep", "f_diff") + """select ord, "EmotionName", label_emo, 'new' origin from f_diff
-  union all select ord, "EmotionName", label_emo, 'kept' origin from f_keep"""
+ORACLE["feature_refresh"] = with_("f_keep", "f_diff", "emo_f") + """select ord, "EmotionName", label_emo, origin, f0, f1, f2, f3, f4
+  from (select ord, "EmotionName", label_emo, 'new' origin from f_diff
+        union all select ord, "EmotionName", label_emo, 'kept' origin from f_keep) join emo_f using(ord)"""
 
 # ---------------------------------------------------------------------------
 # evaluation of the nb intent head on the hash split

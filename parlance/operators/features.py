@@ -4,7 +4,8 @@ Feature rows: (ord, Question, EmotionName, label_emo, f) with
 f = [emotion-head class probabilities..., sentiment].
 
 The cache lives in versioned folders under a base path in shared
-storage: each refresh writes ``v<N+1>`` and never overwrites the version
+storage, one base per kind and model (``cache_base``): features of another
+model are never read. Each refresh writes ``v<N+1>`` and never overwrites the version
 being read; the highest complete version is current.
 """
 
@@ -138,6 +139,13 @@ def versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]
     return sorted(out)
 
 
+def cache_base(root: str, head) -> str:
+    """Cache folder of one head: its kind and a digest of the model itself."""
+    from parlance.operators import models
+
+    return f"{root}/{head.kind}-{models.model_id(head)}"
+
+
 def read_cache(spark: SparkSession, base: str) -> DataFrame | None:
     """Current feature table, or None when there is none (#2)."""
     v = versions(spark, base)

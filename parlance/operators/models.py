@@ -9,6 +9,7 @@ kind raises instead of silently keeping an old model.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -140,6 +141,18 @@ def eval_report(head: HeadModel, rows: DataFrame, text: str, split_name: str) ->
     )
 
 
+def model_id(head: HeadModel) -> str:
+    """Identity of a trained model: equal for equal ``nb`` statistics, also
+    after a reload; ML kinds carry the identity given when they were fitted."""
+    if head.nb is None:
+        return head.ml.uid
+    parts = []
+    for df, cols in ((head.nb.classes, ["cls", head.label, "docs", "n_tok"]), (head.nb.weights, ["token", "cls", F.round("w", 9)])):
+        h = F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+        parts += list(df.agg(F.count(F.lit(1)), h).first())
+    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:16]
+
+
 # ---------------------------------------------------------------------------
 # persistence (#4, #5)
 # ---------------------------------------------------------------------------

@@ -436,21 +436,22 @@ def feature_diff(spark, sf_dir):
 
 @query
 def feature_refresh(spark, sf_dir):
-    """Versioned cache: v1 = features of the earlier corpus, v2 = incremental refresh (#2, #3, #39)."""
+    """Versioned cache of one model: v1 = features of the earlier corpus, v2 =
+    incremental refresh (#2, #3, #39)."""
     import uuid
 
     from parlance.operators import features as ft
     from parlance.session import ensure_checkpoint_dir
 
-    base = f"{ensure_checkpoint_dir(spark)}/features-{uuid.uuid4().hex}"
-    _cat, old, old_head, sent = _features_parts(spark, sf_dir, (4, 0.7))
-    ft.write_cache(ft.emo_features(old_head, sent, old), base)
-    _cat, cur, head, _ = _features_parts(spark, sf_dir)
+    cat, cur, head, sent = _features_parts(spark, sf_dir)
+    base = ft.cache_base(f"{ensure_checkpoint_dir(spark)}/features-{uuid.uuid4().hex}", head)
+    ft.write_cache(ft.emo_features(head, sent, cp.corpus_emo(cat, (4, 0.7))), base)
     cur = cur.join(head.decode.select(F.col("cls").alias("label_emo"), "EmotionName"), "EmotionName")
     n_classes = head.decode.count()
     new = ft.refresh(ft.read_cache(spark, base), cur, n_classes, lambda rows: ft.emo_features(head, sent, rows))
     ft.write_cache(new, base)
-    return ft.read_cache(spark, base).select("ord", "EmotionName", "label_emo", "origin")
+    out = ft.read_cache(spark, base)
+    return out.select("ord", "EmotionName", "label_emo", "origin", *_flat_f(out))
 
 
 # -- models ---------------------------------------------------------------------

@@ -73,17 +73,13 @@ class Catalog:
     # -- derived roles (FIXTURES.md) ----------------------------------------
     def _role_faq(self) -> DataFrame:
         conv = self.table("conversations")
+        # first user and first assistant text of a conversation, in one aggregate
         first = conv.groupBy("conv_id").agg(
-            F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("du"),
-            F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("ds"),
+            *[F.min_by("text", F.when(F.col("role") == r, F.col("turn"))).alias(c) for r, c in (("user", "Demand"), ("assistant", "Supply"))]
         )
-        demand = conv.select("conv_id", F.col("turn").alias("du"), F.col("text").alias("Demand"))
-        supply = conv.select("conv_id", F.col("turn").alias("ds"), F.col("text").alias("Supply"))
         return (
             conv.filter(F.col("role") == "user")
             .join(first, "conv_id")
-            .join(demand, ["conv_id", "du"], "left")
-            .join(supply, ["conv_id", "ds"], "left")
             .select(
                 (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
                 F.col("text").alias("Text"),

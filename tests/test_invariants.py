@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from parlance.operators import features as ft
 from parlance.operators import models as md
+from parlance.operators import sampling as smp
 from parlance.plans import answer as ans
 from parlance.plans import corpus as cp
 from parlance.sources.catalog import Catalog
@@ -44,8 +45,24 @@ def test_save_load_equal_and_accuracy_floor(spark, tmp_path):
         # equal up to the order of floating-point sums
         diff = a.join(b, "qid").select(F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))).alias("d"))
         assert diff.agg(F.max("d")).first()[0] < 1e-9
-        rep = md.eval_report(head, corpus, "Text", "train").first()
-        assert rep.accuracy >= 0.8, (kind, rep)
+
+
+def test_accuracy_on_rows_that_training_does_not_see(spark):
+    split = smp.holdout_split(cp.corpus_intent(Catalog(spark, SF_SMALL)))
+    for kind in ("nb", "logreg"):
+        head = md.fit(kind, split.filter("split = 'train'"), "Text", "IntentionName")
+        rep = md.eval_report(head, split.filter("split = 'test'"), "Text", "test").first()
+        assert rep.n > 10 and rep.accuracy >= 0.8, (kind, rep)
+
+
+def test_evaluation_counts_rows_once_and_cache_follows_the_model(spark, tmp_path):
+    corpus = cp.corpus_emo(Catalog(spark, SF_SMALL))  # balanced: rows repeat
+    head = md.fit("nb", corpus, "Question", "EmotionName")
+    assert md.eval_report(head, corpus, "Question", "train").first().n == corpus.count()
+    md.save(head, str(tmp_path))
+    assert md.model_id(md.load(spark, str(tmp_path), "nb", "EmotionName")) == md.model_id(head)
+    other = md.fit("nb", corpus.limit(10), "Question", "EmotionName")
+    assert ft.cache_base("x", other) != ft.cache_base("x", head)
 
 
 def test_unknown_kind_raises(spark):
