@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -45,6 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of finished steps: once the driver has collected their plans,
+    Spark removes their shuffle files from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that tasks
     can import it wherever the driver was started from."""
@@ -86,6 +94,12 @@ def keys_within(df: DataFrame, keys: DataFrame, col: str, how: str = "left_semi"
     return df.join(k, col, how)
 
 
+def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """``df`` (a written table of a few numbers a row), hinted for broadcast
+    only if its rows were counted to be at most ``max_rows``."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def crc_mod5(id_col: str) -> Column:
     return F.crc32(quoted(id_col).cast("string")) % 5
 
@@ -226,23 +240,51 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return p.withColumn("_rn", rn).join(F.broadcast(before), "_pid").withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_pid", "_rn", "_before")
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) as links of every vertex to the smallest one that it
+    reaches through these edges."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = at[: len(a)], at[len(a) :]
+    label = np.arange(len(v))
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        np.minimum.at(new, label[p], low)
+        np.minimum.at(new, label[q], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    own = label != np.arange(len(v))
+    return v[own], v[label[own]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for the vertices of ``edges`` (a, b: longs): the
-    smallest vertex reachable. Alternating large and small stars; every
-    round is written to the shared folder, and only counts reach the driver.
+    smallest vertex reachable. Batches of edges are contracted first, then
+    alternate large and small stars; every round is written to the shared
+    folder, and only counts reach the driver.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, low = _roots(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(low)], names=["a", "b"])
+
+    ship(edges.sparkSession)
+    distinct = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    e = written(distinct.mapInArrow(contract, "a long, b long"), "edges")
+    state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = state(e)
+    while seen[0]:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
-        e = written(small, "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        small_ = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
+        e = written(small_, "edges")
+        now = state(e)
         if now == seen:
-            return e.select(F.col("a").alias("v"), F.col("b").alias("component")).union(
-                e.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
-            )
+            break
         seen = now
+    return e.select(F.col("a").alias("v"), F.col("b").alias("component")).union(e.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())

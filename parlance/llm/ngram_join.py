@@ -6,17 +6,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from parlance.llm.common import U64, Words, components, keys_within, mix64, quoted, shingles, ship, text_chunks, written
+from parlance.llm.common import U64, Words, components, free, keys_within, mix64, quoted, shingles, ship, small, text_chunks, written
 
 SLOT_BITS = 20  # slots of the frequency sketch, whatever the data
-FREQUENT = 4.0  # a token is frequent if its slot holds so many times the mean
-CLASSES = 64  # classes of tokens counted per set, for an upper bound of overlaps
-SPLIT = 4096  # members of a bucket that one group compares
+FREQUENT = 16.0  # a token is frequent if its slot holds so many times the mean
+BITS = 512  # of a set's short parity bitmap; the long one has four to eight bits a token
+SPLIT = 2048  # members of a bucket that one group compares
+LIGHT = 4  # members of a bucket whose pairs are rows at once
+LOWEST = 4  # signatures of a node that tell where its pairs were looked at before
+TOGETHER = 4_000_000  # tokens of the sets that one group verifies
 
 
 def doc_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
@@ -67,9 +71,9 @@ def frequency_classes(slots: np.ndarray) -> np.ndarray:
     return np.where(ratio < FREQUENT, 0, 1 + np.log2(np.maximum(ratio / FREQUENT, 1.0))).astype(np.int8)
 
 
-def signatures(s: np.ndarray, cls: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and the position of their first token in the order
-    (class, hash), rare tokens first.
+def signatures(s: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of a set, from its tokens in the order (class, hash), rare
+    tokens first.
 
     Two similar sets of this size or any other share at least ceil(t|x|)
     tokens, so their first two shared tokens stand within the first
@@ -86,20 +90,37 @@ def signatures(s: np.ndarray, cls: np.ndarray, percent: int) -> tuple[np.ndarray
     i, j = np.triu_indices(len(often), 1)
     i, j = often[i], often[j]
     both = mix64(head[i] * U64(3) + mix64(head[j] + U64(1)))
-    return np.concatenate([head[rare], both]), np.concatenate([rare, i])
+    return np.concatenate([head[rare], both])
 
 
-def class_counts(s: np.ndarray) -> bytes:
-    """Tokens of the set by class, as 16-bit numbers; empty if one is too large."""
-    c = np.bincount((mix64(s) & U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-    return c.astype(np.uint16).tobytes() if c.max(initial=0) < 65536 else b""
+def parity(s: np.ndarray) -> np.ndarray:
+    """Long bitmap of a set: a bit per token class, set if the set has an odd
+    number of tokens of the class. Its length is a power of two."""
+    bits = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    c = np.bincount((mix64(s) & U64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((c & 1).astype(np.uint8)).view(np.uint64)
 
 
-_PROFILE = "n long, k1 long, k2 long, counts binary, sigs array<long>, pos array<int>"
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap with fewer classes: of classes that become one, parities add up."""
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+
+
+def most_overlap(na, nb, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bound of shared tokens. A token that only one set has flips one
+    bit, so bitmaps x and y differ in no more bits than the sets in tokens."""
+    return (na + nb - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2
+
+
+def bitmaps(cells: list) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint64).reshape(len(cells), -1)
+
+
+_PROFILE = "n long, k1 long, k2 long, bits binary, wide binary, sigs array<long>"
 
 
 def _profile(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per document its set's size, key, class counts and signatures. A task
+    """Per document its set's size, key, bitmap and signatures. A task
     gives the signatures of equal sets once."""
     spark = rows.sparkSession
     ship(spark)
@@ -116,12 +137,13 @@ def _profile(rows: DataFrame, n: int, percent: int) -> DataFrame:
                     if len(seen) > 500_000:  # forgetting only costs repeated signatures
                         seen.clear()
                     seen.add(k)
-                sig, pos = signatures(s, cls[(s >> U64(64 - SLOT_BITS)).astype(np.int64)], percent) if new else (None, None)
-                out.append((len(s), *k, class_counts(s) if new else None, sig.view(np.int64) if new else None, pos.astype(np.int32) if new else None))
+                sig = signatures(s, cls[(s >> U64(64 - SLOT_BITS)).astype(np.int64)], percent).view(np.int64) if new else None
+                wide = parity(s) if new else None
+                out.append((len(s), *k, folded(wide, BITS // 64).tobytes() if new else None, wide.tobytes() if new else None, sig))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int32()))],
-                names=["id", "th", "n", "k1", "k2", "counts", "sigs", "pos"],
+                [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64()))],
+                names=["id", "th", "n", "k1", "k2", "bits", "wide", "sigs"],
             )
 
     schema = rows.select("id").schema.add("th", "long")
@@ -130,10 +152,14 @@ def _profile(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def _members(sigs: DataFrame) -> DataFrame:
-    """Signature rows whose signature occurs in two sets or more."""
-    count = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return sigs.join(count, "sig")
+def _members(own: DataFrame) -> DataFrame:
+    """(sig, m, c, n): nodes by signature, where a signature has m > 1 nodes.
+    Only signature and node go through the two shuffles of all signatures."""
+    each = own.select(F.explode("sigs").alias("sig"), "c")
+    count = each.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    few = written(each.join(count, "sig"), "members")
+    sizes = written(own.select("c", F.col("n").cast("int").alias("n")), "sizes")
+    return few.join(small(sizes), "c").select("sig", "m", "c", "n")
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
@@ -159,29 +185,41 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _could_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that class counts do not rule out: sets share at most the sum
-    over classes of the smaller count."""
-    x, y = (nodes.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("counts").alias("v" + k)) for k in "ab")
+    """Pairs that sizes, short bitmaps and long bitmaps do not rule out."""
+
+    def sides(col: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(nodes.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col(col).alias("v" + k)) for k in "ab")
+
+    def bound(na, nb, va: list, vb: list) -> np.ndarray:
+        if len({len(v) for v in va + vb}) == 1:
+            return most_overlap(na, nb, bitmaps(va), bitmaps(vb))
+        out = np.empty(len(na), np.int64)
+        for r, (p, q) in enumerate(zip(va, vb)):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            w = min(len(p), len(q))
+            out[r] = most_overlap(na[r], nb[r], folded(p, w), folded(q, w))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             col = {f: b.column(i) for i, f in enumerate(b.schema.names)}
             na, nb = col["na"].to_numpy(), col["nb"].to_numpy()
-            ok = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
-            va, vb = col["va"].to_pylist(), col["vb"].to_pylist()
-            known = np.array([bool(p) and bool(q) for p, q in zip(va, vb)], bool)
-            who = np.flatnonzero(ok & known)
-            if len(who):
-                p, q = (np.frombuffer(b"".join(v[i] for i in who), np.uint16).reshape(-1, CLASSES) for v in (va, vb))
-                ok[who] = np.minimum(p, q).sum(1, dtype=np.int64) >= least_overlap(na[who], nb[who], percent)
+            ok = bound(na, nb, col["va"].to_pylist(), col["vb"].to_pylist()) >= least_overlap(na, nb, percent)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    for c in ("bits", "wide"):
+        x, y = sides(c)
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    return pairs
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs whose sets, computed again from the texts, are similar enough."""
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     who = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = written(nodes.select("c", "th", "k1", "k2").join(who, "c"), "wanted")
 
@@ -195,7 +233,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, perce
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(k)
-                    out.append((*k, s.view(np.int64)))
+                    out.append((*k, np.sort(s.view(np.int64))))
             if out:
                 a, b, c = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64()))], names=["k1", "k2", "s"])
@@ -203,81 +241,108 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, perce
     texts = keys_within(rows.select(F.xxhash64("text").alias("th"), "text"), wanted, "th")
     found = texts.select("text").mapInArrow(sets, "k1 long, k2 long, s array<long>")
     full = written(found.join(wanted.select("c", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["c"]).select("c", "s"), "sets")
-    both = pairs.join(full.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    # a set goes once to the group of all pairs that hang together
+    hangs = components(pairs)
+    sizes = hangs.join(nodes.select("c", "n"), F.col("v") == F.col("c")).groupBy("component").agg(F.sum("n").alias("m"))
+    hangs = written(hangs.join(sizes, "component"), "hangs")
+    at = pairs.join(hangs, F.col("a") == F.col("v")).select(F.col("component").alias("g"), F.col("m").alias("gm"), "a", "b")
+    sets_at = full.join(hangs, F.col("c") == F.col("v")).select(F.col("component").alias("h"), F.col("m").alias("hm"), "c", "s")
+
+    def check(own: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        by = {c: np.asarray(s) for c, s in zip(own.c, own.s)}
+        ok = [_similar(by[a], by[b], percent) for a, b in zip(want.a, want.b)]
+        return want.loc[np.array(ok, bool), ["a", "b"]]
+
+    one = sets_at.where(F.col("hm") <= TOGETHER).groupBy("h").cogroup(at.where(F.col("gm") <= TOGETHER).groupBy("g")).applyInPandas(check, "a long, b long")
+    # where too many tokens hang together, pairs are joined to their sets one by one
+    x, y = (sets_at.where(F.col("hm") > TOGETHER).select(F.col("c").alias(k), F.col("s").alias("s" + k)) for k in "ab")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    two = at.where(F.col("gm") > TOGETHER).select("a", "b").join(x, "a").join(y, "b").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return written(one.union(two), "links")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Both sorted and without repeats."""
+    at = np.searchsorted(x, y)
+    shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that are not connected yet and could be similar:
     every such pair is looked at. Buckets whose members are connected drop
     out; a bucket of more than SPLIT members is compared by pairs of blocks,
-    so that a group stays small however many members there are."""
-    at = members.join(comps, F.col("c") == F.col("v"), "left").select("sig", "c", "n", "pos", "m", F.coalesce("component", "c").alias("comp"))
-    at = written(at, "members")
+    so that a group stays small however many members there are. Members of
+    all but the smallest buckets bring their bitmaps, so that what these rule
+    out is never a row, and their lowest signatures: a pair that shares one
+    below the bucket's own was looked at in that bucket."""
+    at = members.join(comps, F.col("c") == F.col("v"), "left").select("sig", "c", "n", "m", F.coalesce("component", "c").alias("comp"))
     mixed = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    at = written(at.join(mixed, "sig"), "mixed")
+    low = at.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOWEST).alias("low"))
+    light = at.where(F.col("m") <= LIGHT).withColumn("bits", F.lit(None).cast("binary")).withColumn("low", F.lit(None).cast("array<bigint>"))
+    rows = light.unionByName(at.where(F.col("m") > LIGHT).join(nodes.select("c", "bits"), "c").join(low, "c"))
     blocks = F.ceil(F.col("m") / SPLIT).cast("int")
-    mine = F.pmod(F.xxhash64("c"), blocks).cast("int")
-    rows = at.join(mixed, "sig").join(nodes.select("c", "counts"), "c").withColumn("mine", mine)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("c"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n", "pos", "comp", "counts")
-
-    def compare(group: list[np.ndarray], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        c, n, pos, comp, mine, i, j = group
-        v = np.frombuffer(b"".join(x or bytes(2 * CLASSES) for x in counts), np.uint16).reshape(-1, CLASSES).astype(np.int32)
-        known = np.array([bool(x) for x in counts], bool)
-        a, b = [], []
+    rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n", "comp", "bits", "low")
+
+    def compare(group: dict[str, np.ndarray], bits: list[bytes], lows: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, n, comp, mine = group["c"], group["n"], group["comp"], group["mine"]
+        apart = group["i"][0] != group["j"][0]
+        v = bitmaps(bits) if bits[0] is not None else None
+        if v is not None:  # signatures below this bucket's; the bucket's own stands for none
+            own = int(group["sig"][0])
+            low = np.array([[*(g if g < own else own for g in x), *[own] * (LOWEST - len(x))] for x in lows], np.int64)
+        last = np.searchsorted(n, 100 * n // percent, "right")
         for r in range(len(c) - 1):
-            hi = int(np.searchsorted(n, 100 * n[r] // percent, "right"))
-            if hi <= r + 1:
-                continue
-            s = slice(r + 1, hi)
-            need = least_overlap(n[r], n[s], percent)
-            ok = (comp[s] != comp[r]) & (np.minimum(n[r] - pos[r], n[s] - pos[s]) >= need)
-            if i[r] != j[r]:
+            s = slice(r + 1, int(last[r]))
+            ok = comp[s] != comp[r]
+            if apart:
                 ok &= mine[s] != mine[r]
-            k = np.flatnonzero(ok)
+            k = np.flatnonzero(ok) + r + 1
+            if len(k) and v is not None:
+                k = k[most_overlap(n[r], n[k], v[r], v[k]) >= least_overlap(n[r], n[k], percent)]
+                before = low[r][low[r] < own]
+                if len(k) and len(before):
+                    k = k[~np.isin(low[k], before).any(1)]
             if len(k):
-                k = k[~(known[r] & known[k + r + 1]) | (np.minimum(v[r], v[k + r + 1]).sum(1) >= need[k])]
-                a.append(np.full(len(k), c[r]))
-                b.append(c[k + r + 1])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                yield np.full(len(k), c[r]), c[k]
 
-    names = ["sig", "i", "j", "mine", "c", "n", "pos", "comp", "counts"]
+    names = ["sig", "i", "j", "mine", "c", "n", "comp", "bits", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def groups(t: pa.Table, whole: bool):
-            col = {k: t.column(k).to_numpy() for k in names[:-1]}
-            counts = t.column("counts").to_pylist()
-            new = np.append(True, (col["sig"][1:] != col["sig"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1]))
-            starts = np.flatnonzero(new)
-            stops = np.append(starts[1:], len(new))
-            if not whole:
-                starts, stops = starts[:-1], stops[:-1]
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in zip(starts.tolist(), stops.tolist()):
-                if hi - lo > 1:
-                    x, y = compare([col[k][lo:hi] for k in ("c", "n", "pos", "comp", "mine", "i", "j")], counts[lo:hi])
-                    a.append(x)
-                    b.append(y)
-            done = int(stops[-1]) if len(stops) else 0
-            return done, pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, t]) if rest is not None else t
-            if rest.num_rows:
-                done, out = groups(rest, False)
-                rest = rest.slice(done)
-                yield out
-        if rest is not None and rest.num_rows:
-            yield groups(rest, True)[1]
+        rest, held, size = None, [], 0
+
+        def batch() -> pa.RecordBatch:
+            a, b = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in range(2))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for got in [batches, None]:  # at the end, the last group
+            for t in map(lambda x: pa.Table.from_batches([x]), got) if got is not None else [None]:
+                rest = t if rest is None else rest if t is None else pa.concat_tables([rest, t])
+                if rest is None or not rest.num_rows:
+                    continue
+                col = {k: rest.column(k).to_numpy() for k in names[:-2]}
+                bits, lows = rest.column("bits").to_pylist(), rest.column("low").to_pylist()
+                new = np.concatenate([[True], (col["sig"][1:] != col["sig"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])])
+                bounds = np.append(np.flatnonzero(new), len(new)).tolist()
+                if t is not None:
+                    bounds = bounds[:-1]  # the last group may go on
+                for lo, hi in zip(bounds[:-1], bounds[1:]):
+                    if hi - lo > 1:
+                        for pair in compare({k: x[lo:hi] for k, x in col.items()}, bits[lo:hi], lows[lo:hi]):
+                            held.append(pair)
+                            size += len(pair[0])
+                            if size > 50_000:
+                                yield batch()
+                                size = 0
+                rest = rest.slice(bounds[-1])
+        yield batch()
 
     ordered = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "c")
-    pairs = ordered.mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +353,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     Equal sets are one node. First each bucket of a signature links its
     members to few leaders, which connects large groups of copies in one
     linear step; then every pair of a bucket that is still unconnected and
-    not ruled out by sizes, positions or class counts is verified. No link
+    not ruled out by sizes or bitmaps is verified. No link
     between different texts is lost, and connected members are not expanded
     into pairs.
 
@@ -302,11 +367,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     keys = prof.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("sigs").isNotNull(), F.col("row"))).alias("c"))
     keys = written(keys, "classes")
     own = keys_within(prof.withColumnRenamed("row", "c"), keys.where("c IS NOT NULL"), "c")
-    nodes = own.select("c", "n", "th", "k1", "k2", "counts")
-    each = own.select("c", "n", F.explode(F.arrays_zip("sigs", "pos")).alias("s")).select(F.col("s.sigs").alias("sig"), "c", F.col("n").cast("int").alias("n"), F.col("s.pos").alias("pos"))
-    members = written(_members(each), "members")
+    nodes = own.select("c", "n", "th", "k1", "k2", "bits", "wide")
+    members = _members(own)
+    free(rows.sparkSession)
     first = _verified(_could_link(_stars(members, percent), nodes, percent), nodes, rows, n, percent)
-    second = _verified(_across(members, nodes, components(first), percent), nodes, rows, n, percent)
+    free(rows.sparkSession)
+    second = _verified(_could_link(_across(members, nodes, components(first), percent), nodes, percent), nodes, rows, n, percent)
+    free(rows.sparkSession)
     comps = components(first.union(second))
     at = keys.join(comps, F.col("c") == F.col("v"), "left").select("k1", "k2", "id", "component")
     low = at.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("low"))

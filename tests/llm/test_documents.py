@@ -28,6 +28,8 @@ def family(seed=1, groups=25, size=8):
 @pytest.mark.parametrize("n,percent,split", [(4, 85, 4096), (5, 80, 16), (1, 60, 4096)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, n, percent, split):
     monkeypatch.setattr(ngram_join, "SPLIT", split)
+    monkeypatch.setattr(ngram_join, "LIGHT", split // 8 if split < 100 else 4)
+    monkeypatch.setattr(ngram_join, "TOGETHER", split * 30)
     texts = family() + ["", " ", "x", "x", "X", "one two three"] + [None]
     low, sizes = jaccard_components(texts, n, percent)
     got = ngram_join.join(clashing(docs(spark, list(enumerate(texts)))), n, percent)
@@ -47,10 +49,22 @@ def test_signatures_meet_for_similar_sets():
         if 100 * shared >= 85 * (len(x) + len(y) - shared) and len(x) > 1 and len(y) > 1:
             kind = lambda s: (s % np.uint64(4) < rng_share).astype(np.int8)
             for rng_share in (0, 2, 4):
-                a, b = ngram_join.signatures(x, kind(x), 85)[0], ngram_join.signatures(y, kind(y), 85)[0]
+                a, b = ngram_join.signatures(x, kind(x), 85), ngram_join.signatures(y, kind(y), 85)
                 assert len(np.intersect1d(a, b))
 
 
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    for size in (2, 50, 3000):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            y = np.unique(np.append(x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**63, size // 3).astype(np.uint64)))
+            p, q = ngram_join.parity(x), ngram_join.parity(y)
+            for w in (min(len(p), len(q)), ngram_join.BITS // 64):
+                a, b = ngram_join.folded(p, w), ngram_join.folded(q, w)
+                assert ngram_join.most_overlap(len(x), len(y), a, b) >= len(np.intersect1d(x, y))
+
+
 def test_jaccard_join_odd_rows(spark):
     got = ngram_join.join(odd_docs(spark)).collect()
     by = {}
