@@ -163,25 +163,30 @@ def _members(own: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """In every bucket, by size: link each member to the first one whose size
-    could be similar to it; a member too large for it becomes the next. The
-    state is one row per bucket, however many members it has."""
+    """In every bucket, by size: link each member to the one before it and to
+    the first one whose size could be similar to it; a member too large for
+    that one becomes the next first. Two pairs a member at most; the state is
+    two rows per bucket, however many members it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = lead = lead_size = None
+        sig = lead = lead_size = last = None
         for b in batches:
             out_a, out_b = [], []
             for s, c, n in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 if s != sig or 100 * lead_size < percent * n:
                     sig, lead, lead_size = s, c, n
-                elif c != lead:
+                else:
                     out_a.append(lead)
                     out_b.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    if last != lead:
+                        out_a.append(last)
+                        out_b.append(c)
+                last = c
+            a, b_ = np.array(out_a, np.int64), np.array(out_b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b_)), pa.array(np.maximum(a, b_))], names=["a", "b"])
 
     ordered = members.select("sig", "c", "n").repartition("sig").sortWithinPartitions("sig", "n", "c")
-    pairs = ordered.mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _could_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
