@@ -81,12 +81,57 @@ class Machine:
         return z
 
 
+def paired(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, df: np.ndarray, linear: np.ndarray, least: int, share: float = 0.01, errors: float = 8.0) -> np.ndarray:
+    """Which terms without a linear weight matter beside another term, and the
+    terms they matter beside. All pairs of terms in ``share`` of the documents
+    (and ``least``) are looked at: the share of label 1 with both terms, less
+    the shares with one, plus the share with neither, is 0 when the terms only
+    add up; ``errors`` standard errors are more than chance makes of all pairs.
+    """
+    n, y1 = len(y), float(y.sum())
+    who = np.flatnonzero(df >= max(least, share * n))
+    # tiles of bounded memory, whatever the number of terms
+    block, rows = (int(np.clip(cells // max(len(who), 1), 16, most)) for cells, most in ((12 << 20, 1024), (24 << 20, 2048)))
+    number = np.full(len(df), -1)
+    number[who] = np.arange(len(who))
+    own, t = np.repeat(np.arange(n), np.diff(np.concatenate([[0], ends]))), number[terms]
+    own, t = own[t >= 0], t[t >= 0]
+    cuts = np.searchsorted(own, np.arange(0, n + rows, rows))
+    s, s1 = df[who].astype(np.float32), np.bincount(t, weights=y[own], minlength=len(who)).astype(np.float32)
+    known, hit = linear[who], np.zeros(len(who), bool)
+    for lo in range(0, len(who), block):
+        hi = min(lo + block, len(who))
+        both, both1 = np.zeros((2, len(who) - lo, hi - lo), np.float32)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            x = np.zeros((min(rows, n - i * rows), len(who)), np.float32)
+            x[own[a:b] - i * rows, t[a:b]] = 1
+            x = x[:, lo:]
+            pos = x[y[i * rows : i * rows + len(x)] > 0]
+            both += x.T @ x[:, : hi - lo]
+            both1 += pos.T @ pos[:, : hi - lo]
+        i, i1, j, j1 = s[lo:, None], s1[lo:, None], s[None, lo:hi], s1[None, lo:hi]
+        odd, var = np.zeros_like(both), np.zeros_like(both)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for sign, c, c1 in ((1, both, both1), (-1, i - both, i1 - both1), (-1, j - both, j1 - both1), (1, n - i - j + both, y1 - i1 - j1 + both1)):
+                odd += sign * (c1 / c)
+                var += 1 / c
+            # without documents in one of the four parts, nothing is known of the pair
+            far = np.abs(odd) >= errors * np.sqrt(y1 / n * (1 - y1 / n) * var)
+        far &= ~(known[lo:, None] & known[None, lo:hi]) & np.isfinite(var)
+        hit[lo:] |= far.any(1)
+        hit[lo:hi] |= far.any(0)
+    out = np.zeros(len(df), bool)
+    out[who[hit]] = True
+    return out
+
+
 def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors: int, updates: int = 1200, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, least: int = 3, screen: float = 4.0, weight: np.ndarray | None = None, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss, three epochs or ``updates`` steps at least; the rarer class weighs as much as the
-    other. Terms in fewer than ``least`` documents, and terms whose share of
-    documents does not differ between the classes by ``screen`` standard
-    errors, are left out. The result depends on the order of the rows only
-    through ``seed``."""
+    other. Terms in fewer than ``least`` documents are left out. A term whose
+    share of documents does not differ between the classes by ``screen``
+    standard errors has no linear weight, and has factors only if it takes
+    part in a pair (``paired``). The result depends on the order of the rows
+    only through ``seed``."""
     size = 1 << bits
     n = len(y)
     if not n:
@@ -98,8 +143,12 @@ def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors:
         with_pos = np.bincount(terms, weights=np.repeat(y, ends - begin), minlength=size)
         p1, p0, p = with_pos / y.sum(), (df - with_pos) / (n - y.sum()), df / n
         seen &= np.abs(p1 - p0) >= screen * np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum()))) + 1e-12
+    linear = seen.copy()
+    if factors and 0 < y.sum() < n:
+        seen |= paired(y, terms, ends, df, linear, least)
     number = np.cumsum(seen) - 1
     m = int(seen.sum())
+    alone = linear[seen]
     rng = np.random.default_rng(seed)
     w, gw = np.zeros(m), np.full(m, 1e-3)
     v, gv = rng.normal(0, 0.01, (m, factors)), np.full((m, factors), 1e-3)
@@ -126,7 +175,7 @@ def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors:
             g = (sigmoid(z) - y[rows]) * cost[rows] / len(rows)
             gr = np.bincount(inv, weights=g[own], minlength=len(u)) + decay * w[u]
             gw[u] += gr**2
-            w[u] -= rate * gr / np.sqrt(gw[u])
+            w[u] -= np.where(alone[u], rate * gr / np.sqrt(gw[u]), 0.0)
             for f in range(factors):
                 gr = np.bincount(inv, weights=g[own] * (s[own, f] - vt[:, f]), minlength=len(u)) + decay * v[u, f]
                 gv[u, f] += gr**2
