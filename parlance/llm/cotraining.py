@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import U64, Words, crc_mod5, mix64, quoted, ship, text_chunks
-from parlance.llm.hashed import Machine, distinct, fit, platt, sigmoid
+from parlance.llm.hashed import Machine, class_weights, distinct, fit, platt, sigmoid
+from parlance.llm.toxicity import labelled, per_sampled
 
 BITS = 18
 META_BITS = 12
@@ -117,19 +118,21 @@ class View:
         return self.terms[at], ends
 
 
-def co_train(y: np.ndarray, views: list[View], rounds: int = ROUNDS, confident: float = CONFIDENT, per_round: int = PER_ROUND) -> tuple[list[Machine], np.ndarray]:
+def co_train(y: np.ndarray, views: list[View], rounds: int = ROUNDS, confident: float = CONFIDENT, per_round: int = PER_ROUND, behind: dict[int, float] | None = None) -> tuple[list[Machine], np.ndarray]:
     """Models of the views and the weights that combine their logits.
 
     ``y`` is 0, 1, or -1 for the pool. In a round every view is fitted on its
     labelled rows and calibrated on a fifth that it does not see; what it is
     sure of in the pool goes, with that label, into the other view's rows.
     At the end the calibrated logits are combined by a small ridge fit on the
-    held-back fifth.
+    held-back fifth. ``behind`` says by class how many labelled rows one row
+    stands for; calibration and combination weigh the classes by it.
     """
     known = np.flatnonzero(y >= 0)
     back, train_rows = known[::5], np.setdiff1d(known, known[::5])
     pool = np.flatnonzero(y < 0)
     extra: list[dict[int, int]] = [{} for _ in views]
+    share = class_weights(y[back], behind)
     for r in range(rounds + 1):
         fitted = []
         for v, more in zip(views, extra):
@@ -137,7 +140,7 @@ def co_train(y: np.ndarray, views: list[View], rounds: int = ROUNDS, confident:
             target = np.concatenate([y[train_rows], np.fromiter(more.values(), np.float64, len(more))]).astype(float)
             weight = np.concatenate([np.ones(len(train_rows)), np.full(len(more), 0.5)])
             m = fit(target, *v.pick(who), v.bits, 0, weight=weight)
-            fitted.append((m, *platt(m.logits(*v.pick(back)), y[back].astype(float))))
+            fitted.append((m, *platt(m.logits(*v.pick(back)), y[back].astype(float), share)))
         if r == rounds or not len(pool):
             break
         for i, (v, (m, a, b)) in enumerate(zip(views, fitted)):
@@ -155,8 +158,8 @@ def co_train(y: np.ndarray, views: list[View], rounds: int = ROUNDS, confident:
     if len(back) and t.min() != t.max():
         for _ in range(50):
             p = sigmoid(z @ c)
-            g = z.T @ (p - t) + 0.05 * (c - start)
-            h = (z * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ z + 0.05 * np.eye(len(c))
+            g = z.T @ (share * (p - t)) + 0.05 * (c - start)
+            h = (z * (share * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + 0.05 * np.eye(len(c))
             c = c - np.linalg.solve(h, g)
     # fold the calibration into the combination: one weight per view, one constant
     weights = np.array([c[i] * a for i, (_, a, _) in enumerate(fitted)] + [c[-1] + sum(c[i] * b for i, (_, _, b) in enumerate(fitted))])
@@ -167,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Co-train on a bounded sample, in one task. Without labels of both
     classes, every score is the share of label 1 (0.5 without labels)."""
     ship(docs.sparkSession)
-    ids = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    ids = ids.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("id", "y")
+    ids = labelled(labels, label_col, id_col)
+    behind = per_sampled(ids, MAX_ROWS)
     few = None
     for y, n in MAX_ROWS.items():
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
@@ -192,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             empty = [Machine(0.0, np.zeros(1 << b, np.float32), np.zeros((1 << b, 0), np.float32)) for b in (BITS, META_BITS)]
             out = empty, np.array([0.0, 0.0, np.log((share + 1e-4) / (1 - share + 1e-4))])
         else:
-            out = co_train(y, [View(list(f.content), BITS), View(list(f.layout), META_BITS)])
+            out = co_train(y, [View(list(f.content), BITS), View(list(f.layout), META_BITS)], behind=behind)
         yield pd.DataFrame({"model": [pickle.dumps(out)]})
 
     got = rows.mapInArrow(views, "id string, y int, content array<int>, layout array<int>").repartition(1).mapInPandas(run, "model binary").first()

@@ -187,7 +187,14 @@ def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors:
     return Machine(float(bias), full_w, full_v)
 
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def class_weights(y: np.ndarray, per_row: dict[int, float] | None) -> np.ndarray:
+    """Weights of rows that give a sample cut by class the class shares of
+    the whole; on average 1."""
+    w = np.where(y > 0, *((per_row or {}).get(k, 1.0) for k in (1, 0)))
+    return w / w.mean() if len(w) else w
+
+
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, steps: int = 50) -> tuple[float, float]:
     """a, b of sigmoid(a z + b) by Newton steps on held-back rows, with a
     small ridge so that separable rows stay finite."""
     a, b = 1.0, 0.0
@@ -195,8 +202,8 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
         return a, b
     for _ in range(steps):
         p = sigmoid(a * z + b)
-        r = p - y
-        h = np.maximum(p * (1 - p), 1e-9)
+        r = weight * (p - y)
+        h = weight * np.maximum(p * (1 - p), 1e-9)
         g = np.array([r @ z + 1e-2 * (a - 1), r.sum() + 1e-2 * b])
         m = np.array([[h @ (z * z) + 1e-2, h @ z], [h @ z, h.sum() + 1e-2]])
         d = np.linalg.solve(m, g)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import crc_mod5, quoted, ship, text_chunks, without
-from parlance.llm.hashed import Machine, doc_terms, fit, platt, sigmoid
+from parlance.llm.hashed import Machine, class_weights, doc_terms, fit, platt, sigmoid
 
 BITS = 18
 FACTORS = 4
@@ -20,12 +20,21 @@ FACTORS = 4
 MAX_ROWS = {1: 4_000, 0: 12_000}
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: dict[int, int]) -> DataFrame:
-    """(y, text) of a bounded sample of labelled rows: of each class the rows
-    first in the order of an id hash. Ids that carry both labels, and null
-    ids or labels, are left out."""
+def labelled(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(id, y) of every labelled id. Ids that carry both labels, and null ids
+    or labels, are left out."""
     ids = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    ids = ids.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1")
+    return ids.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("id", "y")
+
+
+def per_sampled(ids: DataFrame, max_rows: dict[int, int]) -> dict[int, float]:
+    """By class, how many labelled ids stand behind one id of the sample."""
+    return {r.y: max(1.0, r["count"] / max_rows[r.y]) for r in ids.groupBy("y").count().collect() if max_rows.get(r.y)}
+
+
+def sample_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, max_rows: dict[int, int]) -> DataFrame:
+    """(id, y, text) of a bounded sample of labelled rows: of each class the
+    rows first in the order of an id hash."""
     parts = [ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).select("id", "y") for y, n in max_rows.items()]
     few = parts[0]
     for p in parts[1:]:
@@ -51,9 +60,11 @@ def term_rows(sample: DataFrame, bits: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, factors: int = FACTORS, max_rows: dict[int, int] = MAX_ROWS) -> tuple[Machine, tuple[float, float]]:
     """Fit on the bounded sample, in one task, and calibrate on a fifth of it
-    that the fit does not see. Without rows of both classes the model has no
+    that the fit does not see, with the class shares of all labels. Without rows of both classes the model has no
     terms and gives every text the share of label 1 (0 without rows)."""
-    rows = term_rows(sample_rows(docs, labels, label_col, id_col, text_col, max_rows), bits)
+    ids = labelled(labels, label_col, id_col)
+    behind = per_sampled(ids, max_rows)
+    rows = term_rows(sample_rows(docs, ids, id_col, text_col, max_rows), bits)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_ = pd.concat([*frames, pd.DataFrame({"id": [], "y": [], "terms": []})]).sort_values("id", kind="stable")
@@ -71,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             pick = lambda who: (y[who], np.concatenate([terms[a:b] for a, b in zip(begin[who], ends[who])] or [terms[:0]]), np.cumsum(lens[who]))
             m = fit(*pick(~back), bits, factors)
             yb, tb, eb = pick(back)
-            out = m, platt(m.logits(tb, eb), yb)
+            out = m, platt(m.logits(tb, eb), yb, class_weights(yb, behind))
         yield pd.DataFrame({"model": [pickle.dumps(out)]})
 
     got = rows.repartition(1).mapInPandas(run, "model binary").first()

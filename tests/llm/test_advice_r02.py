@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from parlance.llm import hashed
+from parlance.llm import cotraining, hashed, toxicity
 
 
 def test_pairs_are_learned_with_the_production_parameters():
@@ -23,3 +23,29 @@ def test_pairs_are_learned_with_the_production_parameters():
     chance = rng.permutation(y)
     df = np.bincount(terms, minlength=1 << 10)
     assert not hashed.paired(chance, terms, ends, df, np.zeros(1 << 10, bool), 3).any()
+
+
+def test_half_means_the_same_below_and_above_the_caps(spark):
+    """One text is label 1 for 3 of 10 ids, whatever the caps make of the
+    shares: it is not marked, and its score is near 0.3."""
+    rows = [(i, "borderline words here" if i % 2 else "clean words only here", int(i % 2 and i % 20 in (1, 7, 13))) for i in range(4000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, "borderline words here")], "doc_id long, text string")
+    for caps in ({1: 4000, 0: 4000}, {1: 500, 0: 500}):
+        got = toxicity.score(probe, toxicity.train(docs, labels, max_rows=caps)).first().score
+        assert 0.2 < got < 0.4, (caps, got)
+
+
+def test_co_training_weighs_the_classes_by_all_labels():
+    """Of 600 rows of either class, a row of label 1 stands for three."""
+    rng = np.random.default_rng(4)
+    y = np.arange(1200) % 2
+    views = [cotraining.View([[1 + int(rng.random() < 0.5 + 0.2 * k), 5] for k in y], 6) for _ in range(2)]
+    mean = {}
+    for name, behind in (("even", None), ("threefold", {1: 3.0, 0: 1.0})):
+        models, c = cotraining.co_train(y, views, behind=behind)
+        z = sum(w * m.logits(*v.pick(np.arange(1200))) for w, m, v in zip(c, models, views)) + c[-1]
+        w = hashed.class_weights(y, behind)
+        mean[name] = (w * hashed.sigmoid(z)).sum() / w.sum()
+    assert abs(mean["even"] - 0.5) < 0.08 and abs(mean["threefold"] - 0.75) < 0.08
