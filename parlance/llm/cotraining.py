@@ -177,9 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
         few = part if few is None else few.union(part)
     # at most MAX_POOL ids; those that have a label are no part of the pool
-    pool = docs.select(quoted(id_col).alias("id")).where("id IS NOT NULL").join(ids.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(MAX_POOL)
-    few = few.union(pool.distinct().select("id", F.lit(-1).alias("y")))
-    rows = _with_meta(docs, id_col, text_col).join(F.broadcast(few), "id").select(F.col("id").cast("string").alias("id"), "y", "text", "m0", "m1", "m2")
+    pool = docs.select(quoted(id_col).alias("id")).where("id IS NOT NULL").distinct().join(ids.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(MAX_POOL)
+    few = few.union(pool.select("id", F.lit(-1).alias("y")))
+    # one row of each id, the one with the smallest hash, chosen before the texts move
+    row = ["text", "m0", "m1", "m2"]
+    rows = _with_meta(docs, id_col, text_col).join(F.broadcast(few), "id").groupBy("id", "y").agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("row"))
+    rows = rows.select(F.col("id").cast("string").alias("id"), "y", "row.*")
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_chunks(batches):

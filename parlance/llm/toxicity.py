@@ -34,14 +34,15 @@ def per_sampled(ids: DataFrame, max_rows: dict[int, int]) -> dict[int, float]:
 
 def sample_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, max_rows: dict[int, int]) -> DataFrame:
     """(id, y, text) of a bounded sample of labelled rows: of each class the
-    rows first in the order of an id hash."""
+    ids first in the order of an id hash, and of rows with equal ids the one
+    with the smallest text hash, chosen before the texts move."""
     parts = [ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).select("id", "y") for y, n in max_rows.items()]
     few = parts[0]
     for p in parts[1:]:
         few = few.union(p)
     # at most the sum of max_rows rows, so this broadcast is bounded
     texts = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(few), "id").select("id", "y", "text")
+    return texts.join(F.broadcast(few), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def term_rows(sample: DataFrame, bits: int) -> DataFrame:
