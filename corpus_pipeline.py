@@ -32,14 +32,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the
     smallest id, of rows with equal ids the one with the smallest text hash,
-    of equal rows one. Documents without words are no one's copies; of equal
-    rows among them one stays, too."""
+    of equal rows one. Documents without words are no one's copies; all of
+    them stay."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("th"))
     rows = docs.withColumn("_key", key)
     found = ngram_join.join(rows.select("_key", "text"), SHINGLE, PERCENT, id_col="_key")
-    keep = written(found.where(F.col("_key") == F.col("component_id")).select("_key").distinct(), "kept")
+    keep = written(found.where((F.col("_key") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("_key").distinct(), "kept")
     # both steps go by the key, so the texts are shuffled once
-    return rows.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    low = rows.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    # no byte but the blanks between words
+    wordless = docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z"))
+    return low.union(wordless.select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
