@@ -62,4 +62,22 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 20
 """
 
-ORACLE = {"op2_int8_neardup": OP2, "op3_vp_search": OP3, "op8_mixing": OP8}
+OP12 = """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::UBIGINT % (len(units) + 1) AS x, ('0x' || h[9:16])::UBIGINT % (len(units) + 1) AS y,
+         ('0x' || h[17:24])::UBIGINT % 100 AS h3, ('0x' || h[25:32])::UBIGINT % 100 AS h4 FROM u),
+f AS (
+  SELECT doc_id, text, n, array_to_string(units[1:least(x, y)], '') AS p, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS m,
+         array_to_string(units[greatest(x, y) + 1:], '') AS s,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 100 THEN 'plain'
+              WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+"""
+
+ORACLE = {"op12_fill_middle": OP12, "op2_int8_neardup": OP2, "op3_vp_search": OP3, "op8_mixing": OP8}

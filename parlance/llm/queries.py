@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parlance.llm import bpe, cotraining, hmm, int8_join, mixing, ngram_join, prefix_counts, run_index, toxicity, vp_search
+from parlance.llm import bpe, byte_prefix, cotraining, fill_middle, hmm, int8_join, mixing, ngram_join, periods, prefix_counts, run_index, toxicity, vp_search
 from parlance.llm.common import crc_mod5, written
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), crc_mod5("doc_id") == 1)
 
 
+def op11_byte_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_prefix.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.with_cycles(table(spark, sf_dir, "documents")), least=12)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -75,5 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_hmm": op10_hmm,
+    "op11_byte_prefix": op11_byte_prefix,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
