@@ -437,6 +437,27 @@ ORACLE["emo_features"] = with_("corpus_emo", "he_idx", "emo_f") + """select c.or
   f.f0, f.f1, f.f2, f.f3, f.f4
   from corpus_emo c join he_idx i on i.lbl = c."EmotionName" join emo_f f using(ord)"""
 
+# out-of-fold features: three folds by hash of ord
+FOLD = "cast(('0x' || substr(md5(cast(ord as varchar) || '|fold'), 1, 6))::bigint % 3 as integer)"
+for _k in range(3):
+    block(f"emo_not{_k}", ["corpus_emo"], f"""  select * from corpus_emo where {FOLD} <> {_k}""")
+    block(f"sent_not{_k}", ["sent"], f"""  select * from sent where {FOLD} <> {_k}""")
+    block(f"emo_in{_k}", ["corpus_emo"], f"""
+  select distinct ord qid, "Question" text from corpus_emo where {FOLD} = {_k}""")
+    nb_blocks(f"hek{_k}", f"emo_not{_k}", "Question", "EmotionName")
+    nb_blocks(f"hsk{_k}", f"sent_not{_k}", "text", "positive")
+    _e, _s = nb_score_blocks(f"hek{_k}", f"emo_in{_k}", []), nb_score_blocks(f"hsk{_k}", f"emo_in{_k}", [])
+    block(f"oof{_k}", ["he_idx", f"hek{_k}_idx", f"hsk{_k}_idx", f"{_e}_p", f"{_s}_p"], f"""
+  select e.qid ord, {_k} fold,
+         """ + ", ".join(f"round(coalesce(max(case when a.cls = {i} then e.p end), 0.0), 3) f{i}" for i in range(4)) + f""", round(max(s.p), 3) f4
+  from {_e}_p e join hek{_k}_idx i on i.cls = e.cls join he_idx a on a.lbl = i.lbl
+  join (select qid, p from {_s}_p join hsk{_k}_idx using(cls) where lbl = 1) s using(qid)
+  group by e.qid""")
+ORACLE["stack_features"] = with_("corpus_emo", "he_idx", "oof0", "oof1", "oof2") + """select c.ord, c."EmotionName", i.cls label_emo, f.fold,
+  f.f0, f.f1, f.f2, f.f3, f.f4
+  from corpus_emo c join he_idx i on i.lbl = c."EmotionName"
+  join (select * from oof0 union all select * from oof1 union all select * from oof2) f using(ord)"""
+
 
 def emo_chain(sfx: str, q: float) -> None:
     block(f"emo_clean{sfx}", ["emo_conv"], f"""

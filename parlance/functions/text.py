@@ -1,10 +1,9 @@
 """Column-level text functions (#8-#15).
 
 All of these are JVM expressions (regex, higher-order functions); no
-per-row Python. Small dictionaries (synonym pairs, stop words, script
-maps) reach every row through a scalar subquery, after a size check.
-Larger dictionaries take a chunked or join-based path that gives the same
-result.
+per-row Python. Short dictionaries (synonym pairs, stop words, script
+maps) are part of the projection, after a size check. Larger ones take a
+path of their own (a trie, a join) that gives the same result.
 """
 
 from __future__ import annotations
@@ -23,8 +22,9 @@ TOKEN = r"\p{IsHan}|[^\p{IsHan}\P{L}]+|\p{N}+"
 # ASCII punctuation, the set Python's ``string.punctuation`` holds.
 PUNCT = r"[!-/:-@\[-`{-~]"
 
-# Size bound for a dictionary that travels with every row as one value.
-MAX_INLINE_PAIRS = 20000
+# Ordered pairs that become part of the projection itself; more go through a trie.
+MAX_INLINE_PAIRS = 32
+MAX_INLINE_CHARS = 4000
 MAX_INLINE_STOPWORDS = 10000
 
 
@@ -84,92 +84,42 @@ def fold_replace(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["term"], p["canon"]))
 
 
-def pair_chunks(pairs: DataFrame, order: list[Column]) -> list[Column]:
-    """Ordered pair arrays as scalar subqueries, each of bounded size.
-
-    ``order`` lists ascending sort keys. One subquery when the dictionary
-    is small (the usual case); beyond ``MAX_INLINE_PAIRS`` the pairs are
-    split into consecutive chunks that are folded one after another, which
-    is the same sequential order.
-    """
-    n = pairs.count()
-    if n <= MAX_INLINE_PAIRS:
-        keyed = pairs.select(
-            F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)]).alias("_k"), "term", "canon"
-        )
-        return [
-            keyed.select(
-                F.coalesce(
-                    F.transform(
-                        F.array_sort(F.collect_list(F.struct("_k", "term", "canon"))),
-                        lambda s: F.struct(s["term"].alias("term"), s["canon"].alias("canon")),
-                    ),
-                    F.array().cast("array<struct<term:string,canon:string>>"),
-                )
-            ).scalar()
-        ]
-    # Large dictionary: number the pairs in order without a one-task sort
-    # (range-partitioned dense index over the sort key).
-    from parlance.operators.encode import dense_index
-
-    keyed = pairs.select(F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)]).alias("_key"), "term", "canon")
-    ranked = keyed.join(dense_index(keyed, "_key", "_i0"), "_key").select(
-        "term", "canon", (F.col("_i0") + 1).alias("_i")
-    )
-    chunks = []
-    for lo in range(0, max(n, 1), MAX_INLINE_PAIRS):
-        part = ranked.filter((F.col("_i") > lo) & (F.col("_i") <= lo + MAX_INLINE_PAIRS))
-        chunks.append(
-            part.select(
-                F.coalesce(
-                    F.transform(
-                        F.array_sort(F.collect_list(F.struct("_i", "term", "canon"))),
-                        lambda s: F.struct(s["term"].alias("term"), s["canon"].alias("canon")),
-                    ),
-                    F.array().cast("array<struct<term:string,canon:string>>"),
-                )
-            ).scalar()
-        )
-    return chunks
-
-
-def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Attach a scalar-subquery value as a column.
-
-    Spark does not accept a subquery directly inside a higher-order
-    function, so the value is projected first and the lambda reads the
-    column.
-    """
-    return df.withColumn(name, value)
-
-
-def fold_chunks(df: DataFrame, cols: list[str], chunks: list[Column]) -> DataFrame:
-    for i, chunk in enumerate(chunks):
-        df = with_value(df, "_pairs", chunk)
-        for c in cols:
-            df = df.withColumn(c, fold_replace(F.col(c), F.col("_pairs")))
-        df = df.drop("_pairs")
+def few_pairs(pairs: DataFrame, order: list[Column]) -> list | None:
+    """The pairs in order if they are few and short, else None. At most
+    ``MAX_INLINE_PAIRS`` + 1 rows reach the driver."""
+    keyed = pairs.where(F.col("term").isNotNull() & F.col("canon").isNotNull() & (F.col("term") != ""))
+    rows = keyed.orderBy(*order).select("term", "canon").limit(MAX_INLINE_PAIRS + 1).collect()
+    if len(rows) > MAX_INLINE_PAIRS or sum(len(r.term) + len(r.canon) for r in rows) > MAX_INLINE_CHARS:
+        return None
+    return [(r.term, r.canon) for r in rows]
+
+
+def replace_ordered(df: DataFrame, cols: list[str], pairs: DataFrame, order: list[Column]) -> DataFrame:
+    """``cols`` after an ordered replacement. A short dictionary is folded
+    inside the row's projection; any other one goes through a trie that picks
+    the pairs which can fire, with the same result."""
+    from parlance.operators import replace as rp
+
+    few = few_pairs(pairs, order)
+    if few is None:
+        return rp.replace_ordered(df, cols, pairs, order)
+    for c in cols:
+        out = F.col(c)
+        for term, canon in few:
+            out = F.replace(out, F.lit(term), F.lit(canon))
+        df = df.withColumn(c, out)
     return df
 
 
 def replace_synonyms(df: DataFrame, col: str, syn: DataFrame) -> DataFrame:
     """Ordered synonym replacement of ``col`` (#9)."""
-    return fold_chunks(df, [col], pair_chunks(synonym_pairs(syn), [F.col("ord")]))
-
-
-def replace_to_one(text: Column, terms: Column, target: str = "") -> Column:
-    """Every term, in array order, replaced by one word; default deletes them (#10)."""
-    return F.aggregate(terms, text, lambda acc, t: F.replace(acc, t, F.lit(target)))
+    return replace_ordered(df, [col], synonym_pairs(syn), [F.col("ord")])
 
 
 def replace_all_to_one(df: DataFrame, col: str, syn: DataFrame, target: str = "") -> DataFrame:
-    terms = (
-        syn.filter(F.col("Text").isNotNull())
-        .select(F.transform(F.array_sort(F.collect_list(F.struct("ord", "Text"))), lambda s: s["Text"]))
-        .scalar()
-    )
-    df = with_value(df, "_terms", terms)
-    return df.withColumn(col, replace_to_one(F.col(col), F.col("_terms"), target)).drop("_terms")
+    """Every term, in table order, replaced by ``target`` (#10)."""
+    pairs = syn.select("ord", F.col("Text").alias("term"), F.lit(target).alias("canon"))
+    return replace_ordered(df, [col], pairs, [F.col("ord")])
 
 
 # ---------------------------------------------------------------------------
@@ -221,7 +171,7 @@ def script_convert(df: DataFrame, cols: list[str], mapping: DataFrame) -> DataFr
     as a phrase-level converter does.
     """
     pairs = mapping.select("ord", F.col("src").alias("term"), F.col("dst").alias("canon"))
-    return fold_chunks(df, cols, pair_chunks(pairs, [-F.length("term"), F.col("ord")]))
+    return replace_ordered(df, cols, pairs, [-F.length("term"), F.col("ord")])
 
 
 def _c(x: Column | str) -> Column:
@@ -231,19 +181,14 @@ def _c(x: Column | str) -> Column:
 def synonym_usage(df: DataFrame, col: str, syn: DataFrame) -> DataFrame:
     """(SynonymId, term, first_word, n_rows): rows of ``df`` containing each term (#8 report).
 
-    The bounded pair array travels as one value; each row keeps the pairs
-    whose term it contains, so no join with the dictionary is needed.
+    One trie over all terms finds those of a row; counts are combined per
+    batch and joined to the dictionary, which stays a table. The empty term
+    occurs in every row that has a text.
     """
+    from parlance.operators.replace import term_rows
+
     pairs = synonym_canon(syn).filter(F.col("Text").isNotNull() & F.col("first_word").isNotNull())
-    arr = pairs.select(
-        F.coalesce(
-            F.collect_list(F.struct("SynonymId", F.col("Text").alias("term"), "first_word")),
-            F.array().cast("array<struct<SynonymId:bigint,term:string,first_word:string>>"),
-        )
-    ).scalar()
-    hits = with_value(df.select(col), "_p", arr).select(
-        F.explode(F.filter("_p", lambda p: F.contains(F.col(col), p["term"]))).alias("h")
-    )
-    return hits.groupBy(
-        F.col("h.SynonymId").alias("SynonymId"), F.col("h.term").alias("term"), F.col("h.first_word").alias("first_word")
-    ).agg(F.count(F.lit(1)).alias("n_rows"))
+    terms = pairs.select("SynonymId", F.col("Text").alias("term"), "first_word")
+    n = term_rows(df, col, terms)
+    empty = df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 0").select(F.lit("").alias("term"), "n_rows")
+    return terms.join(n.unionByName(empty), "term").select("SynonymId", "term", "first_word", "n_rows")

@@ -9,23 +9,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once. A plain expression would
+    be computed again wherever a lambda names it, once for every entry."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def softmax(x: Column) -> Column:
     """exp(x) / sum(exp(x)), computed after subtracting the maximum (#45).
 
     The shift does not change the result and avoids the overflow of the
-    plain form.
+    plain form. Maximum and sum are taken once per vector.
     """
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / s)
+    exps = lambda v, m: F.transform(v, lambda y: F.exp(y - m))
+    share = lambda e, s: F.transform(e, lambda y: y / s)
+    return bound(x, lambda v: bound(F.array_max(v), lambda m: bound(exps(v, m), lambda e: bound(_sum(e), lambda s: share(e, s)))))
 
 
 def softmax_contrast(x: Column) -> Column:
     """softmax(x * (max(x) - mean(x))) (#46)."""
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    k = F.array_max(x) - mean
-    return softmax(F.transform(x, lambda v: v * k))
+    scaled = lambda v, k: F.transform(v, lambda y: y * k)
+    return bound(x, lambda v: bound(F.array_max(v) - _sum(v) / F.size(v), lambda k: softmax(scaled(v, k))))
 
 
 def calib_faq(x: Column) -> Column:
@@ -35,8 +43,8 @@ def calib_faq(x: Column) -> Column:
 
 def calib_intent(x: Column) -> Column:
     """x / sum(sqrt(x)); the numerator is not rooted (#48)."""
-    t = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.sqrt(v))
-    return F.transform(x, lambda v: v / t)
+    root_sum = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + F.sqrt(y))
+    return bound(x, lambda v: bound(root_sum(v), lambda t: F.transform(v, lambda y: y / t)))
 
 
 def round_list(x: Column, r: int = 3) -> Column:

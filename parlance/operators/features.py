@@ -11,7 +11,7 @@ being read; the highest complete version is current.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators import bayes
@@ -62,6 +62,51 @@ def emo_features(emo_head, sent_model: bayes.NBModel, rows: DataFrame) -> DataFr
     return rows.join(broadcast_if_bounded(label), "EmotionName").join(f, "ord").select("ord", "Question", "EmotionName", "label_emo", "f")
 
 
+# ---------------------------------------------------------------------------
+# out-of-fold features (#67)
+# ---------------------------------------------------------------------------
+FOLDS = 3
+
+
+def fold_of(key: str, folds: int = FOLDS) -> Column:
+    """Fold of a row by hash of its key: copies of a row share a fold, however
+    the rows are dealt to tasks."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit("|fold")))
+    return (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % folds).cast("int")
+
+
+def oof_features(emo_head, rows: DataFrame, sent: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Features of corpus rows, each from models that did not see it.
+
+    For every fold, an emotion head of the kind of ``emo_head`` and a
+    sentiment model learn from the rows (and the sentiment table's rows) of
+    the other folds and give the features of this one. Probabilities are laid
+    out by the classes of ``emo_head``; a class that occurs in one fold only
+    has probability 0 there. Adds the column ``fold``.
+    """
+    from parlance.operators import models
+    from parlance.operators.util import broadcast_if_bounded, materialize
+
+    if folds < 2:
+        raise ValueError("out-of-fold features need two folds or more")
+    rows = materialize(rows.drop("label_emo").withColumn("fold", fold_of("ord", folds)))
+    sent = materialize(sent.withColumn("fold", fold_of("ord", folds)))
+    out = None
+    for k in range(folds):
+        head = models.fit(emo_head.kind, rows.where(F.col("fold") != k), "Question", "EmotionName")
+        feeling = train_sentiment(sent.where(F.col("fold") != k))
+        mine = rows.where(F.col("fold") == k).select("ord", "Question").distinct()
+        proba = models.predict_proba(head, mine.select(F.col("ord").alias("qid"), F.col("Question").alias("text")))
+        # one number for each emotion
+        at = emo_head.decode.join(head.decode.withColumnRenamed("cls", "own"), "EmotionName", "left").orderBy("cls").select("own").collect()
+        laid = F.array(*[F.lit(0.0) if r.own is None else F.get("proba", F.lit(r.own)) for r in at])
+        part = proba.select(F.col("qid").alias("ord"), laid.alias("proba")).join(sentiment(feeling, mine, "ord", "Question"), "ord")
+        part = materialize(part.select("ord", F.concat("proba", F.array("sentiment")).alias("f")))
+        out = part if out is None else out.unionByName(part)
+    label = emo_head.decode.select(F.col("cls").alias("label_emo"), "EmotionName")
+    return rows.join(broadcast_if_bounded(label), "EmotionName").join(out, "ord").select("ord", "Question", "EmotionName", "label_emo", "f", "fold")
+
+
 # ---------------------------------------------------------------------------
 # set logic of the refresh (#24-#26, #38)
 # ---------------------------------------------------------------------------

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Row bound under which a dimension table is hinted for broadcast.
@@ -34,3 +39,24 @@ def materialize(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per context, so that
+    tasks can import it wherever the driver was started from."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or getattr(sc, "_parlance_code", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for d, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    f = os.path.join(d, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="parlance-code-"), "parlance_code.zip")
+    with open(path, "wb") as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(path)
+    sc._parlance_code = True

@@ -81,10 +81,10 @@ class Heads:
 
     @cached_property
     def stack(self):
-        """Booster on [emotion probabilities, sentiment] of the emotion corpus (#67)."""
+        """Booster on out-of-fold [emotion probabilities, sentiment] of the emotion corpus (#67)."""
         if self.trained is not None and self.trained.stack is not None:
             return self.trained.stack
-        return md.train_stack(ft.emo_features(self.emo, self.sentiment, self.corpus_emo))
+        return md.train_stack(ft.oof_features(self.emo, self.corpus_emo, self.cat.read("sent")))
 
 
 def build_heads(cat: Catalog) -> Heads:

@@ -21,22 +21,32 @@ INTENT_BAND = (2, 0.8)
 EMO_BAND = (4, 0.8)
 
 
-def corpus_faq(cat: Catalog, band=FAQ_BAND) -> DataFrame:
-    """scan, synonyms, stop words, length band, keep-first dedup (#52)."""
+def _banded(df: DataFrame, col: str, band) -> DataFrame:
+    """Length band, no empty texts, keep-first dedup. The cleaned rows are
+    written once: the quantile and the filter read their texts, instead of
+    cleaning again for every place that names the text."""
+    df = flt.length_band(materialize(df), col, *band)
+    return materialize(flt.dedup_first(flt.drop_empty(df, col), col))
+
+
+def corpus_faq(cat: Catalog, band=FAQ_BAND, segmenter=None) -> DataFrame:
+    """scan, synonyms, stop words, length band, keep-first dedup (#52).
+
+    ``segmenter`` (see ``operators.lattice``) cuts unspaced scripts into words
+    before stop words are dropped.
+    """
     df = cat.read("faq").select("ord", "Text", "FaqSettingId", "Demand", "Supply")
     df = tx.replace_synonyms(df, "Text", cat.read("syn"))
-    df = tx.exclude_stopwords(df, "Text", cat.read("stop"))
-    df = flt.length_band(df, "Text", *band)
-    return materialize(flt.dedup_first(df, "Text"))
+    df = tx.exclude_stopwords(df, "Text", cat.read("stop"), segmenter)
+    return _banded(df, "Text", band)
 
 
-def corpus_intent(cat: Catalog, band=INTENT_BAND) -> DataFrame:
+def corpus_intent(cat: Catalog, band=INTENT_BAND, segmenter=None) -> DataFrame:
     """scan, drop Rank 2, stop words, length band, keep-first dedup; no synonyms (#53)."""
     df = cat.read("intent").select("ord", "Text", "Rank", "IntentionName", "FaqSettingId")
     df = flt.rank_filter(df)
-    df = tx.exclude_stopwords(df, "Text", cat.read("stop"))
-    df = flt.length_band(df, "Text", *band)
-    return materialize(flt.dedup_first(df, "Text"))
+    df = tx.exclude_stopwords(df, "Text", cat.read("stop"), segmenter)
+    return _banded(df, "Text", band)
 
 
 def emo_cleaned(cat: Catalog, band=EMO_BAND) -> DataFrame:
@@ -44,9 +54,7 @@ def emo_cleaned(cat: Catalog, band=EMO_BAND) -> DataFrame:
     df = cat.read("emo").select("ord", "Question", "EmotionName")
     df = flt.drop_null_label(df, "EmotionName")
     df = tx.script_convert(df, ["Question", "EmotionName"], cat.read("script_map"))
-    df = flt.length_band(df, "Question", *band)
-    df = flt.drop_empty(df, "Question")
-    return materialize(flt.dedup_first(df, "Question"))
+    return _banded(df, "Question", band)
 
 
 def corpus_emo(cat: Catalog, band=EMO_BAND) -> DataFrame:

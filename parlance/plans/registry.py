@@ -515,15 +515,27 @@ def load_all(spark, sf_dir):
     return jobs.load_all(cat, path).status
 
 
+@query
+def stack_features(spark, sf_dir):
+    """Out-of-fold features of the emotion corpus: each row scored by models
+    that learned from the other folds (#67)."""
+    from parlance.operators import features as ft
+
+    cat, corpus, head, _sent = _features_parts(spark, sf_dir)
+    f = ft.oof_features(head, corpus, cat.read("sent"))
+    return f.select("ord", "EmotionName", "label_emo", "fold", *_flat_f(f))
+
+
 @query
 def train_stack(spark, sf_dir):
-    """Stacked emotion booster on [probabilities, sentiment]; in-sample predictions (#67)."""
+    """Stacked emotion booster learned from out-of-fold features; its choices
+    on the features of the whole head (#67)."""
     from parlance.operators import features as ft
     from parlance.operators import models as md
 
-    _cat, corpus, head, sent = _features_parts(spark, sf_dir)
+    cat, corpus, head, sent = _features_parts(spark, sf_dir)
+    stack = md.train_stack(ft.oof_features(head, corpus, cat.read("sent")))
     f = ft.emo_features(head, sent, corpus)
-    stack = md.train_stack(f)
     return md.score_stack(stack, f.select(F.col("ord").alias("qid"), "f").distinct(), head.decode)
 
 
@@ -534,7 +546,7 @@ def score_emotion(spark, sf_dir):
     from parlance.operators import models as md
 
     cat, corpus, head, sent = _features_parts(spark, sf_dir)
-    stack = md.train_stack(ft.emo_features(head, sent, corpus))
+    stack = md.train_stack(ft.oof_features(head, corpus, cat.read("sent")))
     q = ans.prepare_questions(cat).select("qid", tx.strip_punct("text").alias("text"))
     proba = md.predict_proba(head, q)
     s = ft.sentiment(sent, q, "qid", "text")
@@ -542,6 +554,18 @@ def score_emotion(spark, sf_dir):
     return md.score_stack(stack, feats, head.decode)
 
 
+@query
+def segment_words(spark, sf_dir):
+    """Words of the FAQ phrases found again after their blanks and signs are
+    taken out, by a lattice over the words of the intent table (#11, #34)."""
+    from parlance.operators import lattice as lt
+
+    cat = Catalog(spark, sf_dir)
+    seg = lt.segmenter(lt.word_counts_as_dictionary(cat.read("intent"), "Text"), letters=True)
+    joined = F.lower(F.regexp_replace("Text", r"[^\p{L}\p{N}]+", ""))
+    return cat.read("faq").select("ord", joined.alias("t")).select("ord", F.array_join(seg(F.col("t")), " ").alias("words"))
+
+
 # -- answers ----------------------------------------------------------------------
 @query
 def rank_faq_v1(spark, sf_dir):
