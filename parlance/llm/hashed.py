@@ -91,11 +91,12 @@ def paired(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, df: np.ndarray, l
     n, y1 = len(y), float(y.sum())
     who = np.flatnonzero(df >= max(least, share * n))
     # tiles of bounded memory, whatever the number of terms
-    block, rows = (int(np.clip(cells // max(len(who), 1), 16, most)) for cells, most in ((12 << 20, 1024), (24 << 20, 2048)))
-    number = np.full(len(df), -1)
+    block, rows = (int(np.clip(cells // max(len(who), 1), 16, most)) for cells, most in ((2 << 20, 1024), (4 << 20, 2048)))
+    number = np.full(len(df), -1, np.int32)
     number[who] = np.arange(len(who))
-    own, t = np.repeat(np.arange(n), np.diff(np.concatenate([[0], ends]))), number[terms]
-    own, t = own[t >= 0], t[t >= 0]
+    t = number[terms]
+    own = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.concatenate([[0], ends])))[t >= 0]
+    t = t[t >= 0]
     cuts = np.searchsorted(own, np.arange(0, n + rows, rows))
     s, s1 = df[who].astype(np.float32), np.bincount(t, weights=y[own], minlength=len(who)).astype(np.float32)
     known, hit = linear[who], np.zeros(len(who), bool)
@@ -140,7 +141,7 @@ def fit(y: np.ndarray, terms: np.ndarray, ends: np.ndarray, bits: int, factors:
     df = np.bincount(terms, minlength=size)
     seen = df >= least
     if 0 < y.sum() < n:
-        with_pos = np.bincount(terms, weights=np.repeat(y, ends - begin), minlength=size)
+        with_pos = np.bincount(terms[np.repeat(y > 0, ends - begin)], minlength=size)
         p1, p0, p = with_pos / y.sum(), (df - with_pos) / (n - y.sum()), df / n
         seen &= np.abs(p1 - p0) >= screen * np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum()))) + 1e-12
     linear = seen.copy()

@@ -71,19 +71,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         all_ = pd.concat([*frames, pd.DataFrame({"id": [], "y": [], "terms": []})]).sort_values("id", kind="stable")
         y = all_.y.to_numpy(float)
         lens = np.array([len(t) for t in all_.terms], np.int64)
-        terms = np.concatenate([np.asarray(t, np.int32) for t in all_.terms] or [np.zeros(0, np.int32)]).astype(np.int64)
-        ends = np.cumsum(lens)
+        terms = np.concatenate([np.asarray(t, np.int32) for t in all_.terms] or [np.zeros(0, np.int32)])
+        del all_  # the sample is held once, as 32-bit terms
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.0
             m = Machine(float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(1 << bits, np.float32), np.zeros((1 << bits, factors), np.float32))
             out = m, (1.0, 0.0)
         else:
             back = np.arange(len(y)) % 5 == 0
-            begin = ends - lens
-            pick = lambda who: (y[who], np.concatenate([terms[a:b] for a, b in zip(begin[who], ends[who])] or [terms[:0]]), np.cumsum(lens[who]))
-            m = fit(*pick(~back), bits, factors)
-            yb, tb, eb = pick(back)
-            out = m, platt(m.logits(tb, eb), yb, class_weights(yb, behind))
+            own = np.repeat(back, lens)
+            held, terms = terms[own], terms[~own]
+            del own
+            m = fit(y[~back], terms, np.cumsum(lens[~back]), bits, factors)
+            out = m, platt(m.logits(held, np.cumsum(lens[back])), y[back], class_weights(y[back], behind))
         yield pd.DataFrame({"model": [pickle.dumps(out)]})
 
     got = rows.repartition(1).mapInPandas(run, "model binary").first()
