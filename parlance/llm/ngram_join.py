@@ -76,21 +76,36 @@ def signatures(s: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
     tokens first.
 
     Two similar sets of this size or any other share at least ceil(t|x|)
-    tokens, so their first two shared tokens stand within the first
-    |x| - ceil(t|x|) + 2 of either. If the first is rare, it stands one
-    earlier and is a signature by itself; else both are frequent, and their
-    combination is one. Sets of one token equal only themselves.
+    tokens, so at most e = |x| - ceil(t|x|) of this set's are its own, and at
+    most d = |x|(1 - t) / t are one set's own. If their first shared token is
+    rare, it stands within the first e + 1 and is a signature by itself. Else
+    all r rare tokens are the set's own, and all shared ones are frequent. Of
+    the d - r + 1 places between the first d - r + 2 shared ones, one at least
+    has no own token of either set in it, so these two are neighbours in both
+    sets: neighbours among the first d + e - 2r + 2 frequent tokens are
+    combinations of two. Their number grows with the set, not its square.
+
+    Below three quarters, similar sets can share too few tokens for that;
+    there every two of the first e - r + 2 frequent ones are combined. Sets of
+    one token equal only themselves.
     """
     size = len(s)
-    need = -(-percent * size // 100)
-    order = np.argsort(cls, kind="stable")[: size - need + 2]
+    own = size - -(-percent * size // 100)
+    order = np.argsort(cls, kind="stable")
     head, kind = s[order], cls[order]
-    rare = np.flatnonzero(kind[: size - need + 1] == 0)
-    often = np.flatnonzero(kind > 0)
-    i, j = np.triu_indices(len(often), 1)
-    i, j = often[i], often[j]
-    both = mix64(head[i] * U64(3) + mix64(head[j] + U64(1)))
-    return np.concatenate([head[rare], both])
+    rare = int((kind == 0).sum())
+    single = head[: min(rare, own + 1)]
+    if rare > own:
+        return single
+    either = size * (100 - percent) // percent
+    often = head[rare : rare + either + own - 2 * rare + 2] if percent >= 75 else head[rare : own + 2]
+    if percent >= 75:
+        i = np.arange(len(often) - 1)
+        j = i + 1
+    else:
+        i, j = np.triu_indices(len(often), 1)
+    both = mix64(often[i] * U64(3) + mix64(often[j] + U64(1)))
+    return np.concatenate([single, both])
 
 
 def parity(s: np.ndarray) -> np.ndarray:
