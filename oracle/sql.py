@@ -17,7 +17,7 @@ PUNCT = r"[!-/:-@\[-`{-~]"
 
 ROLES = {
     "faq": """faq AS (
-  select conv_id*1000+turn ord, text "Text", conv_id "FaqSettingId", "Demand", "Supply"
+  select conv_id*16777216+turn ord, text "Text", conv_id "FaqSettingId", "Demand", "Supply"
   from conversations
   join (select conv_id, min(case when role='user' then turn end) du,
                min(case when role='assistant' then turn end) ds
@@ -37,7 +37,7 @@ ROLES = {
     "sent": """sent AS (
   select doc_id ord, text, quality positive from documents join labels using(doc_id))""",
     "questions": """questions AS (
-  select conv_id*1000+turn qid, text,
+  select conv_id*16777216+turn qid, text,
          case when turn%4=0 then '0.9' end threshold_faq,
          cast(null as varchar) threshold_intent
   from conversations where role='user')""",
@@ -407,6 +407,57 @@ ORACLE["answer_v1"] = with_("ans1") + """select qid, 'parlance' "Bot", answer "A
   s1 "Similarity_1", s2 "Similarity_2", s3 "Similarity_3", s4 "Similarity_4"
   from ans1"""
 
+# ---------------------------------------------------------------------------
+# linear FAQ head: three rounds of Adagrad, one CTE chain a round
+# ---------------------------------------------------------------------------
+block("lf_tok", ["hf_rows"], f"""
+  select row, cls y, tok token, count(*) tf
+  from (select row, cls, unnest(regexp_extract_all(lower(txt), '{TOKEN}')) tok
+        from (select *, row_number() over () row from hf_rows)) group by 1, 2, 3""")
+block("lf_idf", ["lf_tok", "hf_idx"], """
+  select token, round(ln((select count(*) from hf_idx)::double / count(distinct y)), 9) idf
+  from lf_tok group by token
+  having count(distinct y) <= greatest(1.0, 0.25 * (select count(*) from hf_idx)) and count(distinct y) < (select count(*) from hf_idx)""")
+
+
+def unit_rows(name: str, source: str, key: str, carry: str = "") -> None:
+    block(name, [source, "lf_idf"], f"""
+  select {key}, {carry} token, round(tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by {key})), 9) v
+  from {source} join lf_idf using(token)""")
+
+
+unit_rows("lf_x", "lf_tok", "row", "y,")
+block("lf_w0", ["lf_x"], "  select token, y cls, 0.0::double w, 0.0::double a from lf_x where false")
+for _r in range(3):
+    block(f"lf_s{_r}", ["lf_x", f"lf_w{_r}"], f"""
+  select row, y, cls, sum(s) s from (
+    select row, y, cls, v * w s from lf_x join lf_w{_r} using(token)
+    union all select distinct row, y, y, 0.0 from lf_x) group by 1, 2, 3""")
+    block(f"lf_g{_r}", [f"lf_s{_r}", "lf_x", "hf_cls"], f"""
+  select token, cls, sum(g * v) g from (
+    select row, s.cls, case when s.cls = y then -greatest(2 - s, 0) else greatest(s, 0) end / docs g
+    from lf_s{_r} s join hf_cls c on c.cls = s.cls) join (select row, token, v from lf_x) using(row)
+  where g <> 0 group by 1, 2""")
+    block(f"lf_w{_r + 1}", [f"lf_g{_r}", f"lf_w{_r}"], f"""
+  select token, cls, round(w - 0.5 * g / sqrt(a + g * g), 9) w, round(a + g * g, 12) a from (
+    select token, cls, sum(w) w, sum(a) a, sum(g) g from (
+      select token, cls, 0.0 w, 0.0 a, g from lf_g{_r}
+      union all select token, cls, w, a, 0.001 * w from lf_w{_r}) group by 1, 2)
+  where a + g * g > 0 and round(a + g * g, 12) > 0""")
+ORACLE["train_linear"] = with_("hf_cls", "lf_w3") + """select c.cls, c."FaqSettingId", c.docs, coalesce(n, 0) n_weights,
+  round(w, 2) w_sum, round(a, 2) w_abs
+  from hf_cls c left join (select cls, count(*) n, sum(w) w, sum(abs(w)) a from lf_w3 group by 1) using(cls)"""
+block("lf_qtok", ["qsyn"], f"""
+  select qid, tok token, count(*) tf
+  from (select qid, unnest(regexp_extract_all(lower(text), '{TOKEN}')) tok from qsyn) group by 1, 2""")
+unit_rows("lf_qx", "lf_qtok", "qid")
+ORACLE["rank_linear"] = with_("qsyn", "hf_idx", "lf_qx", "lf_w3") + """select qid, lbl "FaqSettingId", round(exp(s) / z, 3) p from (
+    select q.qid, i.cls, i.lbl, round(coalesce(m.s, 0), 9) s, sum(exp(round(coalesce(m.s, 0), 9))) over (partition by q.qid) z,
+           row_number() over (partition by q.qid order by round(coalesce(m.s, 0), 9) desc, i.cls desc) r
+    from qsyn q cross join hf_idx i
+    left join (select qid, cls, sum(v * w) s from lf_qx join lf_w3 using(token) group by 1, 2) m on m.qid = q.qid and m.cls = i.cls)
+  where r = 1"""
+
 # ---------------------------------------------------------------------------
 # sources
 # ---------------------------------------------------------------------------
@@ -547,9 +598,10 @@ ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
   case when fb then 0.0 else s4 end referral_similarity_3,
   n1 intent, n2 referral_intent_1, n3 referral_intent_2, n4 referral_intent_3,
   emotion, pred_intent "predIntent", i1 "predIntentProb"
-  from ans1 a left join (select conv_id * 1000 + turn - 1 qid, text answer
+  from ans1 a left join (select conv_id * 16777216 + turn - 1 qid, text answer
                          from conversations where role = 'assistant') x on x.qid = a.qid
 """
+ORACLE["answers_sink"] = ORACLE["route_fallback"]
 ORACLE["answer_stream"] = ORACLE["answer_v1"]
 
 ORACLE["synonym_canon"] = with_("faq", "syn") + """select s."SynonymId", s."Text" term, c.first_word, count(*) n_rows

@@ -1,7 +1,8 @@
 """Model kinds per head, the stacked emotion model, evaluation and persistence
 (#4, #5, #59-#64, #67, #68).
 
-Kinds: ``nb`` (relational naive Bayes, ``bayes.py``) and three ``spark.ml``
+Kinds: ``nb`` (relational naive Bayes, ``bayes.py``), ``linear``
+(one-versus-rest weights as a table, ``linear.py``) and three ``spark.ml``
 estimators over hashed token counts: ``logreg``, ``mlp``, ``rf``. The
 reference's neural kinds are re-aimed to these (see README). An unknown
 kind raises instead of silently keeping an old model.
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import TOKEN
 from parlance.functions import vectors as vx
-from parlance.operators import bayes
+from parlance.operators import bayes, linear
 from parlance.operators.encode import dense_index
 from parlance.operators.util import materialize
 
 ML_KINDS = ("logreg", "mlp", "rf")
-KINDS = ("nb",) + ML_KINDS
+KINDS = ("nb", "linear") + ML_KINDS
 # Hashed feature width per kind (the MLP's first layer is dense).
 FEATURES = {"logreg": 1 << 18, "rf": 1 << 12, "mlp": 1 << 10}
 SEED = 42
@@ -47,6 +48,7 @@ class HeadModel:
     decode: DataFrame  # cls, label
     nb: bayes.NBModel | None = None
     ml: PipelineModel | None = None
+    linear: linear.LinearModel | None = None
 
 
 def _estimator(kind: str, n_classes: int):
@@ -79,6 +81,9 @@ def fit(kind: str, corpus: DataFrame, text: str, label: str) -> HeadModel:
     if kind == "nb":
         m = bayes.train(corpus, text, label)
         return HeadModel(kind, label, m.decode(), nb=m)
+    if kind == "linear":
+        m = linear.train(corpus, text, label)
+        return HeadModel(kind, label, m.decode(), linear=m)
     index = materialize(dense_index(corpus, label, "cls"))
     n = index.count()
     rows = corpus.select(text, label).join(index, label).select(text, F.col("cls").cast("double").alias("y"))
@@ -90,15 +95,19 @@ def predict_proba(head: HeadModel, q: DataFrame, text: str = "text") -> DataFram
     """(qid, proba): class probabilities by class index (#63)."""
     if head.nb is not None:
         return bayes.score_vector(head.nb, q, text).select("qid", "proba")
+    if head.linear is not None:
+        return linear.score_vector(head.linear, q, text)
     out = head.ml.transform(q.select("qid", F.col(text).alias(_text_col(head))))
     return out.select("qid", vector_to_array("probability").alias("proba"))
 
 
 def predict_topk(head: HeadModel, q: DataFrame, k: int, text: str = "text", balance: list[float] | None = None) -> DataFrame:
-    """(qid, rank, cls, p). ``nb`` uses the exact sparse top-k; ML kinds rank
-    their vector. ``balance`` is taken off the classes' log scores first (#50)."""
+    """(qid, rank, cls, p). ``nb`` and ``linear`` use their exact sparse top-k;
+    ML kinds rank their vector. ``balance`` is taken off the classes' log scores first (#50)."""
     if head.nb is not None:
         return bayes.score_topk(head.nb.shifted(balance) if balance else head.nb, q, text, k)
+    if head.linear is not None and not balance:
+        return linear.score_topk(head.linear, q, text, k)
     v = predict_proba(head, q, text)
     if balance:
         logs = F.transform("proba", lambda p: F.log(F.greatest(p, F.lit(1e-300))))
@@ -126,6 +135,8 @@ def eval_report(head: HeadModel, rows: DataFrame, text: str, split_name: str) ->
     q = materialize(q.join(head.decode.withColumnRenamed("cls", "y"), head.label, "left").select("qid", "text", "y", "_w"))
     if head.nb is not None:
         got = bayes.score_true(head.nb, q, "text", "y").select("qid", "cls", F.col("p_true").alias("p"))
+    elif head.linear is not None:
+        got = linear.score_true(head.linear, q, "text", "y").select("qid", "cls", F.col("p_true").alias("p"))
     else:
         proba = predict_proba(head, q.select("qid", "text")).join(q.select("qid", "y"), "qid")
         got = proba.select("qid", vx.argmax(F.col("proba")).alias("cls"), F.get(F.col("proba"), F.col("y")).alias("p"))
@@ -144,10 +155,11 @@ def eval_report(head: HeadModel, rows: DataFrame, text: str, split_name: str) ->
 def model_id(head: HeadModel) -> str:
     """Identity of a trained model: equal for equal ``nb`` statistics, also
     after a reload; ML kinds carry the identity given when they were fitted."""
-    if head.nb is None:
+    if head.ml is not None:
         return head.ml.uid
     parts = []
-    for df, cols in ((head.nb.classes, ["cls", head.label, "docs", "n_tok"]), (head.nb.weights, ["token", "cls", F.round("w", 9)])):
+    tables = [(head.linear.classes, ["cls", head.label, "docs"]), (head.linear.weights, ["token", "cls", F.round("w", 6)])] if head.linear else None
+    for df, cols in tables or ((head.nb.classes, ["cls", head.label, "docs", "n_tok"]), (head.nb.weights, ["token", "cls", F.round("w", 9)])):
         h = F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
         parts += list(df.agg(F.count(F.lit(1)), h).first())
     return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:16]
@@ -162,6 +174,8 @@ def save(head: HeadModel, path: str) -> None:
     head.decode.write.mode("overwrite").parquet(f"{base}/decode")
     if head.nb is not None:
         head.nb.save(f"{base}/nb")
+    elif head.linear is not None:
+        head.linear.save(f"{base}/linear")
     else:
         head.ml.write().overwrite().save(f"{base}/ml")
 
@@ -172,6 +186,8 @@ def load(spark: SparkSession, path: str, kind: str, label: str) -> HeadModel:
     decode = spark.read.parquet(f"{base}/decode")
     if kind == "nb":
         return HeadModel(kind, label, decode, nb=bayes.NBModel.load(spark, f"{base}/nb", label))
+    if kind == "linear":
+        return HeadModel(kind, label, decode, linear=linear.LinearModel.load(spark, f"{base}/linear", label))
     return HeadModel(kind, label, decode, ml=PipelineModel.load(f"{base}/ml"))
 
 

@@ -22,7 +22,7 @@ from parlance.operators import sampling as smp
 from parlance.operators import words as wd
 from parlance.plans import answer as ans
 from parlance.plans import corpus as cp
-from parlance.sources.catalog import Catalog
+from parlance.sources.catalog import Catalog, turn_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -269,6 +269,28 @@ def train_emo(spark, sf_dir):
     return _classes(bayes.train(cp.corpus_emo(Catalog(spark, sf_dir)), "Question", "EmotionName"))
 
 
+@query
+def train_linear(spark, sf_dir):
+    """Linear FAQ head: per class its rows, weights and their sums (#59)."""
+    from parlance.operators import linear as ln
+
+    m = ln.train(cp.corpus_faq(Catalog(spark, sf_dir)), "Text", "FaqSettingId", rounds=3)
+    per = m.weights.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.abs("w")).alias("a"))
+    out = m.classes.join(per, "cls", "left")
+    return out.select("cls", "FaqSettingId", "docs", F.coalesce("n", F.lit(0)).alias("n_weights"), F.round("w", 2).alias("w_sum"), F.round("a", 2).alias("w_abs"))
+
+
+@query
+def rank_linear(spark, sf_dir):
+    """The linear FAQ head's best class for every question, and its score (#59, #69)."""
+    from parlance.operators import linear as ln
+
+    cat = Catalog(spark, sf_dir)
+    m = ln.train(cp.corpus_faq(cat), "Text", "FaqSettingId", rounds=3)
+    top = ln.score_topk(m, ans.prepare_questions(cat), "text", 1)
+    return top.join(m.decode(), "cls").select("qid", "FaqSettingId", F.round("p", 3).alias("p"))
+
+
 def _intent_vectors(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
     model = bayes.train(cp.corpus_intent(cat), "Text", "IntentionName")
@@ -581,7 +603,7 @@ def _external_answers(cat):
     """Answers of the other service, as a table: the next assistant turn of the conversation."""
     conv = cat.table("conversations")
     nxt = conv.filter(F.col("role") == "assistant").select(
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("qid"), F.col("text").alias("answer")
+        (turn_key() - 1).alias("qid"), F.col("text").alias("answer")
     )
     return nxt
 
@@ -590,7 +612,10 @@ def _external_answers(cat):
 def route_fallback(spark, sf_dir):
     """Threshold routing to the fallback bot with answers from a table (#22, #73, #74)."""
     cat = Catalog(spark, sf_dir)
-    a = ans.answer_v2(cat, ans.build_heads(cat), external=_external_answers(cat))
+    return _flat_v2(ans.answer_v2(cat, ans.build_heads(cat), external=_external_answers(cat)))
+
+
+def _flat_v2(a):
     return a.select(
         "qid", "bot", "answer",
         F.col("demand.faqId").alias("faq_id"), F.col("demand.similarity").alias("similarity"),
@@ -603,6 +628,23 @@ def route_fallback(spark, sf_dir):
     )
 
 
+@query
+def answers_sink(spark, sf_dir):
+    """v2 records through the JSON sink, the batch written twice as after a
+    failure, read back and parsed (#7, #72)."""
+    import uuid
+
+    from parlance.session import ensure_checkpoint_dir
+    from parlance.streaming import sink
+
+    cat = Catalog(spark, sf_dir)
+    a = ans.answer_v2(cat, ans.build_heads(cat), external=_external_answers(cat))
+    base = f"{ensure_checkpoint_dir(spark)}/streams/sink-{uuid.uuid4().hex}"
+    for _again in range(2):
+        sink.write_answers(a, base, 0)
+    return _flat_v2(sink.parsed(sink.read_answers(spark, base), a))
+
+
 @query
 def answer_v2(spark, sf_dir):
     """v2 records with the emotion from the stacked model, as the reference answers."""

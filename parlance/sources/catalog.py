@@ -40,6 +40,20 @@ OPTION_ROWS = [
 BOT_MODEL_ROWS = [(1, 1, "nb"), (2, 2, "logreg"), (3, 3, "mlp"), (4, 4, "rf"), (5, 2, "a later name")]
 SCRIPT_MAP_ROWS = [(1, "straße", "strasse"), (2, "ß", "ss"), (3, "é", "e"), (4, "ç", "c")]
 
+# Turns of a conversation that a key can tell apart.
+TURNS = 1 << 24
+
+
+def turn_key() -> Column:
+    """One number for (conv_id, turn). A turn that would run into the next
+    conversation's keys is an error; a null part gives a null key."""
+    turn = F.col("turn")
+    inside = (turn >= 0) & (turn < TURNS)
+    return F.when(turn.isNull() | inside, F.col("conv_id") * TURNS + turn).otherwise(
+        F.raise_error(F.concat(F.lit(f"a turn must lie between 0 and {TURNS - 1}, not be "), turn.cast("string"))).cast("bigint")
+    )
+
+
 SYN_SCHEMA = "ord int, SynonymId bigint, Text string"
 STOP_SCHEMA = "Text string"
 OPTION_SCHEMA = "ord int, Key string, Value string"
@@ -81,7 +95,7 @@ class Catalog:
             conv.filter(F.col("role") == "user")
             .join(first, "conv_id")
             .select(
-                (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
+                turn_key().alias("ord"),
                 F.col("text").alias("Text"),
                 F.col("conv_id").alias("FaqSettingId"),
                 "Demand",
@@ -123,7 +137,7 @@ class Catalog:
     def _role_questions(self) -> DataFrame:
         conv = self.table("conversations")
         return conv.filter(F.col("role") == "user").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+            turn_key().alias("qid"),
             "text",
             F.when(F.col("turn") % 4 == 0, F.lit("0.9")).alias("threshold_faq"),
             F.lit(None).cast("string").alias("threshold_intent"),
