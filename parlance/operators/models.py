@@ -97,7 +97,7 @@ def predict_proba(head: HeadModel, q: DataFrame, text: str = "text") -> DataFram
         return bayes.score_vector(head.nb, q, text).select("qid", "proba")
     if head.linear is not None:
         return linear.score_vector(head.linear, q, text)
-    out = head.ml.transform(q.select("qid", F.col(text).alias(_text_col(head))))
+    out = head.ml.transform(q.select("qid", F.col(text).alias(text_col(head))))
     return out.select("qid", vector_to_array("probability").alias("proba"))
 
 
@@ -116,7 +116,7 @@ def predict_topk(head: HeadModel, q: DataFrame, k: int, text: str = "text", bala
     return t.select("qid", (F.col("pos") + 1).alias("rank"), F.col("e.idx").alias("cls"), F.col("e.p").alias("p"))
 
 
-def _text_col(head: HeadModel) -> str:
+def text_col(head: HeadModel) -> str:
     return head.ml.stages[0].getInputCol()
 
 

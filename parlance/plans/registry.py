@@ -675,3 +675,18 @@ def answer_stream(spark, sf_dir):
     out, state = st.stream_folders(spark)
     st.answer_stream(cat, heads, out, state, shape=_flat_v1)
     return spark.read.parquet(out).drop("batch_id")
+
+
+@query
+def score_stream(spark, sf_dir):
+    """Stream of user turns scored by a logreg intent head, append mode, one
+    narrow stage (#63, #75)."""
+    from parlance.operators import models as md
+    from parlance.streaming import answers as st
+    from parlance.streaming import scoring as sc
+
+    cat = Catalog(spark, sf_dir)
+    head = md.fit("logreg", cp.corpus_intent(cat), "Text", "IntentionName")
+    out, state = st.stream_folders(spark)
+    sc.score_stream(head, st.question_stream(spark, sf_dir), out, state)
+    return spark.read.parquet(out).select("qid", "cls", "IntentionName", F.round("p", 3).alias("p"))
