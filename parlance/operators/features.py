@@ -148,8 +148,9 @@ def refresh(
 
 
 def _width(df: DataFrame) -> int:
-    w = df.select(F.max(F.size("f"))).first()[0]
-    return int(w or 0)
+    """Of the first row: a cache belongs to one model, so all rows are as wide."""
+    row = df.select(F.size("f").alias("w")).first()
+    return row.w if row else 0
 
 
 # ---------------------------------------------------------------------------

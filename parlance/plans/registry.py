@@ -476,6 +476,29 @@ def feature_refresh(spark, sf_dir):
     return out.select("ord", "EmotionName", "label_emo", "origin", *_flat_f(out))
 
 
+@query
+def feature_stream(spark, sf_dir):
+    """The cache after two streamed change sets: the rows of the earlier corpus,
+    then those of the current one and deletes of rows that left it (#39)."""
+    from parlance.operators import features as ft
+    from parlance.streaming import answers as st
+    from parlance.streaming import refresh as rf
+
+    cat, cur, head, sent = _features_parts(spark, sf_dir)
+    root, state = st.stream_folders(spark)
+    base, src = ft.cache_base(root, head), f"{root}/changes"
+    row = ["ord", "Question", "EmotionName"]
+    old, new = (c.select(*row).distinct() for c in (cp.corpus_emo(cat, (4, 0.7)), cur))
+    gone = old.join(new, "ord", "left_anti").withColumn("op", F.lit("delete"))
+    sets = [old.withColumn("op", F.lit("put")), new.withColumn("op", F.lit("put")).unionByName(gone)]
+    for k, changes in enumerate(sets):
+        changes.withColumn("seq", F.lit(k).cast("long")).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ord long, Question string, EmotionName string, op string, seq long").parquet(src)
+        rf.refresh_stream(stream, base, lambda rows: ft.emo_features(head, sent, rows), state)
+    out = rf.read(spark, base)
+    return out.select("ord", "EmotionName", "label_emo", *_flat_f(out))
+
+
 # -- models ---------------------------------------------------------------------
 @query
 def eval_report(spark, sf_dir):
