@@ -488,6 +488,9 @@ ORACLE["emo_features"] = with_("corpus_emo", "he_idx", "emo_f") + """select c.or
   f.f0, f.f1, f.f2, f.f3, f.f4
   from corpus_emo c join he_idx i on i.lbl = c."EmotionName" join emo_f f using(ord)"""
 
+# the streamed cache has one row per key
+ORACLE["feature_stream"] = f"select distinct * from ({ORACLE['emo_features']})"
+
 # out-of-fold features: three folds by hash of ord
 FOLD = "cast(('0x' || substr(md5(cast(ord as varchar) || '|fold'), 1, 6))::bigint % 3 as integer)"
 for _k in range(3):
@@ -603,6 +606,7 @@ ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
 """
 ORACLE["answers_sink"] = ORACLE["route_fallback"]
 ORACLE["answer_stream"] = ORACLE["answer_v1"]
+ORACLE["answer_hot_swap"] = f"select *, cast(1 as bigint) model_version from ({ORACLE['answer_v1']})"
 
 ORACLE["synonym_canon"] = with_("faq", "syn") + """select s."SynonymId", s."Text" term, c.first_word, count(*) n_rows
   from syn s join (select "SynonymId", min_by("Text", ord) first_word from syn where "Text" is not null group by 1) c

@@ -700,6 +700,21 @@ def answer_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
+@query
+def answer_hot_swap(spark, sf_dir):
+    """Stream of user turns answered by published heads: all that an answer
+    needs of a model is read from its version (#75, #76)."""
+    from parlance.streaming import answers as st
+    from parlance.streaming import hotswap as hs
+
+    cat = Catalog(spark, sf_dir)
+    out, state = st.stream_folders(spark)
+    base = f"{out}-models"
+    hs.publish(spark, base, lambda folder: hs.save_heads(ans.build_heads(cat), folder))
+    hs.serve_answers(cat, st.question_stream(spark, sf_dir), base, out, state, shape=_flat_v1)
+    return spark.read.parquet(out).drop("batch_id")
+
+
 @query
 def score_stream(spark, sf_dir):
     """Stream of user turns scored by a logreg intent head, append mode, one
