@@ -8,6 +8,8 @@ small tables) that is easy to read; Spark uses the scalable one.
 
 from __future__ import annotations
 
+from parlance.plans.answer import BUSY_TEXT
+
 # Patterns in RE2 syntax (the Spark side uses the same sets in Java syntax).
 SEG = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 WORD = r"[\p{L}\p{N}]+"
@@ -592,7 +594,7 @@ ORACLE["rank_faq_v1"] = with_("ans1", "int_sims") + """select qid, pred_intent,
   from ans1 join int_sims using(qid)"""
 ORACLE["route_fallback"] = with_("ans1") + """select a.qid,
   case when fb then 'ChatBot' else 'parlance' end bot,
-  case when fb then coalesce(x.answer, '聊天小幫手忙碌中') else a.answer end answer,
+  case when fb then coalesce(x.answer, '""" + BUSY_TEXT + """') else a.answer end answer,
   case when fb then 0 else f1 end faq_id, s1 similarity,
   case when fb then null else d1 end demand_text,
   case when fb then 0 else f2 end referral_faq_id_1, case when fb then 0 else f3 end referral_faq_id_2,
