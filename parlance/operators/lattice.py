@@ -36,6 +36,7 @@ SCALE = 1 << 16
 MAX_WORDS = 300_000
 MAX_CHARS = 4_000_000
 BATCH_GRAMS = 500_000
+SLICE_CHARS = 200_000  # characters that are cut at once, where texts are shorter
 
 
 @lru_cache(maxsize=2)
@@ -172,7 +173,18 @@ class Lattice:
 
     def segments(self, texts: list[str], letters: bool = False, words_only: bool = False) -> list[list[str]]:
         """Segments of each text, which joined give the text again; with
-        ``words_only`` those of letters and digits."""
+        ``words_only`` those of letters and digits. The edges of a slice of the
+        texts are held at once, however many texts there are."""
+        out: list[list[str]] = []
+        lo = size = 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > SLICE_CHARS:
+                out += self._segments(texts[lo:i], letters, words_only)
+                lo, size = i, 0
+            size += len(t)
+        return out + self._segments(texts[lo:], letters, words_only)
+
+    def _segments(self, texts: list[str], letters: bool, words_only: bool) -> list[list[str]]:
         points, bounds = code_points(texts)
         if not len(points):
             return [[] for _ in texts]
