@@ -8,14 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parlance.llm.common import U64, Words, components, free, keys_within, mix64, quoted, shingles, ship, small, text_chunks, written
 
 SLOT_BITS = 20  # slots of the frequency sketch, whatever the data
-FREQUENT = 16.0  # a token is frequent if its slot holds so many times the mean
+RARE = 4  # tokens in the slot of a rare token at most, whatever the data: its buckets stay small
+FREQUENT = 16.0  # from so many times the mean on, tokens go last in the order
 BITS = 512  # of a set's short parity bitmap; the long one has four to eight bits a token
 SPLIT = 2048  # members of a bucket that one group compares
 LIGHT = 4  # members of a bucket whose pairs are rows at once
@@ -66,24 +67,26 @@ def sketch(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def frequency_classes(slots: np.ndarray) -> np.ndarray:
-    """0 for rare tokens, else 1 + the logarithm of their slot's excess."""
+    """0 for rare tokens, 1 for others, or 2 + the logarithm of their slot's excess."""
     ratio = slots / max(slots.mean(), 1.0)
-    return np.where(ratio < FREQUENT, 0, 1 + np.log2(np.maximum(ratio / FREQUENT, 1.0))).astype(np.int8)
+    often = np.where(ratio < FREQUENT, 1, 2 + np.log2(np.maximum(ratio / FREQUENT, 1.0)))
+    return np.where(slots <= RARE, 0, often).astype(np.int8)
 
 
 def signatures(s: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set, from its tokens in the order (class, hash), rare
     tokens first.
 
-    Two similar sets of this size or any other share at least ceil(t|x|)
-    tokens, so at most e = |x| - ceil(t|x|) of this set's are its own, and at
-    most d = |x|(1 - t) / t are one set's own. If their first shared token is
+    A set x and a similar one with a and b tokens of their own have
+    100(|x| - a) >= percent(|x| + b): x has at most e = |x| - ceil(t|x|) own
+    ones, and 2a + b is largest for a = e. If their first shared token is
     rare, it stands within the first e + 1 and is a signature by itself. Else
     all r rare tokens are the set's own, and all shared ones are frequent. Of
-    the d - r + 1 places between the first d - r + 2 shared ones, one at least
-    has no own token of either set in it, so these two are neighbours in both
-    sets: neighbours among the first d + e - 2r + 2 frequent tokens are
-    combinations of two. Their number grows with the set, not its square.
+    the a + b - r + 1 places between the first a + b - r + 2 shared ones, one
+    at least has no own token of either set in it, so these two are neighbours
+    in both sets: neighbours among the first 2a + b - 2r + 2 frequent tokens
+    are combinations of two. Their number grows with the set, not its square,
+    and unrelated sets that share a token by chance seldom share its neighbour.
 
     Below three quarters, similar sets can share too few tokens for that;
     there every two of the first e - r + 2 frequent ones are combined. Sets of
@@ -97,8 +100,8 @@ def signatures(s: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
     single = head[: min(rare, own + 1)]
     if rare > own:
         return single
-    either = size * (100 - percent) // percent
-    often = head[rare : rare + either + own - 2 * rare + 2] if percent >= 75 else head[rare : own + 2]
+    either = 2 * own + ((100 - percent) * size - 100 * own) // percent
+    often = head[rare : rare + either - 2 * rare + 2] if percent >= 75 else head[rare : own + 2]
     if percent >= 75:
         i = np.arange(len(often) - 1)
         j = i + 1
@@ -147,7 +150,8 @@ def _profile(rows: DataFrame, n: int, percent: int) -> DataFrame:
             out = []
             for s in doc_sets(data, offs, n):
                 k = set_key(s)
-                new = len(s) > 1 and k not in seen
+                # others can be similar only where there is room for a token more or less
+                new = len(s) > 1 and (100 - percent) * len(s) >= percent and k not in seen
                 if new:
                     if len(seen) > 500_000:  # forgetting only costs repeated signatures
                         seen.clear()
@@ -169,10 +173,10 @@ def _profile(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _members(own: DataFrame) -> DataFrame:
     """(sig, m, c, n): nodes by signature, where a signature has m > 1 nodes.
-    Only signature and node go through the two shuffles of all signatures."""
+    Only signature and node go through the one shuffle of all signatures."""
     each = own.select(F.explode("sigs").alias("sig"), "c")
-    count = each.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    few = written(each.join(count, "sig"), "members")
+    each = each.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("m > 1")
+    few = written(each, "members")
     sizes = written(own.select("c", F.col("n").cast("int").alias("n")), "sizes")
     return few.join(small(sizes), "c").select("sig", "m", "c", "n")
 

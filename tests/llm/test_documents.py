@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from parlance.llm import ngram_join, run_index
+from parlance.llm.common import components
 
 from .helpers import SF, clashing, docs, jaccard_components, odd_docs, repeat_masks, shingle_set, words
 
@@ -148,3 +149,32 @@ def test_words_are_those_of_the_pattern():
     w = Words(data, offs)
     got = [[data[a:b].tobytes().decode() for a, b in zip(w.start[i:j], w.end[i:j])] for i, j in zip(w.first[:-1], w.first[1:])]
     assert got == [words(t) for t in texts] and len(shingle_set("a b c d e", 4)) == 2
+
+
+def test_tokens_shared_by_chance_make_no_buckets():
+    """Texts that share lone shingles meet in no bucket, though frequencies
+    of large tables cannot tell these from shingles of one text."""
+    rng = np.random.default_rng(6)
+    often = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.unique(np.append(rng.integers(0, 2**63, 190), rng.choice(often, 10, replace=False)).astype(np.uint64)) for _ in range(200)]
+    cls = ngram_join.frequency_classes(np.full(1 << 10, 90))
+    sigs = np.concatenate([ngram_join.signatures(s, cls[(s >> np.uint64(54)).astype(np.int64)], 85) for s in sets])
+    assert len(sigs) - len(np.unique(sigs)) <= 2
+
+
+def test_components_of_few_and_many_edges(spark):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(k, k + 1) for k in range(1000, 1300)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    low = {v: v for e in edges for v in e}
+    for _ in range(len(low)):
+        new = dict(low)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == low:
+            break
+        low = new
+    want = sorted((v, c) for v, c in low.items() if any(v in e and e[0] != e[1] for e in edges))
+    assert sorted(map(tuple, components(df).collect())) == want
+    assert sorted(map(tuple, components(df, max_rows=10).collect())) == want
+    assert components(df.limit(0)).count() == 0
