@@ -91,11 +91,13 @@ def oof_features(emo_head, rows: DataFrame, sent: DataFrame, folds: int = FOLDS)
         raise ValueError("out-of-fold features need two folds or more")
     rows = materialize(rows.drop("label_emo").withColumn("fold", fold_of("ord", folds)))
     sent = materialize(sent.withColumn("fold", fold_of("ord", folds)))
+    # copies of a row are scored once
+    uniq = materialize(rows.select("ord", "Question", "fold").distinct())
+    heads = models.fit_folds(emo_head.kind, rows, "Question", "EmotionName", "fold", folds)
+    feelings = bayes.train_folds(sent, "text", "positive", "fold", folds)
     out = None
-    for k in range(folds):
-        head = models.fit(emo_head.kind, rows.where(F.col("fold") != k), "Question", "EmotionName")
-        feeling = train_sentiment(sent.where(F.col("fold") != k))
-        mine = rows.where(F.col("fold") == k).select("ord", "Question").distinct()
+    for k, (head, feeling) in enumerate(zip(heads, feelings)):
+        mine = uniq.where(F.col("fold") == k).select("ord", "Question")
         proba = models.predict_proba(head, mine.select(F.col("ord").alias("qid"), F.col("Question").alias("text")))
         # one number for each emotion
         at = emo_head.decode.join(head.decode.withColumnRenamed("cls", "own"), "EmotionName", "left").orderBy("cls").select("own").collect()

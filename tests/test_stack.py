@@ -77,3 +77,20 @@ def test_softmax_cost_grows_with_the_vector(spark):
     assert max(abs(a - b / sum(e)) for a, b in zip(r.c, e)) < 1e-12
     assert max(abs(a - v / sum(map(math.sqrt, r.x))) for a, v in zip(r.k, r.x)) < 1e-12
     assert spark.createDataFrame([(None,), ([],)], "x array<double>").select(vx.softmax(F.col("x")).alias("p")).collect()[0].p is None
+
+
+def test_models_of_all_folds_read_the_texts_once(spark, corpus, monkeypatch):
+    from parlance.operators import bayes
+
+    df, sent = corpus
+    head = md.fit("nb", df, "Question", "EmotionName")
+    calls, tokens = [], bayes.tokens
+    monkeypatch.setattr(bayes, "tokens", lambda c: calls.append(c) or tokens(c))
+    ft.oof_features(head, df, sent, 3)
+    assert len(calls) <= 2 + 2 * 3  # both tables once to learn, each fold by two models
+    odd = [(1, "a b", "x", 0), (1, "a b", "x", 0), (2, None, "x", 1), (3, "b c", None, 1), (4, "", "y", 2), (5, "c", "y", None), (6, "d d", "z", 0)]
+    df = spark.createDataFrame(odd, "ord long, t string, label string, fold int")
+    for k, got in enumerate(bayes.train_folds(df, "t", "label", "fold", 3)):
+        want = bayes.train(df.where(F.col("fold") != k), "t", "label")
+        for a, b in ((got.classes, want.classes), (got.weights, want.weights)):
+            assert a.schema.names == b.schema.names and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
