@@ -19,6 +19,7 @@ RARE = 4  # tokens in the slot of a rare token at most, whatever the data: its b
 FREQUENT = 16.0  # from so many times the mean on, tokens go last in the order
 BITS = 512  # of a set's short parity bitmap; the long one has four to eight bits a token
 SPLIT = 2048  # members of a bucket that one group compares
+SLICE = 512 << 10  # bytes of text that a task makes sets of at a time
 LIGHT = 4  # members of a bucket whose pairs are rows at once
 LOWEST = 4  # signatures of a node that tell where its pairs were looked at before
 TOGETHER = 4_000_000  # tokens of the sets that one group verifies
@@ -46,7 +47,7 @@ def sketch(texts: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOT_BITS, np.int64)
-        for _, data, offs in text_chunks(batches):
+        for _, data, offs in text_chunks(batches, limit=SLICE):
             sets = doc_sets(data, offs, n)
             slots += np.bincount((np.concatenate(sets) >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
         if slots.any():
@@ -146,7 +147,7 @@ def _profile(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, seen = sent.value, set()
-        for part, data, offs in text_chunks(batches):
+        for part, data, offs in text_chunks(batches, limit=SLICE):
             out = []
             for s in doc_sets(data, offs, n):
                 k = set_key(s)
@@ -249,7 +250,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, perce
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for _, data, offs in text_chunks(batches):
+        for _, data, offs in text_chunks(batches, limit=SLICE):
             out = []
             for s in doc_sets(data, offs, n):
                 k = set_key(s)

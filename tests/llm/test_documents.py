@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from parlance.llm import ngram_join, run_index
-from parlance.llm.common import components
+from parlance.llm.common import components, text_chunks
 
 from .helpers import SF, clashing, docs, jaccard_components, odd_docs, repeat_masks, shingle_set, words
 
@@ -178,3 +178,18 @@ def test_components_of_few_and_many_edges(spark):
     assert sorted(map(tuple, components(df).collect())) == want
     assert sorted(map(tuple, components(df, max_rows=10).collect())) == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_sets_of_a_slice_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 9999, 400))) for _ in range(1500)]  # 3 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    n = sum(len(ngram_join.doc_sets(d, o, 4)) for _, d, o in text_chunks([batch], limit=ngram_join.SLICE))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 and peak < 60e6
