@@ -138,6 +138,25 @@ def test_forward_recursion_and_counts_equal_enumeration():
     assert np.allclose(m.log_likelihood(flat, ends), total) and np.allclose(start, starts) and np.allclose(move, moves) and math.isclose(em.sum(), len(flat))
 
 
+def test_every_round_learns_from_all_documents(spark):
+    """More documents than a sample held: the model is that of rounds over all of them."""
+    rng = np.random.default_rng(9)
+    texts = [(rng.integers(0, 40, rng.integers(1, 9)) << hmm.SEQ_BITS).tolist() for _ in range(1_700)]
+    prior = np.full(1 << hmm.BUCKET_BITS, 1e-9)
+    prior[:40] = 1 / 40
+    got = hmm._learn(spark.createDataFrame([(t,) for t in texts], "codes array<int>").repartition(5), prior, 2)
+    expect = hmm.first_model(prior, 2)
+    for _ in range(14):
+        into = hmm.empty_counts(2)
+        hmm.add_counts(expect, *hmm_flat(texts), into)
+        expect = hmm.maximise(into, prior)
+    assert np.allclose(got.move, expect.move, atol=1e-9) and np.allclose(got.emit, expect.emit, atol=1e-9) and np.allclose(got.start, expect.start, atol=1e-9)
+
+
+def hmm_flat(texts):
+    return np.concatenate(texts) >> hmm.SEQ_BITS, np.cumsum([len(t) for t in texts])
+
+
 def test_model_is_a_distribution_over_tokens():
     """Sums over a whole small vocabulary, unknown words included, are 1."""
     total, distinct = np.array([5.0, 7.0]), np.array([1, 3])
