@@ -95,3 +95,27 @@ def test_ten_thousand_classes(spark):
     got = ln.score_topk(m, asked, "text", 2).join(asked, "qid").join(m.decode().withColumnRenamed("label", "found"), "cls").where("rank = 1").collect()
     assert m.n_classes == n and len(got) == 50 and all(r.found == r.label for r in got)
     assert m.weights.count() < 0.01 * n * m.features.count()  # pairs that share a token, not all
+
+
+def test_sums_and_answers_come_without_a_table_of_weights(spark, monkeypatch):
+    """Weights tend to tokens x classes; they are learned in the tasks that use
+    them, and equal the written ones, whatever the parts that share the classes."""
+    from parlance.operators import blocks
+
+    df = spark.createDataFrame([*TRAIN, ("no class", None)], "Text string, label string")
+    q = spark.createDataFrame([*((i, t) for i, t in enumerate(ASKED)), (None, "card"), (0, "rome")], "qid long, text string")
+    sums = lambda m: sorted((r.cls, r.n, round(r.w, 6), round(r.a, 6)) for r in m.class_sums().collect())
+    best = lambda m: sorted((r.qid, r["rank"], r.cls, round(r.p, 6)) for r in ln.score_topk(m, q.where("qid IS NOT NULL"), "text", 2).collect())
+    kept = ln.train(df, "Text", "label").written()
+    expect = sums(kept), best(kept)
+    assert len(expect[0]) == 4 and kept.weights.count() == sum(n for _, n, _, _ in expect[0])
+
+    def never(_self):
+        raise AssertionError("weights were written")
+
+    monkeypatch.setattr(ln.LinearModel, "written", never)
+    for few, held, piece, width in ((0.2, 1 << 24, 1 << 16, 1), (0.0, 5, 3, 2), (2.0, 1, 1, 99)):
+        for name, value in (("FEW", few), ("HELD", held), ("PIECE", piece), ("WEIGHTS", width), ("FEWEST", width)):
+            monkeypatch.setattr(blocks, name, value)
+        m = ln.train(df, "Text", "label")
+        assert (sums(m), best(m)) == expect
